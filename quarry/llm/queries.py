@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, exact_dedup, sharding, url_filter
+from quarry.llm import chat_format, decontaminate, exact_dedup, sharding, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -31,8 +35,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_chat_formatting, op5_sharding, op7_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op4_chat_formatting, op5_sharding, op7_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_chat_formatting": chat_format.ORACLE}
+    return {"op1_decontamination": decontaminate.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op4_chat_formatting": chat_format.ORACLE}
