@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, decontaminate, exact_dedup, sharding, url_filter
+from quarry.llm import chat_format, decontaminate, exact_dedup, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,13 +29,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.train(url_filter.labelled_urls(spark))
     return url_filter.with_verdicts(_read(spark, sf_dir, "pages").select("page_id", "url"), weights).drop("url")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op4_chat_formatting, op5_sharding, op7_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op4_chat_formatting, op5_sharding, op6_simhash, op7_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
