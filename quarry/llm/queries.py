@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, decontaminate, exact_dedup, sharding, simhash, url_filter
+from quarry.llm import chat_format, decontaminate, exact_dedup, sharding, simhash, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_read(spark, sf_dir, "documents"), texts=False)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame([(-7, 0, "user", chat_format.HARD_TEXT), (-7, 1, "assistant", chat_format.HARD_TEXT)], "conv_id long, turn long, role string, text string")
@@ -39,8 +43,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op4_chat_formatting, op5_sharding, op6_simhash, op7_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_substring_dedup, op4_chat_formatting, op5_sharding, op6_simhash, op7_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op4_chat_formatting": chat_format.ORACLE}
+    return {"op1_decontamination": decontaminate.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op3_substring_dedup": substring_dedup.ORACLE, "op4_chat_formatting": chat_format.ORACLE}
