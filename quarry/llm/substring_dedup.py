@@ -73,11 +73,17 @@ def _packed(column: pa.Array, window: int, mer: int) -> Iterator[tuple[int, Word
         yield at, words, start, size, least, strings
 
 
+def _ordered(docs: pa.Table) -> pa.Table:
+    """A group's rows in one order, since a shuffle delivers them in any: strings are numbered in this order twice."""
+    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _emit(window: int, mer: int, buckets: int):
     """A group's packed strings, a row per bucket: the strings joined by line ends, their numbers within the group, and
     whether each occurs more than once there."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = _ordered(table)
         number: dict[bytes, int] = {}
         bucket: list[int] = []
         again: set[int] = set()
@@ -186,6 +192,7 @@ def _remove(window: int, mer: int):
     """A group's documents without the words under repeated windows."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _ordered(docs)
         ids, n_words, n_removed, kept = [], [], [], []
         unzip = zstandard.ZstdDecompressor()
         runs = [np.frombuffer(unzip.decompress(x.as_buffer()), np.uint32).reshape(3, -1) for x in answers.column("runs")]
