@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, decontaminate, exact_dedup, sharding, simhash, substring_dedup, url_filter
+from quarry.llm import chat_format, decontaminate, exact_dedup, pieces, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which each machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -42,8 +49,20 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.with_verdicts(_read(spark, sf_dir, "pages").select("page_id", "url"), weights).drop("url")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digests(_read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_substring_dedup, op4_chat_formatting, op5_sharding, op6_simhash, op7_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_substring_dedup, op4_chat_formatting, op5_sharding, op6_simhash, op7_url_filters, op8_sentencepiece, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
