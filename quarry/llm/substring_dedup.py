@@ -23,8 +23,8 @@ from quarry.llm.words import NON_SPACE, Words, hashes, mix, rolled, slices, spli
 
 WINDOW = 35
 MER = 4
-GROUP_BYTES = 12 << 20
-BUCKET_BYTES = 8 << 20
+GROUP_BYTES = 8 << 20
+BUCKET_BYTES = 5 << 20
 LONGEST_RUN = 256
 
 
