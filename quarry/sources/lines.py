@@ -1,0 +1,133 @@
+"""Line-shaped sources: logs, question files, registries and declarative configuration files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from quarry.functions.text import after_colon, is_identifier, one_line, quoted_strings, trimmed
+
+RETENTION_DAYS = 10
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """(path, line, text) of files (path, content), lines from 1; a line end at the end begins no line."""
+    body = F.regexp_replace(F.coalesce("content", F.lit("")), r"\r?\n\z", "")
+    rows = files.filter(F.coalesce("content", F.lit("")) != "").select("path", F.posexplode(F.split(body, r"\r?\n")).alias("i", "text"))
+    return rows.select("path", (F.col("i") + 1).alias("line"), "text")
+
+
+def dedup_log_line(at: Column, layer: Column, hit: Column, score: Column, ms: Column, cand: Column, err: Column, reason: Column, task: Column) -> Column:
+    quoted = lambda name, c, n: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f' {name}="'), F.replace(one_line(c, n), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise("")
+    head = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" layer="), layer, F.lit(" hit="), hit.cast("string"), F.format_string(" score=%.3f ms=%d cand=%d", score, ms, cand))
+    return F.concat(head, quoted("err", err, 200), quoted("reason", reason, 200), quoted("task", task, 160))
+
+
+def parsed_dedup_log(lines: DataFrame) -> DataFrame:
+    """Fields of dedup log lines (value); lines of another form are left out."""
+    of = lambda rx: F.regexp_extract("value", rx, 1)
+    ok = lines.filter(F.col("value").rlike(r"\A\S+ layer=\S+ hit=(true|false) score=[0-9.]+ ms=[0-9]+ cand=[0-9]+"))
+    return ok.select(
+        of(r"\A(\S+)").alias("at"), of(r" layer=(\S+)").alias("layer"), (of(r" hit=(true|false)") == "true").alias("hit"), of(r" score=([0-9.]+)").cast("double").alias("score"),
+        of(r" ms=([0-9]+)").cast("long").alias("ms"), of(r" cand=([0-9]+)").cast("long").alias("cand"), of(r' reason="((?:[^"\\]|\\.)*)"').alias("reason"), of(r' task="((?:[^"\\]|\\.)*)"').alias("task"),
+    )
+
+
+def retained(lines: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
+    """Log lines (value) younger than so many days; lines without a time stay, lines too short for one go."""
+    at = F.try_to_timestamp(F.substring("value", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return lines.filter((F.length("value") >= 19) & (at.isNull() | (at > now - F.make_dt_interval(F.lit(days)))))
+
+
+def clarifications(lines: DataFrame) -> DataFrame:
+    """(path, n, question, answer) of question files (path, line, text): a Q line begins a pair, an A line its answer,
+    further lines go on with it but for headings and rules."""
+    t = trimmed(F.col("text"))
+    q, a = t.startswith("Q") & F.contains(t, F.lit(":")), t.startswith("A") & F.contains(t, F.lit(":"))
+    kind = F.when(q, "q").when(a, "a").when((t != "") & ~t.startswith("#") & ~t.startswith("---"), "more").otherwise("skip")
+    order = W.Window.partitionBy("path").orderBy("line")
+    rows = lines.withColumn("kind", kind).withColumn("n", F.sum(F.when(F.col("kind") == "q", 1).otherwise(0)).over(order)).filter("n > 0 and kind <> 'skip'")
+    within = W.Window.partitionBy("path", "n").orderBy("line")
+    rows = rows.withColumn("answers", F.sum(F.when(F.col("kind") == "a", 1).otherwise(0)).over(within))
+    last = F.max("answers").over(W.Window.partitionBy("path", "n"))
+    rows = rows.withColumn("last", last).filter("kind = 'q' or (answers > 0 and answers = last)")
+    said = F.when(F.col("kind") == "a", after_colon(trimmed(F.col("text")))).when(F.col("kind") == "more", F.col("text"))
+    pairs = rows.groupBy("path", "n").agg(
+        F.max(F.when(F.col("kind") == "q", after_colon(trimmed(F.col("text"))))).alias("question"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") != "q", F.struct("line", said.alias("s"))))).alias("parts"))
+    answer = trimmed(F.array_join(F.filter(F.col("parts.s"), lambda s: s != ""), "\n"))
+    return pairs.filter("question <> ''").select("path", F.col("n").cast("int").alias("n"), "question", answer.alias("answer"))
+
+
+def registry(json_text: DataFrame) -> DataFrame:
+    """(name, path, llm) of registry texts (value): a map from name to entry; a missing or empty text has none."""
+    entries = F.from_json("value", "struct<agents:map<string,struct<path:string,llm:string>>>")
+    return json_text.select(F.explode(entries["agents"]).alias("name", "e")).select("name", "e.path", "e.llm")
+
+
+def yaml_symbols(lines: DataFrame) -> DataFrame:
+    """Keys without indent, and the first name after each kind."""
+    bare = F.regexp_replace("text", r"^[ \t]+", "")
+    rows = lines.withColumn("bare", bare).filter((F.col("bare") != "") & ~F.col("bare").startswith("#"))
+    top = (F.col("bare") == F.col("text")) & F.regexp_replace("bare", r" +\z", "").endswith(":")
+    key = F.regexp_replace(trimmed(F.col("bare")), r":\z", "")
+    keys = rows.filter(top & is_identifier(key)).select("path", "line", key.alias("name"), F.lit("yaml-key").alias("kind"), F.col("text").alias("signature"))
+    order = W.Window.partitionBy("path").orderBy("line").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    inner = rows.filter(~top).withColumn("k", F.when(F.col("bare").startswith("kind:"), trimmed(F.substr("bare", F.lit(6)))))
+    inner = inner.withColumn("nth", F.count("k").over(order)).filter("nth > 0").withColumn("kd", F.last("k", True).over(order))
+    named = inner.filter(F.col("bare").startswith("name:")).withColumn("nm", trimmed(F.substr("bare", F.lit(6)))).filter("nm <> '' and kd <> ''")
+    firsts = named.withColumn("r", F.row_number().over(W.Window.partitionBy("path", "nth").orderBy("line"))).filter("r = 1")
+    return keys.unionByName(firsts.select("path", "line", F.col("nm").alias("name"), F.lower("kd").alias("kind"), F.concat("kd", F.lit(": "), "nm").alias("signature")))
+
+
+BLOCKS = ("resource", "module", "variable", "output", "data", "provider", "locals", "terraform")
+
+
+def terraform_symbols(lines: DataFrame) -> DataFrame:
+    t = trimmed(F.col("text"))
+    kind = F.regexp_extract(t, rf"\A({'|'.join(BLOCKS)})[ {{]", 1)
+    names = quoted_strings(t)
+    nth = lambda i: F.try_element_at(names, F.lit(i))
+    both = F.when(F.size(names) >= 2, F.concat(nth(1), F.lit("."), nth(2)))
+    name = F.when(kind.isin("resource", "data"), both).when(kind.isin("module", "variable", "output", "provider"), nth(1)).when(kind != "", kind)
+    return lines.select("path", "line", name.alias("name"), kind.alias("kind"), F.col("text").alias("signature")).filter("coalesce(name, '') <> ''")
+
+
+INSTRUCTIONS = ("FROM", "EXPOSE", "ENV", "CMD", "ENTRYPOINT", "ARG", "WORKDIR", "USER", "LABEL")
+
+
+def dockerfile_symbols(lines: DataFrame) -> DataFrame:
+    t = trimmed(F.col("text"))
+    first = F.regexp_extract(t, r"\A(\S+)", 1)
+    rows = lines.filter(F.upper(first).isin(*INSTRUCTIONS))
+    return rows.select("path", "line", F.upper(first).alias("name"), F.concat(F.lit("dockerfile-"), F.lower(first)).alias("kind"), t.alias("signature"), trimmed(F.regexp_replace(t, r"\A\S+", "")).alias("doc_comment"))
+
+
+def json_symbols(lines: DataFrame) -> DataFrame:
+    """Keys on lines after which one bracket is open, those in strings counted too."""
+    many = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
+    depth = F.sum(many("{[") - many("}]")).over(W.Window.partitionBy("path").orderBy("line").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow))
+    key = F.regexp_extract("text", r'\A[ \t]*"([^"]*)"', 1)
+    rows = lines.withColumn("depth", depth).filter("depth = 1").withColumn("key", key)
+    return rows.filter(is_identifier(F.col("key"))).select("path", "line", F.col("key").alias("name"), F.lit("json-key").alias("kind"), trimmed(F.col("text")).alias("signature"))
+
+
+#: Kinds of tags by the names that a tagger gives them.
+TAG_KINDS = {
+    "function": ("function", "func", "procedure"), "method": ("method",), "class": ("class",), "struct": ("struct",), "interface": ("interface",),
+    "type": ("type", "typedef", "alias"), "enum": ("enum",), "module": ("module", "namespace", "package"), "variable": ("variable", "constant", "field", "member", "property"),
+}
+
+
+def tag_kind(kind: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for to, names in TAG_KINDS.items() for n in names for x in (n, to)])
+    return F.coalesce(F.try_element_at(known, kind), kind)
+
+
+def tags(lines: DataFrame) -> DataFrame:
+    """Symbols of a tagger's JSON lines (value)."""
+    e = F.from_json("value", "struct<_type:string,name:string,path:string,line:int,kind:string,scope:string,pattern:string>")
+    rows = lines.select(e.alias("e")).filter("e.name is not null and coalesce(e._type, 'tag') = 'tag'")
+    signature = trimmed(F.regexp_replace(F.regexp_replace("e.pattern", r"\A/\^", ""), r"\$/\z", ""))
+    return rows.select("e.path", "e.name", tag_kind(F.col("e.kind")).alias("kind"), "e.line", signature.alias("signature"), F.col("e.scope").alias("parent_name"))
