@@ -103,11 +103,23 @@ def short_age(seconds: Column) -> Column:
     )
 
 
+def _one_decimal(n: Column, unit: int) -> Column:
+    """n / unit with one decimal, rounded by the exact value of the quotient as a double, and to even where that is a
+    tie: format_string() would round its shortest decimal form."""
+    tenth = unit // 10
+    low, rest = F.floor(n / tenth), n % tenth
+    exact = (n / unit * F.lit(2.0**52)).cast("long").cast("decimal(20,0)") * F.lit(unit).cast("decimal(10,0)") - n.cast("decimal(16,0)") * F.lit(1 << 52).cast("decimal(17,0)")
+    up = F.when(rest * 2 != tenth, rest * 2 > tenth).when(exact != 0, exact > 0).otherwise(low % 2 == 1)
+    tenths = low + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def short_tokens(n: Column) -> Column:
     n = n.cast("long")
     return (
-        F.when(n < 1000, n.cast("string")).when(n < 10_000, F.format_string("%.1fk", n / 1000))
-        .when(n < 1_000_000, F.concat(F.floor(n / 1000).cast("string"), F.lit("k"))).otherwise(F.format_string("%.1fM", n / 1_000_000))
+        F.when(n < 1000, n.cast("string")).when(n < 10_000, F.concat(_one_decimal(n, 1000), F.lit("k")))
+        .when(n < 1_000_000, F.concat(F.floor(n / 1000).cast("string"), F.lit("k"))).when(n < 2_000_000_000, F.concat(_one_decimal(n, 1_000_000), F.lit("M")))
+        .otherwise(F.format_string("%.1fM", n / 1_000_000))
     )
 
 

@@ -125,13 +125,13 @@ def llm_top5_candidates(spark, d):
     return dedup.candidates_by_tokens(V.tasks(spark, d), V.new_tasks(spark, d))
 
 
-_JUDGED = """judged as (select l_shipmode as layer, l_returnflag as category, l_discount > 0.05 as duplicate, l_tax > 0.03 as predicted from lineitem)"""
+_JUDGED = """judged as (select l_linestatus as layer, l_returnflag as category, l_discount > 0.05 as duplicate, l_tax > 0.03 as predicted from lineitem)"""
 _MEASURES = """select *, case when "precision" + recall = 0 then 0.0 else round(2 * "precision" * recall / ("precision" + recall), 9) end as f1 from
 (select *, case when tp + fp = 0 then 0.0 else tp / (tp + fp) end as "precision", case when tp + fn = 0 then 0.0 else tp / (tp + fn) end as recall from counts)"""
 
 
 def _judged(spark, d):
-    return V.table(spark, d, "lineitem").select(F.col("l_shipmode").alias("layer"), F.col("l_returnflag").alias("category"), (F.col("l_discount") > 0.05).alias("duplicate"), (F.col("l_tax") > 0.03).alias("predicted"))
+    return V.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("layer"), F.col("l_returnflag").alias("category"), (F.col("l_discount") > 0.05).alias("duplicate"), (F.col("l_tax") > 0.03).alias("predicted"))
 
 
 _COUNTS = "count_if(duplicate and predicted) as tp, count_if(not duplicate and predicted) as fp, count_if(not duplicate and not predicted) as tn, count_if(duplicate and not predicted) as fn from judged"
@@ -452,7 +452,7 @@ def pagerank(spark, d):
     return _rounded(graph.pagerank(V.symbols(spark, d), V.edges(spark, d)), "rank", digits=6)
 
 
-_WANTED = "green almond steel drab antique"
+_WANTED = "large widget plate"
 
 
 @query(f"""with {V.EDGES}, w as (select id, ord, name from symbols where {' or '.join(f"contains(lower(name), '{x}')" for x in _WANTED.split() if len(x) > 3)}),
@@ -522,29 +522,29 @@ def _search(spark, d, q):
     return _rounded(search.search(_docs(spark, d), q, "id", _COLS, limit=None), "score")
 
 
-@query(_bm25("f_a > 0 or f_b > 0", {"a": _has("green"), "b": _has("steel")}, ["a", "b"]))
+@query(_bm25("f_a > 0 or f_b > 0", {"a": _has("red"), "b": _has("widget")}, ["a", "b"]))
 def search_bm25(spark, d):
-    return _search(spark, d, "green steel")
+    return _search(spark, d, "red widget")
 
 
-@query(_bm25("f_a > 0", {"a": _starts("bra")}, ["a"]))
+@query(_bm25("f_a > 0", {"a": _starts("wid")}, ["a"]))
 def search_prefix(spark, d):
-    return _search(spark, d, "bra*")
+    return _search(spark, d, "wid*")
 
 
-@query(_bm25("f_a > 0 and f_b > 0", {"a": _has("green"), "b": _has("economy")}, ["a", "b"]))
+@query(_bm25("f_a > 0 and f_b > 0", {"a": _has("red"), "b": _has("promo")}, ["a", "b"]))
 def search_and(spark, d):
-    return _search(spark, d, "green AND economy")
+    return _search(spark, d, "red AND promo")
 
 
-@query(_bm25("f_a > 0 and not f_b > 0", {"a": _has("green"), "b": _has("economy")}, ["a"]))
+@query(_bm25("f_a > 0 and not f_b > 0", {"a": _has("red"), "b": _has("promo")}, ["a"]))
 def search_not(spark, d):
-    return _search(spark, d, "green NOT economy")
+    return _search(spark, d, "red NOT promo")
 
 
-@query(_bm25("f_a > 0", {"a": _pair("anodized", "brass")}, ["a"]))
+@query(_bm25("f_a > 0", {"a": _pair("red", "bolt")}, ["a"]))
 def search_phrase(spark, d):
-    return _search(spark, d, '"anodized brass"')
+    return _search(spark, d, '"red bolt"')
 
 
 # --- usage ---
@@ -564,7 +564,7 @@ def session_tools(spark, d):
     return u.select("session_id", F.explode("tool_calls_by_name").alias("tool", "calls"))
 
 
-_RUNS = """runs as (select l_shipmode as repo, l_suppkey as task_id, case l_linenumber % 3 when 0 then 'classify' when 1 then 'baseline' else 'mcp' end as variant,
+_RUNS = """runs as (select l_returnflag || l_linestatus as repo, l_suppkey as task_id, case l_linenumber % 3 when 0 then 'classify' when 1 then 'baseline' else 'mcp' end as variant,
   l_orderkey * 10 + l_linenumber as path, cast(l_quantity as double) as wall, cast(l_partkey as bigint) as eff, cast(l_linenumber as bigint) as tools from lineitem),
 last as (select repo, task_id, variant, arg_max(wall, path) as wall, arg_max(eff, path) as eff, arg_max(tools, path) as tools from runs group by 1, 2, 3),
 tab as (select repo, task_id, coalesce(max(wall) filter (variant = 'classify'), 0) as classify_wall, coalesce(max(eff) filter (variant = 'baseline'), 0) as baseline, coalesce(max(eff) filter (variant = 'mcp'), 0) as mcp,
@@ -574,7 +574,7 @@ tab as (select repo, task_id, coalesce(max(wall) filter (variant = 'classify'),
 def _runs(spark, d):
     line = V.table(spark, d, "lineitem")
     variant = F.element_at(F.lit(["classify", "baseline", "mcp"]), (F.col("l_linenumber") % 3).cast("int") + 1)
-    rows = line.select(F.col("l_shipmode").alias("repo"), F.col("l_suppkey").alias("task_id"), variant.alias("variant"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path"), F.col("l_quantity").cast("double").alias("wall_clock_sec"), F.col("l_partkey").cast("long").alias("effective"), F.col("l_linenumber").cast("long").alias("tool_calls"))
+    rows = line.select(F.concat("l_returnflag", "l_linestatus").alias("repo"), F.col("l_suppkey").alias("task_id"), variant.alias("variant"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path"), F.col("l_quantity").cast("double").alias("wall_clock_sec"), F.col("l_partkey").cast("long").alias("effective"), F.col("l_linenumber").cast("long").alias("tool_calls"))
     return usage.variant_table(usage.latest_runs(rows))
 
 
@@ -602,12 +602,12 @@ def log_retention(spark, d):
     return L.retained(lines, F.lit("1995-01-21 00:00:00").cast("timestamp"))
 
 
-@query("""select l_orderkey, l_linenumber, l_shipmode as layer, l_discount > 0.05 as hit, round(cast(l_discount as double), 3) as score, cast(l_quantity as bigint) as ms, cast(l_partkey as bigint) as cand from lineitem""")
+@query("""select l_orderkey, l_linenumber, l_returnflag as layer, l_discount > 0.05 as hit, round(cast(l_discount as double), 3) as score, cast(l_quantity as bigint) as ms, cast(l_partkey as bigint) as cand from lineitem""")
 def dedup_log_parse(spark, d):
     none = F.lit(None).cast("string")
     at = F.lit("2024-01-02 03:04:05").cast("timestamp")
-    line = V.table(spark, d, "lineitem").withColumn("mode", F.replace("l_shipmode", F.lit(" "), F.lit("_")))
-    made = line.select(L.dedup_log_line(at, F.col("mode"), F.col("l_discount") > 0.05, F.col("l_discount").cast("double"), F.col("l_quantity").cast("long"), F.col("l_partkey").cast("long"), none, F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_shipmode")), none).alias("value"))
+    line = V.table(spark, d, "lineitem")
+    made = line.select(L.dedup_log_line(at, F.col("l_returnflag"), F.col("l_discount") > 0.05, F.col("l_discount").cast("double"), F.col("l_quantity").cast("long"), F.col("l_partkey").cast("long"), none, F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_returnflag")), none).alias("value"))
     got = L.parsed_dedup_log(made)
     part = lambda i: F.split("reason", "/")[i]
     return got.select(part(0).cast("long").alias("l_orderkey"), part(1).cast("long").alias("l_linenumber"), part(2).alias("layer"), "hit", "score", "ms", "cand")
@@ -623,11 +623,11 @@ def detect_language(spark, d):
     return p.select("p_partkey", index.language(F.concat("p_brand", F.lit("/"), V._pick(F.col("p_partkey"), _EXTS))).alias("language"))
 
 
-@query("""select p_partkey, p_brand = 'Brand#12' or contains(p_type, 'BRASS') or p_name like 'green%' as ignored from part""")
+@query("""select p_partkey, p_brand = 'Brand#12' or contains(p_type, 'ECON') or p_name like 'red%' as ignored from part""")
 def ignore_filter(spark, d):
     p = V.table(spark, d, "part")
     path = F.concat("p_brand", F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), "p_name")
-    return p.select("p_partkey", index.ignored(path, ["Brand#12/", "*BRASS*/", "green*"]).alias("ignored"))
+    return p.select("p_partkey", index.ignored(path, ["Brand#12/", "*ECON*/", "red*"]).alias("ignored"))
 
 
 @query("""select c_custkey, c_name as name, 'deployment' as kind, 'Deployment: ' || c_name as signature, 3 as line from customer union all select c_custkey, 'spec', 'yaml-key', 'spec:', 1 from customer""")
@@ -673,8 +673,8 @@ def registry_entries(spark, d):
     return rows.select("c_custkey", F.explode(F.from_json("value", "struct<agents:map<string,struct<path:string,llm:string>>>")["agents"]).alias("name", "e")).select("c_custkey", "name", F.col("e.path").alias("path"))
 
 
-@query("""select l_orderkey, l_linenumber, list_distinct(['f', p_brand]) as refs from lineitem join part on p_partkey = l_partkey""")
+@query("""select l_orderkey, l_linenumber, list_sort(list_distinct(['f', p_brand])) as refs from lineitem join part on p_partkey = l_partkey""")
 def call_ref_names(spark, d):
     rows = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     calls = F.array(F.lit("a.b.f"), F.concat(F.lit("x."), "p_brand"), F.lit("f"))
-    return rows.select("l_orderkey", "l_linenumber", F.array_distinct(F.transform(calls, lambda c: F.substring_index(c, ".", -1))).alias("refs"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_sort(F.array_distinct(F.transform(calls, lambda c: F.substring_index(c, ".", -1)))).alias("refs"))
