@@ -1,0 +1,56 @@
+"""The stages over one another, each against brute force on its own input."""
+
+from collections import defaultdict
+
+import sentencepiece
+
+import corpus_pipeline
+from quarry.llm.queries import vocabulary
+from tests.llm.test_operators import brute_components, brute_contamination, brute_fingerprint
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        out.write.parquet(str(tmp_path / name))
+        kept[name] = (docs, spark.read.parquet(str(tmp_path / name)))
+        docs = kept[name][1]
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+
+    rows = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    before, after = map(rows, kept["toxicity"])
+    assert set(after) <= set(before) and len(after) > 0.8 * len(before)
+
+    before, after = map(rows, kept["exact_dedup"])
+    best = defaultdict(lambda: -1)
+    for i, t in before:
+        best[t] = max(best[t], i)
+    assert sorted(after) == sorted((i, t) for t, i in best.items())
+
+    before, after = map(rows, kept["simhash"])
+    roots = brute_components([brute_fingerprint(t) for _, t in before], lambda a, b: (a ^ b).bit_count() <= 5)
+    least = {}
+    for (i, t), r in zip(before, roots):
+        least[r] = min(least.get(r, (i, t)), (i, t))
+    assert sorted(after) == sorted(least.values())
+
+    before, after = map(rows, kept["decontamination"])
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    after = dict(after)
+    for i, t in before:
+        n, hit, *_ = brute_contamination(t, items)
+        if not hit:
+            assert after[i] == t
+        elif hit < n:
+            assert brute_contamination(after[i], [])[0] == n - hit
+        else:
+            assert i not in after
+
+    before, after = kept["sentencepiece"]
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    assert {r.doc_id: list(r.ids) for r in after.collect()} == {r.doc_id: library.encode(r.text) for r in before.collect()}
