@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quarry.llm.fm_index import FMIndex
 from quarry.llm.frames import text_bytes
-from quarry.llm.words import ALPHANUMERIC, slices, split
+from quarry.llm.words import ALPHANUMERIC, bounded, slices, split
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -165,12 +165,12 @@ def cut_spans(text: str, spans: list) -> str:
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, remove: bool = False) -> DataFrame:
     """docs with __n_words, __spans (word places of removal spans, merged) and __items (item ids as strings, sorted).
 
     A window is that many consecutive words of an item, or the whole item if shorter; items without words have none.
     Null texts have no words. A null item id is the item "null"; rows of one item id are one item. The benchmark is
-    read in blocks of about block_bytes, so any size of it is searched whole.
+    read in blocks of about block_bytes, so any size of it is searched whole. remove: cut the spans out of the texts, too.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("id"), F.col(item_text_col).alias("text"))
     blocks = max(1, -(-text_bytes(items, "text") // block_bytes))
@@ -179,28 +179,36 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part.collect()], window))
-        out = out.mapInArrow(_annotate(phrases, text_col), schema)
+        out = out.mapInArrow(_annotate(phrases, text_col, remove and b == blocks - 1), schema)
     return out
 
 
-def _annotate(phrases, text_col: str):
+def _annotate(phrases, text_col: str, remove: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            n_words, spans, items = _search_batch(batch.column(batch.schema.get_field_index(text_col)), phrases.value)
-            before_spans, before_items = batch.column("__spans"), batch.column("__items")
-            if pc.any(pc.greater(pc.list_value_length(before_items), 0)).as_py():
-                for i, (s, x) in enumerate(zip(before_spans.to_pylist(), before_items.to_pylist())):
-                    if x:
-                        both = np.concatenate([spans[i], np.array([[y["first"], y["end"]] for y in s], np.int64)])
-                        _, a, e = _merge_spans(np.zeros(len(both), np.int64), both[:, 0], both[:, 1])
-                        spans[i], items[i] = np.stack([a, e], axis=1), list({*items[i], *x})
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
-            flat = np.concatenate(spans)
-            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["first", "end"])
-            new = {"__n_words": pa.array(n_words), "__spans": pa.ListArray.from_arrays(pa.array(offsets), pairs), "__items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(name, batch.column(i)) for i, name in enumerate(batch.schema.names)], names=batch.schema.names)
+        for first in batches:
+            yield from map(one, bounded([first], first.schema.get_field_index(text_col)))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.schema.get_field_index(text_col)
+        n_words, spans, items = _search_batch(batch.column(column), phrases.value)
+        before_spans, before_items = batch.column("__spans"), batch.column("__items")
+        if pc.any(pc.greater(pc.list_value_length(before_items), 0)).as_py():
+            for i, (s, x) in enumerate(zip(before_spans.to_pylist(), before_items.to_pylist())):
+                if x:
+                    both = np.concatenate([spans[i], np.array([[y["first"], y["end"]] for y in s], np.int64)])
+                    _, a, e = _merge_spans(np.zeros(len(both), np.int64), both[:, 0], both[:, 1])
+                    spans[i], items[i] = np.stack([a, e], axis=1), list({*items[i], *x})
+        offsets = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
+        flat = np.concatenate(spans)
+        pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["first", "end"])
+        new = {"__n_words": pa.array(n_words), "__spans": pa.ListArray.from_arrays(pa.array(offsets), pairs), "__items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+        if remove and len(flat):
+            texts = batch.column(column).to_pylist()
+            for i, s in enumerate(spans):
+                if len(s):
+                    texts[i] = cut_spans(texts[i], s.tolist())
+            new[text_col] = pa.array(texts, batch.schema.field(column).type)
+        return pa.RecordBatch.from_arrays([new.get(name, batch.column(i)) for i, name in enumerate(batch.schema.names)], names=batch.schema.names)
 
     return run
 
@@ -215,23 +223,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the removal spans cut out of the text, columns as they were. A text without a hit, null included, stays
     unchanged; a document of which no word is left is dropped. Other columns keep their values."""
-    found = find_spans(docs, benchmark, text_col=text_col, window=window)
-    at = found.columns.index(text_col)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("__spans")
-            hit = np.flatnonzero(pc.list_value_length(spans).to_numpy(zero_copy_only=False))
-            if len(hit):
-                texts = batch.column(at).to_pylist()
-                for i in hit.tolist():
-                    texts[i] = cut_spans(texts[i], [(s["first"], s["end"]) for s in spans[i].as_py()])
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch
-
+    found = find_spans(docs, benchmark, text_col=text_col, window=window, remove=True)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
-    left = found.filter((F.size("__spans") == 0) | (hit < F.col("__n_words")))
-    return left.mapInArrow(run, left.schema).drop("__n_words", "__spans", "__items")
+    return found.filter((F.size("__spans") == 0) | (hit < F.col("__n_words"))).drop("__n_words", "__spans", "__items")
 
 
 _TOKENS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

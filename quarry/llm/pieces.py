@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import PrefixBPE, path as backwards
-from quarry.llm.words import slices
+from quarry.llm.words import bounded, slices
 
 MARK = "▁"
 _MARK = MARK.encode()
@@ -200,7 +200,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     read by each executor. Other columns are ignored; no rows give no rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             at = 0
             for ids, rows in encode_column(batch.column(1), load(path)):
                 end = at + len(rows) - 1
@@ -231,7 +231,7 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([str(i) for i in range(len(load(path).shown_at) - 1)], object)
-        for batch in batches:
+        for batch in bounded(batches):
             at = 0
             texts = slices(batch.column(1))
             for (ids, rows), (_, _, raw, offs) in zip(encode_column(batch.column(1), load(path)), texts):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.frames import cut, partitions
-from quarry.llm.words import NON_SPACE, Words, slices, split
+from quarry.llm.words import NON_SPACE, Words, bounded, slices, split
 
 SHINGLE = 4
 DISTANCE = 4
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) of each row, and the long columns named in also."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             got = [majority_bits(*shingle_hashes(split(raw, offs, NON_SPACE, lower=True), shingle)) for _, _, raw, offs in slices(batch.column(1))]
             if got:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *also])

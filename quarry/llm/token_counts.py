@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import PrefixBPE, byte_level
-from quarry.llm.words import slices, sums, text_buffers
+from quarry.llm.words import bounded, slices, sums, text_buffers
 
 LIMIT = 512
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -183,7 +183,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, specials = encoder(path)
-        for batch in batches:
+        for batch in bounded(batches):
             n_bytes = np.diff(text_buffers(batch.column(1))[1])
             n = count_tokens(batch.column(1), coder, specials)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -198,7 +198,7 @@ def truncate(docs: DataFrame, path: str, budget: int = LIMIT, text_col: str = "t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, specials = encoder(path)
-        for batch in batches:
+        for batch in bounded(batches, at):
             over = np.flatnonzero(count_tokens(batch.column(at), coder, specials) > budget)
             if len(over):
                 texts = batch.column(at).to_pylist()

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.frames import cut
-from quarry.llm.words import ALPHANUMERIC, Words, hashes, mix, slices, split
+from quarry.llm.words import ALPHANUMERIC, Words, bounded, hashes, mix, slices, split
 
 #: At most this many labelled rows are learned from, those whose ids have the least hashes.
 MAX_ROWS = 8000
@@ -47,7 +48,7 @@ class FTRL:
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         l1 = np.full(len(z), self.l1)
-        if isinstance(at, slice) or (len(at) and at[-1] == len(self.z) - 1):
+        if (at.stop == len(self.z)) if isinstance(at, slice) else (len(at) and at[-1] == len(self.z) - 1):
             l1[-1] = 0.0
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
@@ -62,7 +63,7 @@ class FTRL:
 
 def _featured(bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             for start, end, raw, offs in slices(batch.column(2)):
                 row, bucket = features(split(raw, offs, ALPHANUMERIC, lower=True), bits)
                 both = np.unique(row << bits | bucket)
@@ -84,7 +85,9 @@ def _learned(bits: int, max_rows: int, alpha: float, beta: float, l1: float, l2:
         for _ in range(rounds):
             for buckets, label in kept:
                 model.learn(buckets, label)
-        w = model.weights(slice(None))
+        size = len(model.z)
+        parts = [slice(a, min(a + (1 << 18), size)) for a in range(0, size, 1 << 18)]
+        w = np.concatenate([model.weights(p) for p in parts])
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["bucket", "weight"])
 
@@ -108,14 +111,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _scores(bits: int, model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = model.value
-        dense = np.zeros((1 << bits) + 1, np.float64)
+        dense = np.zeros((1 << bits) + 1, np.float32)
         dense[at] = w
-        live = dense != 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded([whole], whole.schema.get_field_index("__text"))):
             got = []
             for start, end, raw, offs in slices(batch.column(batch.schema.get_field_index("__text"))):
                 row, bucket = features(split(raw, offs, ALPHANUMERIC, lower=True), bits)
-                hit = live[bucket]
+                hit = dense[bucket] != 0
                 both = np.unique(row[hit] << bits | bucket[hit])
                 total = np.bincount(both >> bits, dense[both & ((1 << bits) - 1)], end - start)
                 got.append(1 / (1 + np.exp(-(total + dense[-1]))))
@@ -132,8 +134,7 @@ def with_scores(docs: DataFrame, weights: DataFrame, text_col: str = "text", bit
     executor as arrays of bounded size."""
     found = cut(weights).collect()
     model = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.float64)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__text", F.col(text_col)).mapInArrow(_scores(bits, model), f"{fields}, __score double")
+    return docs.withColumn("__text", F.col(text_col)).mapInArrow(_scores(bits, model), T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def held_out(id_col: Column) -> Column:

@@ -6,7 +6,7 @@ own, so memory follows the longest text and never the batch. Null texts count as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +48,18 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
+def bounded(batches: Iterable[pa.RecordBatch], column: int = 1, size: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of about so many bytes of a text column, so a worker's memory follows neither
+    the number nor the length of a batch's rows."""
+    for batch in batches:
+        at, n = 0, len(batch)
+        offs = text_buffers(batch.column(column))[1] if n else None
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(offs, offs[at] + size, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 @dataclass
 class Words:
     """Words of some rows. text: each word followed by one blank. at: where words begin in it, and its length.
