@@ -60,9 +60,10 @@ def ngrams(host: Column, path: Column, sizes: tuple[int, ...] = SIZES, buckets:
     chars = F.regexp_extract_all(marked, F.lit("(?s)."), F.lit(0))
 
     def of(n: int) -> Column:
-        last = F.size(chars) - n + 1
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.array_join(F.slice(chars, i, n), "")), F.lit(buckets)).cast("int"))
-        return F.when(last > 0, grams).otherwise(F.array().cast("array<int>"))
+        grams = chars
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+        return F.transform(F.filter(grams, lambda g: g.isNotNull()), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
 
     return F.concat(*[of(n) for n in sizes])
 
