@@ -24,16 +24,21 @@ BLOCK_ROWS = 5000
 
 @dataclass(frozen=True)
 class Layer:
-    """prepare: from a description to what score() compares. score(existing, new) is from 0 to 1."""
+    """prepare: from a description to what score() compares. score(existing, new) is from 0 to 1. possible: from the
+    threshold, sizes of existing with and without repeats and of new without, whether the score can reach it; a cheap
+    test that spares most scores and loses none."""
 
     name: str
     threshold: float
     prepare: Callable[[Column], Column]
     score: Callable[[Column, Column], Column]
+    possible: Callable[[float, Column, Column, Column], Column] = lambda t, n, distinct, new: F.lit(True)
 
 
-KEYWORD = Layer("keyword", 0.80, text.tokens, text.token_overlap)
-TRIGRAM = Layer("trigram", 0.55, text.char_ngrams, text.jaccard)
+#: Each of existing's tokens that new lacks is an occurrence without a match.
+KEYWORD = Layer("keyword", 0.80, text.tokens, text.token_overlap, lambda t, n, distinct, new: distinct - new <= (1 - t) * n + 1e-9)
+#: What two sets share is at most the smaller of them, and their union at least the larger.
+TRIGRAM = Layer("trigram", 0.55, text.char_ngrams, text.jaccard, lambda t, n, distinct, new: F.least(distinct, new) >= t * F.greatest(distinct, new) - 1e-9)
 MINHASH = Layer("minhash", 0.70, lambda s: minhash.signature(text.shingles(text.tokens(s))), minhash.similarity)
 TFIDF_THRESHOLD = 0.60
 
@@ -55,11 +60,13 @@ def _blocks(new: DataFrame, rows: int = BLOCK_ROWS) -> list[DataFrame]:
 def scored(tasks: DataFrame, new: DataFrame, layer: Layer) -> DataFrame:
     """(new_id, id, created_at, status, score) of all pairs that score at least the layer's threshold.
     tasks: (id, description, status, created_at); new: (new_id, description)."""
-    held = tasks.select("id", "status", "created_at", layer.prepare(F.col("description")).alias("a"))
+    sizes = lambda c: (F.size(c), F.size(F.array_distinct(c)))
+    held = tasks.select("id", "status", "created_at", layer.prepare(F.col("description")).alias("a")).withColumns(dict(zip(("n", "distinct"), sizes("a"))))
     out = None
     for block in _blocks(new.select("new_id", "description")):
-        asked = F.broadcast(block.select("new_id", layer.prepare(F.col("description")).alias("b")))
-        pairs = held.join(asked, layer.score(F.col("a"), F.col("b")) >= layer.threshold)
+        asked = F.broadcast(block.select("new_id", layer.prepare(F.col("description")).alias("b")).withColumn("new", sizes("b")[1]))
+        can = layer.possible(layer.threshold, F.col("n"), F.col("distinct"), F.col("new"))
+        pairs = held.join(asked, F.when(can, layer.score(F.col("a"), F.col("b"))).otherwise(-1.0) >= layer.threshold)
         part = pairs.select("new_id", "id", "created_at", "status", layer.score(F.col("a"), F.col("b")).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -678,3 +678,57 @@ def call_ref_names(spark, d):
     rows = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     calls = F.array(F.lit("a.b.f"), F.concat(F.lit("x."), "p_brand"), F.lit("f"))
     return rows.select("l_orderkey", "l_linenumber", F.array_sort(F.array_distinct(F.transform(calls, lambda c: F.substring_index(c, ".", -1)))).alias("refs"))
+
+
+# --- texts that need a scanner, extraction, admission and event windows ---
+
+
+@query("""select conv_id, turn, '{"classification": "small", "n": ' || turn || '}' as found from conversations""")
+def extract_classification(spark, d):
+    from quarry.functions import parsing
+
+    said = F.concat(F.lit('Sure {not json} {"x": 1} then {"classification": "small", "n": '), F.col("turn").cast("string"), F.lit("} done {"))
+    return V.table(spark, d, "conversations").select("conv_id", "turn", parsing.extract_classification(said).alias("found"))
+
+
+@query("""select c_custkey, c_name as second, 3 as n from customer""")
+def shlex_words(spark, d):
+    from quarry.functions import parsing
+
+    words = parsing.shlex_split(F.concat(F.lit("run '"), "c_name", F.lit("' \"a \\\" b\"")))
+    return V.table(spark, d, "customer").select("c_custkey", words.alias("w")).select("c_custkey", F.col("w")[1].alias("second"), F.size("w").alias("n"))
+
+
+@query("""select p_partkey, f || p_partkey as name, k as kind, s as parent_name from part, (values ('Server', 'struct', ''), ('start', 'method', 'Server'), ('make', 'function', '')) v(f, k, s)""")
+def extract_symbols(spark, d):
+    from quarry.sources import extract
+
+    n = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit("package p\n\n// doc\ntype Server"), n, F.lit(" struct {\n\ta int\n}\n\nfunc (s *Server) start"), n, F.lit("() error {\n\treturn nil\n}\n\nfunc make"), n, F.lit("(x string) {\n\ty.start(x)\n}\n"))
+    found = extract.symbols(V.table(spark, d, "part").select(n.alias("path"), F.lit("go").alias("language"), code.alias("content")))
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "name", "kind", "parent_name")
+
+
+@query()
+def admit_in_order(spark, d):
+    return dedup.admit(V.tasks(spark, d), V.new_tasks(spark, d)).select("new_id", "accepted")
+
+
+def _events(spark, d):
+    return V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""select time_bucket(interval '10 minutes', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""")
+def event_windows(spark, d):
+    from quarry.streaming import tasks as S
+
+    return S.windowed_counts(_events(spark, d)).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""with e as (select user_id, ts, case when ts - lag(ts) over w >= interval '30 minutes' or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts)),
+s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from e)
+select user_id, min(ts) as start, count(*) as n from s group by user_id, s""")
+def event_sessions(spark, d):
+    from quarry.streaming import tasks as S
+
+    return S.sessions(_events(spark, d)).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
