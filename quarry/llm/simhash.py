@@ -27,6 +27,8 @@ SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 LINK_ROWS = 200_000
+#: A component's fingerprints are joined to its id in so many parts, since one may be large.
+SALTS = 32
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -153,10 +155,11 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def _classes(prints: DataFrame, distance: int) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint."""
     own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(own, distance))
-    placed = own.join(roots, own.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return placed.join(least, "root").select("fp", "component_id")
+    placed = own.join(components(links(own, distance)), F.col("fp") == F.col("node"), "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    linked = placed.filter("root is not null")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    alone = placed.filter("root is null").select("fp", F.col("least_id").alias("component_id"))
+    return alone.unionByName(linked.join(least, ["root", "salt"]).select("fp", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
