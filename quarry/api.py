@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import dedup, graph, index, lifecycle, search
+from quarry.operators.lineage import cut
 from quarry.sources import extract, files
 from quarry.sources.store import Store
 
@@ -36,9 +37,9 @@ class Engine:
     def _index(self, found: DataFrame) -> None:
         walked = self.store.write("files_raw", found)
         parsed = extract.symbols(walked.withColumn("content", F.decode("content", "UTF-8")))
-        ids = index.with_symbol_ids(parsed.withColumn("ordinal", F.monotonically_increasing_id()))
+        ids = index.with_symbol_ids(parsed.withColumnRenamed("path", "file_path").withColumn("ordinal", F.monotonically_increasing_id()))
         whole = self.store.write("parsed", ids)
-        counts = whole.groupBy("path").agg(F.count("*").cast("int").alias("symbol_count"))
+        counts = whole.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("symbol_count"))
         self.store.write("files", walked.drop("content").join(counts, "path", "left").fillna(0, ["symbol_count"]))
         symbols = index.last_per_key(whole.drop("refs"), ["id"], [F.col("line"), F.col("ordinal")]).drop("ordinal")
         symbols = self.store.write("symbols_unranked", symbols)
@@ -54,8 +55,9 @@ class Engine:
             self.build(repository)
             return self.store.read("files").select("path", F.lit("parse").alias("action"))
         old, now = self.store.read("files"), files.scan(self.spark, repository)
-        plan = index.change_plan(old, now).cache()
-        gone = index.deleted_files(old, now)
+        # both are read out before the tables that they come from are replaced
+        plan = cut(index.change_plan(old, now))
+        gone = cut(index.deleted_files(old, now).select("path"))
         if plan.filter("action = 'parse'").isEmpty() and gone.isEmpty():
             return plan
         self._index(now)
@@ -106,7 +108,7 @@ class Engine:
         """Insert (new_id, description) in the order of new_id, each checked against what is there by then; the rows of
         new with accepted. Empty and overlong descriptions are not accepted."""
         fit = new.filter((F.octet_length(F.coalesce("description", F.lit(""))) <= MAX_DESCRIPTION) & (text.trimmed(F.coalesce("description", F.lit(""))) != ""))
-        verdict = dedup.admit(self.tasks(), fit).select("new_id", "description", "accepted").checkpoint()
+        verdict = cut(dedup.admit(self.tasks(), fit).select("new_id", "description", "accepted"))
         last = self.tasks().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         from pyspark.sql import window as W
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quarry.functions import minhash, text
+from quarry.operators.lineage import cut
 
 #: Three sets of statuses that count as active: for the first-match layer and admission, for scored layers, for counts.
 FIRST_MATCH_ORDER = ("executing", "pending", "approved", "created", "classified")
@@ -72,11 +73,16 @@ def scored(tasks: DataFrame, new: DataFrame, layer: Layer) -> DataFrame:
     return out
 
 
+def _age() -> Column:
+    """Sorts the newest first, for times and numbers alike."""
+    return -F.col("created_at").cast("double")
+
+
 def first_match(tasks: DataFrame, new: DataFrame, layer: Layer = KEYWORD) -> DataFrame:
     """(new_id, id, score): of each new description the first hit by status, then the newest."""
     rank = F.array_position(F.lit(list(FIRST_MATCH_ORDER)), F.col("status"))
     hits = scored(tasks.filter(F.col("status").isin(*FIRST_MATCH_ORDER)), new, layer)
-    return hits.groupBy("new_id").agg(F.min_by(F.struct("id", "score"), F.struct(rank, -F.col("created_at"), "id")).alias("m")).select("new_id", "m.id", "m.score")
+    return hits.groupBy("new_id").agg(F.min_by(F.struct("id", "score"), F.struct(rank, _age(), "id")).alias("m")).select("new_id", "m.id", "m.score")
 
 
 def best_match(tasks: DataFrame, new: DataFrame, layer: Layer) -> DataFrame:
@@ -86,7 +92,7 @@ def best_match(tasks: DataFrame, new: DataFrame, layer: Layer) -> DataFrame:
 
 
 def _best(hits: DataFrame) -> DataFrame:
-    return hits.filter("score > 0").groupBy("new_id").agg(F.min_by(F.struct("id", "score"), F.struct(-F.round("score", 12), -F.col("created_at"), "id")).alias("m")).select("new_id", "m.id", "m.score")
+    return hits.filter("score > 0").groupBy("new_id").agg(F.min_by(F.struct("id", "score"), F.struct(-F.round("score", 12), _age(), "id")).alias("m")).select("new_id", "m.id", "m.score")
 
 
 def tfidf_scores(tasks: DataFrame, new: DataFrame, limit: float = TFIDF_THRESHOLD) -> DataFrame:
@@ -173,12 +179,12 @@ def admit(existing: DataFrame, new: DataFrame) -> DataFrame:
     blocked = scored(active, new, KEYWORD).select("new_id").union(scored(active, new, TRIGRAM).select("new_id")).distinct()
     open_ = new.join(blocked, "new_id", "left_anti")
     as_tasks = open_.select(F.col("new_id").alias("id"), "description", F.lit("created").alias("status"), F.col("new_id").alias("created_at"))
-    links = scored(as_tasks, open_, KEYWORD).unionByName(scored(as_tasks, open_, TRIGRAM)).filter("id < new_id").select("new_id", F.col("id").alias("earlier")).distinct().checkpoint()
-    state = open_.select("new_id").withColumn("accepted", F.lit(None).cast("boolean")).checkpoint()
+    links = cut(scored(as_tasks, open_, KEYWORD).unionByName(scored(as_tasks, open_, TRIGRAM)).filter("id < new_id").select("new_id", F.col("id").alias("earlier")).distinct())
+    state = cut(open_.select("new_id").withColumn("accepted", F.lit(None).cast("boolean")))
     while not state.filter("accepted is null").isEmpty():
         earlier = links.join(state.select(F.col("new_id").alias("earlier"), F.col("accepted").alias("was")), "earlier")
         seen = earlier.groupBy("new_id").agg(F.max(F.coalesce("was", F.lit(False))).alias("hit"), F.max(F.col("was").isNull()).alias("waits"))
-        state = state.join(seen, "new_id", "left").select("new_id", F.coalesce("accepted", F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("accepted")).checkpoint()
+        state = cut(state.join(seen, "new_id", "left").select("new_id", F.coalesce("accepted", F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("accepted")))
     return new.join(state, "new_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quarry.operators.lineage import cut
+
 
 def call_edges(refs: DataFrame, names: DataFrame, order: list[Column]) -> DataFrame:
     """(from_id, to_id): refs (caller_id, ref_name) to the symbol of that name, the last in the order given of names
@@ -30,26 +30,21 @@ def out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(n, F.col("id") == F.col("from_id"), "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank) of every node. Dangling mass is spread evenly; ends after the round whose ranks changed by less than
     tolerance together. Each round is one join and one aggregation; lineage is cut so that a lost executor costs one."""
     n = nodes.count()
-    degree = _cut(out_degrees(nodes, edges))
-    links = _cut(edges.select("from_id", "to_id").join(degree.withColumnRenamed("id", "from_id"), "from_id"))
-    rank = degree.select("id", "out_degree", F.lit(1.0 / max(n, 1)).alias("rank"))
+    if n == 0:
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    degree = cut(out_degrees(nodes, edges))
+    links = cut(edges.select("from_id", "to_id").join(degree.withColumnRenamed("id", "from_id"), "from_id"))
+    rank = degree.select("id", "out_degree", F.lit(1.0 / n).alias("rank"))
     for _ in range(rounds):
         dangling = rank.filter("out_degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         came = links.join(rank.select(F.col("id").alias("from_id"), "rank"), "from_id").groupBy("to_id").agg(F.sum(F.col("rank") / F.col("out_degree")).alias("came"))
         new = rank.join(came, rank.id == came.to_id, "left").select(
             "id", "out_degree", (F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("came", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
-        new = _cut(new)
+        new = cut(new)
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
         rank = new.drop("was")
         if change < tolerance:

@@ -565,7 +565,7 @@ def session_tools(spark, d):
 
 
 _RUNS = """runs as (select l_returnflag || l_linestatus as repo, l_suppkey as task_id, case l_linenumber % 3 when 0 then 'classify' when 1 then 'baseline' else 'mcp' end as variant,
-  l_orderkey * 10 + l_linenumber as path, cast(l_quantity as double) as wall, cast(l_partkey as bigint) as eff, cast(l_linenumber as bigint) as tools from lineitem),
+  lpad(cast(l_orderkey as varchar), 12, '0') || l_linenumber || lpad(cast(l_partkey as varchar), 12, '0') || lpad(cast(cast(l_quantity as integer) as varchar), 6, '0') as path, cast(l_quantity as double) as wall, cast(l_partkey as bigint) as eff, cast(l_linenumber as bigint) as tools from lineitem),
 last as (select repo, task_id, variant, arg_max(wall, path) as wall, arg_max(eff, path) as eff, arg_max(tools, path) as tools from runs group by 1, 2, 3),
 tab as (select repo, task_id, coalesce(max(wall) filter (variant = 'classify'), 0) as classify_wall, coalesce(max(eff) filter (variant = 'baseline'), 0) as baseline, coalesce(max(eff) filter (variant = 'mcp'), 0) as mcp,
   coalesce(max(tools) filter (variant = 'baseline'), 0) as baseline_tools, coalesce(max(tools) filter (variant = 'mcp'), 0) as mcp_tools from last group by 1, 2)"""
@@ -574,7 +574,8 @@ tab as (select repo, task_id, coalesce(max(wall) filter (variant = 'classify'),
 def _runs(spark, d):
     line = V.table(spark, d, "lineitem")
     variant = F.element_at(F.lit(["classify", "baseline", "mcp"]), (F.col("l_linenumber") % 3).cast("int") + 1)
-    rows = line.select(F.concat("l_returnflag", "l_linestatus").alias("repo"), F.col("l_suppkey").alias("task_id"), variant.alias("variant"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path"), F.col("l_quantity").cast("double").alias("wall_clock_sec"), F.col("l_partkey").cast("long").alias("effective"), F.col("l_linenumber").cast("long").alias("tool_calls"))
+    path = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 6, "0"))
+    rows = line.select(F.concat("l_returnflag", "l_linestatus").alias("repo"), F.col("l_suppkey").alias("task_id"), variant.alias("variant"), path.alias("path"), F.col("l_quantity").cast("double").alias("wall_clock_sec"), F.col("l_partkey").cast("long").alias("effective"), F.col("l_linenumber").cast("long").alias("tool_calls"))
     return usage.variant_table(usage.latest_runs(rows))
 
 

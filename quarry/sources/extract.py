@@ -266,7 +266,7 @@ def kotlin(src: str) -> list[dict]:
                     inner = brace + 1
                     if enum:
                         last = code.find(";", inner, end - 1)
-                        for e in re.compile(rf"(?:\A|[{{,])\s*({_NAME})\s*(?=[,;(}}\s])").finditer(code, brace, last if last >= 0 else end):
+                        for e in re.compile(rf"(?:\A|[{{,])\s*({_NAME})\s*(?=[,;(}}\s])").finditer(code, brace, last + 1 if last >= 0 else end):
                             if code[brace : e.start(1)].count("(") == code[brace : e.start(1)].count(")"):
                                 f.add(e[1], "enum_value", e.start(1), e.end(1), e[1], name)
                         inner = last + 1 if last >= 0 else end - 1
