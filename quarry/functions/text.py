@@ -52,6 +52,12 @@ def char_ngrams(s: Column, n: int = 3) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.array_distinct(consecutive(chars, n)))
 
 
+def trigram_codes(s: Column) -> Column:
+    """char_ngrams() of three bytes as numbers, one for one: sets of integers intersect much faster."""
+    byte = lambda g, i: F.ascii(F.substring(g, i, 1))
+    return F.transform(char_ngrams(s, 3), lambda g: byte(g, 1) * 65536 + byte(g, 2) * 256 + byte(g, 3))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 if either is empty."""
     both = F.size(F.array_intersect(a, b))

@@ -39,7 +39,7 @@ class Layer:
 #: Each of existing's tokens that new lacks is an occurrence without a match.
 KEYWORD = Layer("keyword", 0.80, text.tokens, text.token_overlap, lambda t, n, distinct, new: distinct - new <= (1 - t) * n + 1e-9)
 #: What two sets share is at most the smaller of them, and their union at least the larger.
-TRIGRAM = Layer("trigram", 0.55, text.char_ngrams, text.jaccard, lambda t, n, distinct, new: F.least(distinct, new) >= t * F.greatest(distinct, new) - 1e-9)
+TRIGRAM = Layer("trigram", 0.55, text.trigram_codes, text.jaccard, lambda t, n, distinct, new: F.least(distinct, new) >= t * F.greatest(distinct, new) - 1e-9)
 MINHASH = Layer("minhash", 0.70, lambda s: minhash.signature(text.shingles(text.tokens(s))), minhash.similarity)
 TFIDF_THRESHOLD = 0.60
 
