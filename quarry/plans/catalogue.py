@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import text
+from quarry.functions import minhash, text
 from quarry.operators import dedup, graph, index, lifecycle, search, usage
 from quarry.plans import views as V
 from quarry.sources import lines as L
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
+_SLOW: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, slow: bool = False):
+    """slow: the SQL takes minutes on larger tables, so only the tests run it, on the smallest."""
+
     def add(f):
         _QUERIES[f.__name__] = f
         if sql is not None:
-            _SQL[f.__name__] = sql
+            (_SLOW if slow else _SQL)[f.__name__] = sql
         return f
 
     return add
@@ -32,6 +35,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def slow_sql() -> dict[str, str]:
+    return dict(_SLOW)
+
+
 def _rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -56,8 +63,8 @@ def dedup_keyword_first(spark, d):
 
 _GRAMS = """list_distinct(case when {0} = '' then [] else list_transform(range(1, len({0}) + 1), lambda i: substr(' ' || {0} || ' ', i, 3)) end)"""
 _FLAT = f"trim(regexp_replace({_LOW}, '[^a-z0-9]+', ' ', 'g'))"
-_TRI = f"""tf as (select id, status, created_at, {_FLAT.format('description')} as f from tasks), nf as (select new_id, {_FLAT.format('description')} as f from new),
-  tg as (select id, status, created_at, {_GRAMS.format('f')} as a from tf), ng as (select new_id, {_GRAMS.format('f')} as b from nf),
+_TRI = f"""tfl as (select id, status, created_at, {_FLAT.format('description')} as f from tasks), nf as (select new_id, {_FLAT.format('description')} as f from new),
+  tg as (select id, status, created_at, {_GRAMS.format('f')} as a from tfl), ng as (select new_id, {_GRAMS.format('f')} as b from nf),
   tri as (select new_id, id, status, created_at, i / (len(a) + len(b) - i) as score from (select *, len(list_intersect(a, b)) as i from tg, ng) where i > 0)"""
 _SCORED = "status not in ('done', 'failed', 'rejected', 'pending_clarification')"
 
@@ -86,27 +93,54 @@ def dedup_tfidf_best(spark, d):
     return _rounded(dedup.best_tfidf(V.tasks(spark, d), V.new_tasks(spark, d)), "score")
 
 
-@query()
+_A, _B = (x.tolist() for x in minhash.permutations())
+_SHINGLES = "list_distinct(case when len({0}) < 2 then {0} else list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]) end)"
+_TOP = 1 << 64
+
+
+def _signed(tables: str) -> str:
+    """Signatures of (key, w), in 128-bit arithmetic: the factor times the hash is taken in two halves."""
+    perm = ", ".join(f"({i}, {a >> 32}::uhugeint, {a & 0xFFFFFFFF}::uhugeint, {b}::uhugeint)" for i, (a, b) in enumerate(zip(_A, _B)))
+    return f"""all_w as ({tables}), shi as (select key, unnest({_SHINGLES.format("w")}) as s from all_w),
+hashed as (select s, list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::uhugeint), lambda h, b: (xor(h, b) * {minhash.FNV_PRIME}::uhugeint) % {_TOP}::uhugeint, {minhash.FNV_START}::uhugeint) as h from (select distinct s from shi)),
+perm(p, hi, lo, b) as (values {perm}), mins as (select key, p, min((((hi * h) % {1 << 32}::uhugeint) * {1 << 32}::uhugeint + lo * h + b) % {_TOP}::uhugeint) as m from shi join hashed using (s), perm group by key, p),
+sigs as (select key, list(case when m >= {1 << 63}::uhugeint then (m::hugeint - {_TOP}::hugeint)::bigint else m::bigint end order by p) as sig from mins group by key),
+sig as (select key, coalesce(sig, list_transform(range(0, 64), lambda i: -1::bigint)) as sig from all_w left join sigs using (key))"""
+
+
+_SAME = "len(list_filter(range(1, 65), lambda i: {0}[i] = {1}[i])) / 64"
+_TASK_WORDS = f"select id as key, {_tok('description')} as w from tasks"
+_ALL_WORDS = f"{_TASK_WORDS} where {_SCORED} union all select -1 - new_id, {_tok('description')} from new"
+_MIN = f"mh as (select -1 - n.key as new_id, t.key as id, {_SAME.format('t.sig', 'n.sig')} as score from sig t, sig n where t.key >= 0 and n.key < 0)"
+
+
+@query(f"""with {V.TASKS}, {V.NEW}, {_signed(_ALL_WORDS)}, {_MIN}
+select new_id, id, round(score, 9) as score from mh join tasks using (id) where score >= 0.7 qualify row_number() over (partition by new_id order by score desc, created_at desc, id) = 1""", slow=True)
 def dedup_minhash_best(spark, d):
     return _rounded(dedup.best_match(V.tasks(spark, d), V.new_tasks(spark, d), dedup.MINHASH), "score")
 
 
-@query()
+@query(f"with {V.TASKS}, {_signed(_TASK_WORDS)} select key as id, sig as signature from sig")
 def dedup_minhash_signature(spark, d):
     return dedup.signatures(V.tasks(spark, d))
 
 
-@query()
+@query(f"with {V.TASKS}, {_signed(_TASK_WORDS)} select min(key) as class_id, count(*) as n from sig group by sig", slow=True)
 def dedup_minhash_classes(spark, d):
     return dedup.signature_classes(V.tasks(spark, d)).select("class_id", "n")
 
 
-@query()
+@query(f"""with {V.TASKS}, {_signed(_TASK_WORDS)}, cls as (select min(key) as c, sig from sig group by sig)
+select x.c as a, y.c as b, {_SAME.format('x.sig', 'y.sig')} as similarity from cls x, cls y where x.c < y.c and {_SAME.format('x.sig', 'y.sig')} >= 0.7""")
 def dedup_minhash_pairs(spark, d):
     return _rounded(dedup.minhash_pairs(V.tasks(spark, d)), "similarity")
 
 
-@query()
+@query(f"""with {V.TASKS}, {V.NEW}, {_OVERLAP}, {_TRI}, {_TFIDF}, {_signed(_ALL_WORDS)}, {_MIN},
+hits as (select new_id, 1 as l, 'keyword' as layer, id, score, {_RANK} as r from kw where {_RANK} is not null and score >= 0.8
+  union all select new_id, 2, 'trigram', id, score, -round(score, 12) from tri where {_SCORED} and score >= 0.55 union all select new_id, 3, 'tfidf', id, score, -round(score, 12) from cosine where score >= 0.6
+  union all select new_id, 4, 'minhash', id, score, -round(score, 12) from mh where score >= 0.7)
+select new_id, layer, id, round(score, 9) as score from hits join tasks using (id) qualify row_number() over (partition by new_id order by l, r, created_at desc, id) = 1""", slow=True)
 def dedup_cascade(spark, d):
     return _rounded(dedup.cascade(V.tasks(spark, d), V.new_tasks(spark, d)), "score")
 

@@ -9,7 +9,7 @@ from quarry.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql() | catalogue.slow_sql()
 
 
 @pytest.fixture(scope="module")
