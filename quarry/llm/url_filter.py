@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 8192
 SIZES = (3, 4, 5)
-ROUNDS = 200
-RATE = 0.15
+ROUNDS = 400
+RATE = 0.3
 
 #: (host, path, verdict). A rule holds for its host and all hosts below it, where the path begins with its path.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -31,13 +31,13 @@ JUNK = "casino pills spam cheap poker win loan free ads replica jackpot xxx bets
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, blocked): URLs put together from the two lists by a rule, somewhat more plain ones than junk; paths and
+    """(url, blocked): URLs put together from the two lists by a rule, more than two plain ones to a junk one; paths and
     domains occur under both labels."""
     rows = []
     tops, fronts, langs = ("example.com", "example.net", "example.org"), ("", "www.", "blog.", "m."), ("en", "fr", "de", "es")
     for label, names in ((0, PLAIN), (1, JUNK)):
         for i, name in enumerate(names):
-            for j in range(2 + 2 * label):
+            for j in range(4):
                 host = f"{name}-{names[(i + 7 + 3 * j) % len(names)]}" if (i + j) % 2 else name
                 rows.append((f"http://{fronts[(i + j) % 4]}{host}.{tops[(i + 2 * j) % 3]}/{langs[(i + j) % 4]}/{37 * i + 11 * j}", label))
     return spark.createDataFrame(rows, "url string, blocked int")
