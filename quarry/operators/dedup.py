@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quarry.functions import minhash, text
-from quarry.operators.lineage import cut
+from quarry.operators.lineage import cut, spread
 
 #: Three sets of statuses that count as active: for the first-match layer and admission, for scored layers, for counts.
 FIRST_MATCH_ORDER = ("executing", "pending", "approved", "created", "classified")
@@ -62,7 +62,7 @@ def scored(tasks: DataFrame, new: DataFrame, layer: Layer) -> DataFrame:
     """(new_id, id, created_at, status, score) of all pairs that score at least the layer's threshold.
     tasks: (id, description, status, created_at); new: (new_id, description)."""
     sizes = lambda c: (F.size(c), F.size(F.array_distinct(c)))
-    held = tasks.select("id", "status", "created_at", layer.prepare(F.col("description")).alias("a")).withColumns(dict(zip(("n", "distinct"), sizes("a"))))
+    held = spread(tasks.select("id", "description", "status", "created_at")).select("id", "status", "created_at", layer.prepare(F.col("description")).alias("a")).withColumns(dict(zip(("n", "distinct"), sizes("a"))))
     out = None
     for block in _blocks(new.select("new_id", "description")):
         asked = F.broadcast(block.select("new_id", layer.prepare(F.col("description")).alias("b")).withColumn("new", sizes("b")[1]))
@@ -152,7 +152,7 @@ def candidates_by_tokens(tasks: DataFrame, new: DataFrame, top: int = 5) -> Data
 
 def signatures(tasks: DataFrame) -> DataFrame:
     """(id, signature)."""
-    return tasks.select("id", minhash.signature(text.shingles(text.tokens(F.col("description")))).alias("signature"))
+    return spread(tasks.select("id", "description")).select("id", minhash.signature(text.shingles(text.tokens(F.col("description")))).alias("signature"))
 
 
 def signature_classes(tasks: DataFrame) -> DataFrame:
