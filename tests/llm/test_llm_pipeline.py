@@ -6,7 +6,7 @@ import sentencepiece
 
 import corpus_pipeline
 from quarry.llm.queries import vocabulary
-from tests.llm.test_operators import brute_components, brute_contamination, brute_fingerprint
+from tests.llm.test_llm_operators import brute_components, brute_contamination, brute_fingerprint
 
 SMALL = "/root/testdata/sf0.001"
 
