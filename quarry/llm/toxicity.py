@@ -108,23 +108,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return seen.repartition(1).sortWithinPartitions("place", "buckets").mapInArrow(_learned(bits, max_rows, alpha, beta, l1, l2, rounds), "bucket int, weight double")
 
 
-def _scores(bits: int, model):
+def _scores(bits: int, model, text_col: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = model.value
         dense = np.zeros((1 << bits) + 1, np.float32)
         dense[at] = w
-        for batch in (part for whole in batches for part in bounded([whole], whole.schema.get_field_index("__text"))):
-            got = []
-            for start, end, raw, offs in slices(batch.column(batch.schema.get_field_index("__text"))):
-                row, bucket = features(split(raw, offs, ALPHANUMERIC, lower=True), bits)
-                hit = dense[bucket] != 0
-                both = np.unique(row[hit] << bits | bucket[hit])
-                total = np.bincount(both >> bits, dense[both & ((1 << bits) - 1)], end - start)
-                got.append(1 / (1 + np.exp(-(total + dense[-1]))))
-            if got:
-                place = batch.schema.get_field_index("__text")
-                names = [*batch.schema.names[:place], *batch.schema.names[place + 1 :]]
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in range(batch.num_columns) if n != place], pa.array(np.concatenate(got))], [*names, "__score"])
+        for whole in batches:
+            column = whole.schema.get_field_index(text_col)
+            for batch in bounded([whole], column):
+                got = []
+                for start, end, raw, offs in slices(batch.column(column)):
+                    row, bucket = features(split(raw, offs, ALPHANUMERIC, lower=True), bits)
+                    hit = dense[bucket] != 0
+                    both = np.unique(row[hit] << bits | bucket[hit])
+                    total = np.bincount(both >> bits, dense[both & ((1 << bits) - 1)], end - start)
+                    got.append(1 / (1 + np.exp(-(total + dense[-1]))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got))], [*batch.schema.names, "__score"])
 
     return run
 
@@ -134,7 +133,7 @@ def with_scores(docs: DataFrame, weights: DataFrame, text_col: str = "text", bit
     executor as arrays of bounded size."""
     found = cut(weights).collect()
     model = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.float64)))
-    return docs.withColumn("__text", F.col(text_col)).mapInArrow(_scores(bits, model), T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return docs.mapInArrow(_scores(bits, model, text_col), T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def held_out(id_col: Column) -> Column:
