@@ -200,6 +200,11 @@ def task_list_recent(spark, d):
     return V.tasks(spark, d).select(*_SHOWN).orderBy(F.desc("created_at"), "id").limit(50)
 
 
+@query(f"with {V.TASKS} select id, status, repo, created_at from tasks order by created_at desc, id")
+def task_list_all(spark, d):
+    return V.tasks(spark, d).select(*_SHOWN).orderBy(F.desc("created_at"), "id")
+
+
 @query(f"""with {V.TASKS} select count_if(status in ('executing', 'pending', 'approved', 'created', 'classified')) as first_match, count_if({_SCORED}) as scored,
 count_if(status not in ('done', 'failed', 'rejected', 'interrupted')) as counted from tasks""")
 def task_active_sets(spark, d):
@@ -237,6 +242,11 @@ def dashboard_rows(spark, d):
     return lifecycle.dashboard(V.tasks(spark, d)).limit(100).select("id", "repo", "status", lifecycle.dashboard_rank(F.col("status")).alias("rank"), "created_at")
 
 
+@query(f"with {V.TASKS} select id, repo, status, {_DASH} as rank, created_at from tasks order by rank, created_at desc, id")
+def dashboard_rows_all(spark, d):
+    return lifecycle.dashboard(V.tasks(spark, d)).select("id", "repo", "status", lifecycle.dashboard_rank(F.col("status")).alias("rank"), "created_at")
+
+
 @query(f"with {V.TASKS} select repo, id, created_at from tasks where status = 'executing' and needs_input order by created_at, id limit 1")
 def oldest_needs_input(spark, d):
     return lifecycle.oldest_needing_input(V.tasks(spark, d))
