@@ -1,4 +1,4 @@
-"""Near-duplicate tasks: four similarity layers, their cascade, all-pairs joins and ordered admission.
+"""Near-duplicate tasks: four similarity layers, their cascade, an all-pairs join by MinHash and ordered admission.
 
 A stated set of new descriptions is held against all tasks in blocks of bounded size, each broadcast. Every other join
 is on equal keys.
