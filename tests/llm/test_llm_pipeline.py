@@ -6,7 +6,8 @@ import sentencepiece
 
 import corpus_pipeline
 from quarry.llm.queries import vocabulary
-from tests.llm.test_llm_operators import brute_components, brute_contamination, brute_fingerprint
+from tests.llm.test_llm_operators import brute_components, brute_contamination
+from tests.llm.test_shingle_join import shingles, similar
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,7 +34,7 @@ def test_stages(spark, tmp_path):
     assert sorted(after) == sorted((i, t) for t, i in best.items())
 
     before, after = map(rows, kept["simhash"])
-    roots = brute_components([brute_fingerprint(t) for _, t in before], lambda a, b: (a ^ b).bit_count() <= 5)
+    roots = brute_components([shingles(t) for _, t in before], similar)
     least = {}
     for (i, t), r in zip(before, roots):
         least[r] = min(least.get(r, (i, t)), (i, t))
