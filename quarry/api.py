@@ -18,7 +18,8 @@ TASK_SCHEMA = (
     "result string, branch string, tokens_used long, tools_used map<string,long>, plan_json string, needs_input boolean, created_at timestamp, updated_at timestamp"
 )
 STEP_SCHEMA = (
-    "task_id long, seq int, verb string, target_file string, symbols array<string>, acceptance string, depends_on array<int>, description string, status string, model_override string"
+    "task_id long, seq int, verb string, target_file string, symbols array<string>, acceptance string, depends_on array<int>, description string, status string, model_override string, "
+    "result string, session_id string, tokens_used long, duration_ms long, retry_count int, commit_sha string, updated_at timestamp"
 )
 MAX_DESCRIPTION = 4096
 SEARCHED = ["id", "name", "signature", "doc_comment"]
@@ -34,10 +35,16 @@ class Engine:
         """Scan, extract, resolve and rank a whole repository; tables are swapped in once written."""
         self._index(files.scan(self.spark, repository))
 
-    def _index(self, found: DataFrame) -> None:
+    def _index(self, found: DataFrame, changed: DataFrame | None = None) -> None:
+        """Index the files found. Only those named in changed (path) are parsed, if given; the symbols of the others stay."""
         walked = self.store.write("files_raw", found)
-        parsed = extract.symbols(walked.withColumn("content", F.decode("content", "UTF-8")))
+        fresh = walked if changed is None else walked.join(changed.select("path").distinct(), "path", "left_semi")
+        parsed = extract.symbols(fresh.withColumn("content", F.decode("content", "UTF-8")))
         ids = index.with_symbol_ids(parsed.withColumnRenamed("path", "file_path").withColumn("ordinal", F.monotonically_increasing_id()))
+        if changed is not None:
+            of = F.col("path") == F.col("file_path")
+            kept = self.store.read("parsed").join(walked.select("path"), of, "left_semi").join(changed.select("path"), of, "left_anti")
+            ids = kept.unionByName(ids)
         whole = self.store.write("parsed", ids)
         counts = whole.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("symbol_count"))
         self.store.write("files", walked.drop("content").join(counts, "path", "left").fillna(0, ["symbol_count"]))
@@ -58,9 +65,10 @@ class Engine:
         # both are read out before the tables that they come from are replaced
         plan = cut(index.change_plan(old, now))
         gone = cut(index.deleted_files(old, now).select("path"))
-        if plan.filter("action = 'parse'").isEmpty() and gone.isEmpty():
+        changed = plan.filter("action = 'parse'")
+        if changed.isEmpty() and gone.isEmpty():
             return plan
-        self._index(now)
+        self._index(now, changed)
         return plan.unionByName(gone.select("path", F.lit("delete").alias("action")))
 
     def symbols(self) -> DataFrame:
@@ -99,7 +107,20 @@ class Engine:
         return self.store.read("tasks") if self.store.exists("tasks") else self.spark.createDataFrame([], TASK_SCHEMA)
 
     def steps(self) -> DataFrame:
-        return self.store.read("steps") if self.store.exists("steps") else self.spark.createDataFrame([], STEP_SCHEMA)
+        none = self.spark.createDataFrame([], STEP_SCHEMA)
+        return none.unionByName(self.store.read("steps"), allowMissingColumns=True) if self.store.exists("steps") else none
+
+    def list_steps(self, task_id: int) -> DataFrame:
+        """Steps of a task in their order."""
+        return self.steps().filter(F.col("task_id") == task_id).orderBy("seq")
+
+    def update_step(self, task_id: int, seq: int, **values) -> None:
+        """Set values of a step, see lifecycle.STEP_VALUES; an unknown step, column or status is an error."""
+        steps = self.steps()
+        hit = (F.col("task_id") == task_id) & (F.col("seq") == seq)
+        if steps.filter(hit).isEmpty():
+            raise KeyError(f"task #{task_id} has no step {seq}")
+        self.store.write("steps", lifecycle.with_step(steps, hit, **values))
 
     def dedup(self, new: DataFrame) -> DataFrame:
         return dedup.cascade(self.tasks(), new)
@@ -141,7 +162,7 @@ class Engine:
     def approve_task(self, task_id: int, models: dict[str, str] | None = None) -> DataFrame:
         self._set(task_id, lambda s: s in lifecycle.APPROVABLE, status="approved")
         made = lifecycle.materialised(self.show_task(task_id).filter("plan_json is not null"), self.steps(), models)
-        return self.store.write("steps", self.steps().unionByName(made)).filter(F.col("task_id") == task_id)
+        return self.store.write("steps", self.steps().unionByName(made, allowMissingColumns=True)).filter(F.col("task_id") == task_id)
 
     def reject_task(self, task_id: int) -> None:
         self._set(task_id, status="rejected")

@@ -141,6 +141,62 @@ def step_line(description: Column, verb: Column, target: Column, symbols: Column
     return F.when(some(description) != "", description).otherwise(trimmed(made))
 
 
+def _numbered(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x, F.lit("\n"))), "")
+
+
+def _labelled(label: str, items: Column) -> Column:
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.concat(F.lit(f"{label}: "), F.array_join(items, ", "), F.lit("\n"))).otherwise("")
+
+
+def _listed(label: str, lines: Column) -> Column:
+    return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.concat(F.lit(f"{label}:\n"), _numbered(lines))).otherwise("")
+
+
+def _told(label: str, s: Column) -> Column:
+    return F.when(F.coalesce(s, F.lit("")) != "", F.concat(F.lit(f"{label}: "), s, F.lit("\n"))).otherwise("")
+
+
+def plan_text(classification: Column, reason: Column, files: Column, symbols: Column, plan: Column) -> Column:
+    """A classification and its plan, an array of lines, as text; parts that are empty or null have no line."""
+    head = F.concat(F.lit("Classification: "), F.coalesce(classification, F.lit("")), F.lit("\nReason: "), F.coalesce(reason, F.lit("")), F.lit("\n"))
+    return F.concat(head, _labelled("Files", files), _labelled("Symbols", symbols), _listed("Plan", plan))
+
+
+def pipeline_text(classification: Column, reason: Column, confidence: Column, questions: Column, reject_reason: Column, files: Column, symbols: Column, steps: Column, classify_error: Column, plan_error: Column) -> Column:
+    """The whole result of a classification as text. questions: null or empty where none is open; steps: an array of
+    (verb, target_file, symbols, acceptance, depends_on, description)."""
+    after = lambda s: F.when(F.coalesce(F.size(s["depends_on"]), F.lit(0)) > 0, F.concat(F.lit("  [after ["), F.array_join(F.transform(s["depends_on"], lambda d: d.cast("string")), " "), F.lit("]]"))).otherwise("")
+    lines = F.transform(steps, lambda s: F.concat(step_line(s["description"], s["verb"], s["target_file"], s["symbols"], s["acceptance"]), after(s)))
+    sure = F.when(F.coalesce(confidence, F.lit(0.0)) > 0, F.format_string("Confidence: %.2f\n", confidence.cast("double"))).otherwise("")
+    head = F.concat(F.lit("Classification: "), F.coalesce(classification, F.lit("")), F.lit("\nReason: "), F.coalesce(reason, F.lit("")), F.lit("\n"))
+    return F.concat(head, sure, _listed("Clarifying questions", questions), _told("Reject reason", reject_reason), _labelled("Files", files), _labelled("Symbols", symbols), _listed("Plan", lines), _told("Classify error", classify_error), _told("Plan error", plan_error))
+
+
+def with_model(command: Column, model: Column) -> Column:
+    """command with the value of its first --model replaced, or the flag and value at its end; no model changes nothing."""
+    at = F.instr(command, "--model ")
+    head, rest = F.substr(command, F.lit(1), at + 7), F.substr(command, at + 8)
+    replaced = F.concat(head, model, F.regexp_replace(rest, r"\A[^ \t]*", ""))
+    return F.when(F.coalesce(model, F.lit("")) == "", command).when(at > 0, replaced).otherwise(F.concat(trimmed(command), F.lit(" --model "), model))
+
+
+def with_model_first(words: Column, model: Column) -> Column:
+    """The words of a command joined, with the model's flag after the first; words with blanks are quoted. The flag is
+    -m for gemini and --model for others."""
+    base = F.regexp_extract(words[0], r"([^/]*)\z", 1)
+    flag = F.when(base == "gemini", "-m").otherwise("--model")
+    every = F.concat(F.slice(words, 1, 1), F.array(flag, model), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))))
+    quoted = lambda w: F.when(w.rlike("[ \t]"), F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(w)
+    return F.array_join(F.transform(every, quoted), " ")
+
+
+def setting(value: Column, allowed: tuple[str, ...] | None = None, default: str = "") -> Column:
+    """A setting that is one of those allowed, or where none are named an identifier; the default otherwise."""
+    good = value.isin(*allowed) if allowed else is_identifier(value)
+    return F.when(F.coalesce(good, F.lit(False)), value).otherwise(F.lit(default))
+
+
 def after_colon(s: Column) -> Column:
     at = F.instr(s, ":")
     return F.when(at > 0, trimmed(F.substr(s, at + 1))).otherwise(F.lit(""))

@@ -188,6 +188,28 @@ def admit(existing: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(state, "new_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
+#: What a match by each layer is called, and how its score is told.
+REASONS = {"trigram": ("near-duplicate", "%.2f"), "tfidf": ("tf-idf duplicate", "cos=%.2f"), "minhash": ("minhash duplicate", "jaccard≈%.2f")}
+
+
+def reason(layer: str, id: Column, status: Column, score: Column) -> Column:  # noqa: A002
+    """Why a description counts as a duplicate of a task."""
+    name, shown = REASONS[layer]
+    where = F.when(status == "executing", f"{name} in progress as task #").otherwise(f"{name} of task #")
+    return F.concat(where, id.cast("string"), F.lit(f" ({layer} "), F.format_string(shown, score.cast("double")), F.lit(")"))
+
+
+def judged(pairs: DataFrame, layers: tuple[Layer, ...] | None = None) -> DataFrame:
+    """(layer, category, duplicate, predicted): what each layer says of labelled pairs (a, b, duplicate, category)."""
+    use = layers or (KEYWORD, TRIGRAM, MINHASH)
+    out = None
+    for layer in use:
+        said = layer.score(layer.prepare(F.col("a")), layer.prepare(F.col("b"))) >= layer.threshold
+        part = pairs.select(F.lit(layer.name).alias("layer"), "category", "duplicate", F.coalesce(said, F.lit(False)).alias("predicted"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def confusion(judged: DataFrame, keys: list[str]) -> DataFrame:
     """Of (duplicate, predicted): counts, precision, recall and F1, 0 where there is nothing to divide by."""
     d, p = F.col("duplicate"), F.col("predicted")

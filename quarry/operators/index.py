@@ -80,6 +80,30 @@ def porcelain_paths(lines: DataFrame) -> DataFrame:
     return lines.filter(F.length("line") > 3).select(F.substr("line", F.lit(4)).alias("path"))
 
 
+#: A tree of more files is told by directories.
+TREE_FILES = 200
+
+
+def directory(path: Column) -> Column:
+    """What stands before the last slash; '.' for a file at the root."""
+    return F.regexp_replace(F.regexp_extract(path, r"(?s)\A(.+)/[^/]*\z", 1), r"\A\z", ".")
+
+
+def file_tree(files: DataFrame, most: int = TREE_FILES) -> DataFrame:
+    """(line): the paths of files (path) by directory where there are at most so many, else each directory with
+    the number of its files, sorted."""
+    found = files.select("path", directory(F.col("path")).alias("dir"))
+    total = F.broadcast(files.agg(F.count("*").alias("total")))
+    whole = found.join(total).filter(F.col("total") <= most).select("dir", F.col("path").alias("line"))
+    rolled = found.groupBy("dir").count().join(total).filter(F.col("total") > most).select(F.lit("").alias("dir"), F.concat("dir", F.lit("/ ("), F.col("count").cast("string"), F.lit(" files)")).alias("line"))
+    return whole.unionByName(rolled).orderBy("dir", "line").select("line")
+
+
+def languages_present(files: DataFrame) -> DataFrame:
+    """(language) of files, each once and none empty, sorted."""
+    return files.filter(F.coalesce("language", F.lit("")) != "").select("language").distinct().orderBy("language")
+
+
 #: Languages by extension, and JSON files whose keys are read.
 LANGUAGES = {
     "go": "go", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",

@@ -10,9 +10,10 @@ STATUSES = ("created", "classified", "pending", "pending_clarification", "approv
 TERMINAL = ("done", "failed", "rejected", "interrupted")
 WAITING = ("pending", "created", "classified")
 UNDER_WAY = ("executing", "queued", "approved")
+#: Statuses that can be approved, and the order of a dashboard; what isn't named comes last.
 APPROVABLE = ("pending", "classified", "created", "approved")
-#: Order of a dashboard; what isn't named comes last.
 DASHBOARD = {"executing": 0, "queued": 1, "approved": 2, "pending": 3, "classified": 3, "created": 4, "interrupted": 5, "failed": 6, "done": 7, "rejected": 8}
+STEP_STATUSES = ("pending", "executing", "done", "failed", "skipped")
 STEP_DONE = ("done", "skipped")
 ORPHAN_RESULT = "interrupted: the process that ran it is gone"
 
@@ -100,6 +101,21 @@ def materialised(tasks: DataFrame, existing: DataFrame, models: dict[str, str] |
     return rows.select("task_id", (F.col("i") + 1).alias("seq"), "s.*", F.lit("pending").alias("status"), override.alias("model_override"))
 
 
+#: What an update of a step may set.
+STEP_VALUES = ("status", "result", "session_id", "model_override", "tokens_used", "duration_ms", "retry_count", "commit_sha")
+
+
+def with_step(steps: DataFrame, which: Column, **values) -> DataFrame:
+    """steps with the values set where which holds, and the time of it."""
+    if unknown := set(values) - set(STEP_VALUES):
+        raise ValueError(f"an update can't set {sorted(unknown)}")
+    if values.get("status", "pending") not in STEP_STATUSES:
+        raise ValueError(f"{values['status']!r} is no step status")
+    hit = F.coalesce(which, F.lit(False))
+    new = {k: F.when(hit, F.lit(v).cast(steps.schema[k].dataType)).otherwise(F.col(k)) for k, v in values.items()}
+    return steps.withColumns({**new, "updated_at": F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at"))})
+
+
 def step_summary(steps: DataFrame) -> DataFrame:
     s = F.col("status")
     return steps.groupBy("task_id").agg(F.count("*").alias("total"), *[F.count_if(s == x).alias(x) for x in ("pending", "executing", "done", "failed", "skipped")])
@@ -153,13 +169,16 @@ APPROVAL_PATTERNS = (
 
 
 def invalid_patterns(patterns: list[str]) -> list[str]:
-    import re
+    """Those that the engine that runs them, Java's, can't read."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import PySparkException
 
     bad = []
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error:
+            SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(p)
+        except (Py4JJavaError, PySparkException):
             bad.append(p)
     return bad
 
@@ -173,9 +192,40 @@ def wants_approval(s: Column, patterns: list[str] | None = None) -> Column:
     return out
 
 
+#: What leads a step's line, and a status's colour as a terminal takes it.
 STEP_MARKS = {"done": "✓", "failed": "✗", "executing": "→", "skipped": "·"}
 
 
+COLOURS = {
+    "executing": "\x1b[1;33m", "queued": "\x1b[1;33m", "approved": "\x1b[1;34m", "pending": "\x1b[36m", "created": "\x1b[36m", "classified": "\x1b[36m",
+    "pending_clarification": "\x1b[1;93m", "done": "\x1b[32m", "failed": "\x1b[1;31m", "interrupted": "\x1b[35m", "rejected": "\x1b[2m",
+}
+#: What may be done next about a task of another repository, by its status.
+NEXT = {
+    "pending": "read the plan, then approve the task or ask for guidance", "approved": "approved by itself; wait for it if its result is needed",
+    "executing": "under way; wait for it to end", "done": "ended already; read plan and result", "pending_clarification": "ambiguous; pass its questions on and record the answers",
+    **dict.fromkeys(("failed", "interrupted", "rejected"), "ended without a result; tell the reason and don't try again unasked"),
+}
+
+
+def _named(names: dict[str, str], status: Column, default: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), status), F.lit(default))
+
+
+def colour(status: Column) -> Column:
+    return _named(COLOURS, status, "")
+
+
+def next_action(status: Column) -> Column:
+    return _named(NEXT, status, "fetch the task to see where it stands")
+
+
+def has_steps(steps: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(id, has_steps) of tasks."""
+    made = steps.select(F.col("task_id").alias("id"), F.lit(True).alias("has_steps")).distinct()
+    return tasks.select("id").join(made, "id", "left").fillna(False, ["has_steps"])
+
+
 def step_mark(status: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STEP_MARKS.items() for x in kv]), status), F.lit(" "))
 

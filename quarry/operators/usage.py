@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MESSAGE = "struct<type:string,timestamp:string,message:struct<role:string,content:array<struct<type:string,name:string>>,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>>>"
@@ -31,6 +31,40 @@ def session_usage(turns: DataFrame) -> DataFrame:
     return sums.withColumn("effective_input", effective).join(maps, "session_id", "left")
 
 
+RESULT = "struct<repo:string,task_id:string,variant:string,wall_clock_sec:double,usage:struct<effective_input_billed:bigint,tool_calls:bigint,wall_clock_sec:double>>"
+
+
+def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """(session_id, value): the lines of a folder's .jsonl files; the session is the file's name."""
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
+    return lines.select(F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"([^/]*)\.jsonl\z", 1).alias("session_id"), "value")
+
+
+def latest_session(files: DataFrame) -> DataFrame:
+    """(session_id): of files (path, modified) the .jsonl file modified last, without its ending; null where none is."""
+    logs = files.filter(F.endswith("path", F.lit(".jsonl")))
+    return logs.agg(F.regexp_extract(F.max_by("path", F.struct("modified", "path")), r"([^/]*)\.jsonl\z", 1).alias("session_id"))
+
+
+def read_results(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, repo, task_id, variant, wall_clock_sec, effective, tool_calls) of the .json files under a folder, one
+    result each; files of another form are left out."""
+    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).option("wholetext", True).text(folder)
+    rows = files.select(F.input_file_name().alias("path"), F.from_json("value", RESULT).alias("r")).filter("r.repo is not null and r.task_id is not null")
+    return rows.select("path", "r.repo", "r.task_id", "r.variant", "r.wall_clock_sec", F.col("r.usage.effective_input_billed").alias("effective"), F.col("r.usage.tool_calls").alias("tool_calls"))
+
+
+def markdown_report(table: DataFrame) -> DataFrame:
+    """(place, line): head, a line for each task and, where any has a baseline, one for all of them."""
+    titles = ("repo", "task", "classify wall (s)", "baseline effective", "with MCP effective", "ratio", "baseline tools", "MCP tools")
+    rows = markdown(table).select(F.struct(F.lit(2).alias("part"), "repo", "task_id").alias("place"), "line")
+    spark = table.sparkSession
+    head = spark.createDataFrame([(0, "| " + " | ".join(titles) + " |"), (1, "|" + "---|" * len(titles))], "part int, line string")
+    last = overall(table).filter("tasks > 0").select(F.lit(3).alias("part"), F.format_string("**Aggregate over %d tasks: %.1f%% reduction in effective input tokens (ratio %.2f).**", "tasks", "reduction_pct", "ratio").alias("line"))
+    fixed = head.unionByName(last).select(F.struct("part", F.lit("").alias("repo"), F.lit("").alias("task_id")).alias("place"), "line")
+    return rows.unionByName(fixed).orderBy("place")
+
+
 def latest_runs(rows: DataFrame) -> DataFrame:
     """Of runs of one (repo, task_id, variant) the one of the last path."""
     cols = [c for c in rows.columns if c != "path"]

@@ -195,13 +195,8 @@ def task_by_status(spark, d):
     return t.join(ages, "created_at").withColumn("place", F.col("before") + F.row_number().over(W.Window.partitionBy("created_at").orderBy("id"))).select(*_SHOWN, "place")
 
 
-@query(f"with {V.TASKS} select id, status, repo, created_at from tasks order by created_at desc, id limit 50")
-def task_list_recent(spark, d):
-    return V.tasks(spark, d).select(*_SHOWN).orderBy(F.desc("created_at"), "id").limit(50)
-
-
 @query(f"with {V.TASKS} select id, status, repo, created_at from tasks order by created_at desc, id")
-def task_list_all(spark, d):
+def task_list_recent(spark, d):
     return V.tasks(spark, d).select(*_SHOWN).orderBy(F.desc("created_at"), "id")
 
 
@@ -237,13 +232,8 @@ def workspace_oneline(spark, d):
 _DASH = "case status when 'executing' then 0 when 'queued' then 1 when 'approved' then 2 when 'pending' then 3 when 'classified' then 3 when 'created' then 4 when 'interrupted' then 5 when 'failed' then 6 when 'done' then 7 when 'rejected' then 8 else 9 end"
 
 
-@query(f"with {V.TASKS} select id, repo, status, {_DASH} as rank, created_at from tasks order by rank, created_at desc, id limit 100")
-def dashboard_rows(spark, d):
-    return lifecycle.dashboard(V.tasks(spark, d)).limit(100).select("id", "repo", "status", lifecycle.dashboard_rank(F.col("status")).alias("rank"), "created_at")
-
-
 @query(f"with {V.TASKS} select id, repo, status, {_DASH} as rank, created_at from tasks order by rank, created_at desc, id")
-def dashboard_rows_all(spark, d):
+def dashboard_rows(spark, d):
     return lifecycle.dashboard(V.tasks(spark, d)).select("id", "repo", "status", lifecycle.dashboard_rank(F.col("status")).alias("rank"), "created_at")
 
 
@@ -450,10 +440,26 @@ def languages_present(spark, d):
     return V.symbols(spark, d).filter("kind <> ''").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("languages"))
 
 
-@query(f"with {V.SYMBOLS} select regexp_extract(file_path, '^(.*)/[^/]*$', 1) || '/ (' || count(distinct file_path) || ' files)' as line from symbols group by regexp_extract(file_path, '^(.*)/[^/]*$', 1)")
+_TREE = "f as (select distinct file_path as path, coalesce(nullif(regexp_extract(file_path, '^(.+)/[^/]*$', 1), ''), '.') as dir from paths)"
+
+
+def _tree_sql(paths):
+    return f"""with {V.SYMBOLS}, paths as ({paths}), {_TREE}
+    select path as line from f where (select count(*) from f) <= 200 union all
+    select dir || '/ (' || count(*) || ' files)' from f where (select count(*) from f) > 200 group by dir"""
+
+
+@query(_tree_sql("select file_path from symbols union all select 'main.go'"))
 def file_tree(spark, d):
-    dirs = V.symbols(spark, d).select("file_path").distinct().groupBy(F.regexp_extract("file_path", r"\A(.*)/[^/]*\z", 1).alias("dir")).count()
-    return dirs.select(F.format_string("%s/ (%d files)", "dir", "count").alias("line"))
+    paths = V.symbols(spark, d).select(F.col("file_path").alias("path")).union(spark.createDataFrame([("main.go",)], "path string"))
+    return index.file_tree(paths.distinct())
+
+
+@query(_tree_sql("select r_name || '/' || n_name as file_path from nation join region on r_regionkey = n_regionkey union all select r_name from region"))
+def file_tree_small(spark, d):
+    n, r = V.table(spark, d, "nation"), V.table(spark, d, "region")
+    paths = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(F.concat("r_name", F.lit("/"), "n_name").alias("path")).union(r.select("r_name"))
+    return index.file_tree(paths)
 
 
 @query(f"with {V.EDGES} select from_id, to_id from edges")
@@ -714,8 +720,9 @@ def clarify_parse(spark, d):
 
 @query("""select c_custkey, c_name as name, '/' || c_mktsegment as path from customer""")
 def registry_entries(spark, d):
-    rows = V.table(spark, d, "customer").select(F.col("c_custkey"), F.to_json(F.struct(F.create_map(F.col("c_name"), F.struct(F.concat(F.lit("/"), "c_mktsegment").alias("path"))).alias("agents"))).alias("value"))
-    return rows.select("c_custkey", F.explode(F.from_json("value", "struct<agents:map<string,struct<path:string,llm:string>>>")["agents"]).alias("name", "e")).select("c_custkey", "name", F.col("e.path").alias("path"))
+    one = F.struct(F.create_map(F.col("c_name"), F.struct(F.concat(F.lit("/"), "c_mktsegment").alias("path"))).alias("agents"))
+    found = L.registry(V.table(spark, d, "customer").select(F.to_json(one).alias("value")))
+    return found.join(V.table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name")), "name").select("c_custkey", "name", "path")
 
 
 @query("""select l_orderkey, l_linenumber, list_sort(list_distinct(['f', p_brand])) as refs from lineitem join part on p_partkey = l_partkey""")

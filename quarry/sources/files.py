@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import posixpath
 import subprocess
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.index import ignored, language
 
-#: Directories that a walk never enters, and the engine's own.
+#: Directories that a walk never enters; and the engine's own.
 IGNORED = (".git", "node_modules", "vendor", "__pycache__", ".next", "dist", "build")
 STATE_DIR = ".quarry"
 
@@ -30,32 +33,78 @@ def ignore_patterns(root: str) -> list[str]:
     return [*IGNORED, STATE_DIR, *[p for p in own if p and not p.startswith("#")]]
 
 
-def _relative(root: str) -> Column:
-    path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"\A[a-z]+:/+", "/")
-    return F.substr(path, F.lit(len(root.rstrip("/")) + 2))
+#: Files whose contents are read by one task at a time, and read together.
+FILES_A_TASK, FILES_A_BATCH = 256, 32
+_READ = "rel string, content binary, length long, seconds long"
 
 
 def walk(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
     """(path, content, size_bytes, last_modified, language, content_hash) of files of known languages under root; time
-    in whole seconds. The listing runs before contents are read, so ignored files are not."""
+    in whole seconds. Names are listed first, ignored directories not entered, and symbolic links never followed; any
+    name is read, be it hidden or with wildcards in it. Directories that can't be listed are left out."""
     root = str(Path(root).resolve())
     use = ignore_patterns(root) if patterns is None else patterns
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("rel", _relative(root))
-    kept = files.filter(~ignored(F.col("rel"), use))
-    return _shaped(kept)
+    return _shaped(_read(_kept(_listed(spark, root), use), root))
 
 
 def from_listing(spark: SparkSession, root: str, listing: list[str]) -> DataFrame:
-    """As walk(), of the files listed."""
+    """As walk(), of the files listed; one that is gone or can't be read fails the job rather than being left out."""
     root = str(Path(root).resolve())
-    files = spark.read.format("binaryFile").load([f"{root}/{p}" for p in listing]).withColumn("rel", _relative(root)) if listing else spark.createDataFrame([], "rel string, content binary, length long, modificationTime timestamp")
-    return _shaped(files)
+    return _shaped(_read(spark.createDataFrame([(p,) for p in listing], "rel string"), root))
+
+
+def _kept(names: DataFrame, patterns: list[str]) -> DataFrame:
+    return names.filter(~ignored(F.col("rel"), patterns))
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(rel) of the plain files under root. One task a directory of the first level, so large trees are listed at once."""
+
+    def under(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        for batch in batches:
+            found: list[str] = []
+            for name in batch.column(0).to_pylist():
+                top = os.path.join(root, name)
+                if not os.path.isdir(top) or os.path.islink(top):
+                    found += [name] * (os.path.isfile(top) and not os.path.islink(top))
+                    continue
+                for where, directories, files in os.walk(top):
+                    directories[:] = [d for d in directories if d not in (*IGNORED, STATE_DIR)]
+                    found += [os.path.relpath(os.path.join(where, f), root) for f in files if os.path.isfile(os.path.join(where, f)) and not os.path.islink(os.path.join(where, f))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["rel"])
+
+    tops = sorted(p.name for p in Path(root).iterdir() if p.name not in (*IGNORED, STATE_DIR))
+    return spark.createDataFrame([(t,) for t in tops], "name string").repartition(max(1, min(len(tops), spark.sparkContext.defaultParallelism))).mapInArrow(under, "rel string")
+
+
+def _read(names: DataFrame, root: str) -> DataFrame:
+    """The files named, read in small runs. root is a folder that all executors see."""
+
+    def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        for batch in batches:
+            every = batch.column(0).to_pylist()
+            for at in range(0, len(every), FILES_A_BATCH):
+                rows = []
+                for rel in every[at : at + FILES_A_BATCH]:
+                    full = posixpath.join(root, rel)
+                    with open(full, "rb") as f:
+                        data = f.read()
+                    rows.append({"rel": rel, "content": data, "length": len(data), "seconds": int(os.stat(full).st_mtime)})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("rel", pa.string()), ("content", pa.binary()), ("length", pa.int64()), ("seconds", pa.int64())]))
+
+    known = names.filter(language(F.col("rel")) != "")
+    parts = max(names.sparkSession.sparkContext.defaultParallelism, -(-known.count() // FILES_A_TASK))
+    return known.repartition(parts).mapInArrow(contents, _READ)
 
 
 def _shaped(files: DataFrame) -> DataFrame:
     lang = language(F.col("rel"))
-    return files.filter(lang != "").select(
-        F.col("rel").alias("path"), F.col("content"), F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("last_modified"),
+    return files.select(
+        F.col("rel").alias("path"), F.col("content"), F.col("length").alias("size_bytes"), F.col("seconds").alias("last_modified"),
         lang.alias("language"), F.unhex(F.sha2("content", 256)).alias("content_hash"),
     )
 

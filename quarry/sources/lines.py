@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -30,7 +30,7 @@ def parsed_dedup_log(lines: DataFrame) -> DataFrame:
     ok = lines.filter(F.col("value").rlike(r"\A\S+ layer=\S+ hit=(true|false) score=[0-9.]+ ms=[0-9]+ cand=[0-9]+"))
     return ok.select(
         of(r"\A(\S+)").alias("at"), of(r" layer=(\S+)").alias("layer"), (of(r" hit=(true|false)") == "true").alias("hit"), of(r" score=([0-9.]+)").cast("double").alias("score"),
-        of(r" ms=([0-9]+)").cast("long").alias("ms"), of(r" cand=([0-9]+)").cast("long").alias("cand"), of(r' reason="((?:[^"\\]|\\.)*)"').alias("reason"), of(r' task="((?:[^"\\]|\\.)*)"').alias("task"),
+        of(r" ms=([0-9]+)").cast("long").alias("ms"), of(r" cand=([0-9]+)").cast("long").alias("cand"), of(r' err="((?:[^"\\]|\\.)*)"').alias("err"), of(r' reason="((?:[^"\\]|\\.)*)"').alias("reason"), of(r' task="((?:[^"\\]|\\.)*)"').alias("task"),
     )
 
 
@@ -66,6 +66,32 @@ def registry(json_text: DataFrame) -> DataFrame:
     return json_text.select(F.explode(entries["agents"]).alias("name", "e")).select("name", "e.path", "e.llm")
 
 
+def registry_text(entries: DataFrame) -> DataFrame:
+    """(value): one registry text that registry() reads back, of entries (name, path, llm)."""
+    entry = F.struct("name", F.struct("path", "llm").alias("e"))
+    return entries.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("agents")), {"pretty": "true"}).alias("value"))
+
+
+def peers(entries: DataFrame, own_path: str) -> DataFrame:
+    """Entries of a registry but the repository's own."""
+    return entries.filter(~F.col("path").eqNullSafe(F.lit(own_path)))
+
+
+def clarification_text(task_id: Column, description: Column, questions: Column) -> Column:
+    """A question file that clarifications() reads back once answers stand after its A marks."""
+    number = lambda i: (i + 1).cast("string")
+    asked = F.transform(questions, lambda q, i: F.concat(F.lit("Q"), number(i), F.lit(": "), q, F.lit("\nA"), number(i), F.lit(": \n\n")))
+    head = F.concat(F.lit("# Clarification needed for task #"), task_id.cast("string"), F.lit("\n\nTask: "), F.coalesce(description, F.lit("")), F.lit("\n\n---\n\n"))
+    return F.concat(head, F.array_join(asked, ""))
+
+
+def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(a, b, duplicate, category) of files that hold {"pairs": [...]}."""
+    files = spark.read.option("wholetext", True).text(path)
+    pairs = F.from_json("value", "struct<pairs:array<struct<a:string,b:string,duplicate:boolean,category:string>>>")["pairs"]
+    return files.select(F.explode(pairs).alias("p")).select("p.*")
+
+
 def yaml_symbols(lines: DataFrame) -> DataFrame:
     """Keys without indent, and the first name after each kind."""
     bare = F.regexp_replace("text", r"^[ \t]+", "")

@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -42,20 +43,26 @@ class Store:
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        _, old = self._fs(self._pointer(name))
-        if fs.exists(old):
-            fs.delete(old, False)
-        fs.rename(new, old)
+        self._replace(new, self._fs(self._pointer(name))[1])
         return self.read(name)
 
+    def _replace(self, new, old) -> None:
+        """Rename over what is there in one step, so a reader finds the former pointer or the new one."""
+        sc = self.spark.sparkContext
+        fs = sc._jvm.org.apache.hadoop.fs
+        how = sc._gateway.new_array(fs.Options.Rename, 1)
+        how[0] = fs.Options.Rename.OVERWRITE
+        conf = sc._jsc.hadoopConfiguration()
+        fs.FileContext.getFileContext(old.getFileSystem(conf).getUri(), conf).rename(new, old, how)
+
     def meta(self, key: str) -> str:
         """A value by key; '' where there is none."""
         if not self.exists("meta"):
             return ""
-        row = self.read("meta").filter(f"key = '{key}'").first()
+        row = self.read("meta").filter(F.col("key") == key).first()
         return row["value"] if row else ""
 
     def put_meta(self, key: str, value: str) -> None:
         row = self.spark.createDataFrame([(key, value)], "key string, value string")
-        rest = self.read("meta").filter(f"key <> '{key}'") if self.exists("meta") else None
+        rest = self.read("meta").filter(F.col("key") != key) if self.exists("meta") else None
         self.write("meta", row if rest is None else rest.unionByName(row))

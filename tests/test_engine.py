@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quarry.api import Engine
 from quarry.sources import extract, files
+from quarry.sources.store import Store
 from quarry.streaming import tasks as streams
 
 SERVER_GO = """package main
@@ -137,6 +138,49 @@ def test_walk(spark, repository):
     assert files.from_listing(spark, str(repository), []).count() == 0
 
 
+def test_any_name_is_read(spark, tmp_path):
+    names = {"__init__.py", "app/__init__.py", "_int/a.go", ".github/wf/ci.yml", "app/m.py", "pages/[id].tsx", "pages/a*b.go", "a+b %41.go", "é/ü.py"}
+    for n in [*names, "node_modules/x/a.js", "app/build/a.py"]:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x = 1\n")
+    (tmp_path / "link.go").symlink_to("/etc/hostname")
+    (tmp_path / "app/link.py").symlink_to("/etc/hostname")
+    (tmp_path / "away").symlink_to("/etc")
+    assert {r.path for r in files.walk(spark, str(tmp_path)).collect()} == names
+    read = files.from_listing(spark, str(tmp_path), sorted(names)).collect()
+    assert {r.path for r in read} == names and {bytes(r.content) for r in read} == {b"x = 1\n"}
+    assert files.walk(spark, str(tmp_path), ["app"]).filter("path like 'app/%'").count() == 0
+
+
+def test_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write("t", spark.range(3))
+    before = store.read("t")
+    store.write("t", spark.range(5))
+    assert (before.count(), store.read("t").count()) == (3, 5)
+    store.put_meta("o'clock", "a")
+    store.put_meta("o'clock", "b")
+    store.put_meta("k", "c")
+    assert (store.meta("o'clock"), store.meta("k"), store.meta("none")) == ("b", "c", "")
+
+
+def test_refresh_parses_changed_files_only(spark, repository, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "git_listing", lambda root: None)
+    engine = Engine(spark, str(tmp_path / "state"))
+    engine.build(str(repository))
+    before = {r.id for r in engine.symbols().collect()}
+    seen, real = [], extract.symbols
+    monkeypatch.setattr(extract, "symbols", lambda found: seen.append({r.path for r in found.select("path").collect()}) or real(found))
+    (repository / "late.go").write_text("package main\n\nfunc Late() {}\n")
+    engine.refresh(str(repository))
+    assert seen == [{"late.go"}]
+    assert {r.name for r in engine.symbols().collect() if r.id not in before} == {"Late"}
+    assert before <= {r.id for r in engine.symbols().collect()}
+    (repository / "late.go").unlink()
+    engine.refresh(str(repository))
+    assert seen[1:] == [set()] and {r.id for r in engine.symbols().collect()} == before
+
+
 def test_engine_over_a_repository(spark, repository, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "git_listing", lambda root: None)
     engine = Engine(spark, str(tmp_path / "state"))

@@ -1,0 +1,80 @@
+"""Renderings, settings, sources and sinks, each on rows made by hand."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text
+from quarry.operators import dedup, index, lifecycle, usage
+from quarry.sources import lines as L
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()[0]
+
+
+def test_renderings(spark):
+    strings = lambda *a: F.array(*map(F.lit, a)) if a else F.array().cast("array<string>")
+    assert one(spark, text.plan_text(F.lit("small"), F.lit("why"), strings("a.go", "b.go"), strings(), strings("do", "test"))) == "Classification: small\nReason: why\nFiles: a.go, b.go\nPlan:\n  1. do\n  2. test\n"
+    step = lambda d, after: F.struct(F.lit("edit").alias("verb"), F.lit("a.go").alias("target_file"), strings().alias("symbols"), F.lit("").alias("acceptance"), after.alias("depends_on"), F.lit(d).alias("description"))
+    steps = F.array(step("", F.array().cast("array<int>")), step("then", F.array(F.lit(1), F.lit(2))))
+    none = F.lit(None).cast("string")
+    got = one(spark, text.pipeline_text(F.lit("large"), F.lit("r"), F.lit(0.5), strings("which?"), F.lit(""), strings(), strings("F"), steps, none, F.lit("late")))
+    assert got == "Classification: large\nReason: r\nConfidence: 0.50\nClarifying questions:\n  1. which?\nSymbols: F\nPlan:\n  1. Edit a.go\n  2. then  [after [1 2]]\nPlan error: late\n"
+    model = lambda c, m: one(spark, text.with_model(F.lit(c), F.lit(m)))
+    assert [model("tool -p", "m"), model("tool --model x -p", "m"), model("tool --model x", "m"), model("tool", "")] == ["tool -p --model m", "tool --model m -p", "tool --model m", "tool"]
+    first = lambda *w: one(spark, text.with_model_first(strings(*w), F.lit("m")))
+    assert [first("/bin/gemini", "a b"), first("x")] == ['/bin/gemini -m m "a b"', "x --model m"]
+    assert [one(spark, text.setting(F.lit(v), a, d)) for v, a, d in (("ok-1", None, ""), ("a b", None, ""), (None, None, "d"), ("q", ("p", "r"), "p"))] == ["ok-1", "", "d", "p"]
+    assert one(spark, lifecycle.colour(F.lit("done"))) == "\x1b[32m" and one(spark, lifecycle.colour(F.lit("?"))) == ""
+    assert one(spark, lifecycle.next_action(F.lit("x"))).startswith("fetch") and "wait" in one(spark, lifecycle.next_action(F.lit("executing")))
+    assert one(spark, dedup.reason("tfidf", F.lit(7), F.lit("executing"), F.lit(0.5))) == "tf-idf duplicate in progress as task #7 (tfidf cos=0.50)"
+
+
+def test_steps(spark, tmp_path):
+    from quarry.api import STEP_SCHEMA
+
+    steps = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "task_id long, seq int, verb string")
+    steps = spark.createDataFrame([], STEP_SCHEMA).unionByName(steps, allowMissingColumns=True)
+    done = lifecycle.with_step(steps, F.col("seq") == 2, status="done", tokens_used=5)
+    assert {(r.seq, r.status, r.tokens_used, r.updated_at is None) for r in done.collect()} == {(1, None, None, True), (2, "done", 5, False)}
+    for bad in ({"verb": "x"}, {"status": "gone"}):
+        try:
+            lifecycle.with_step(steps, F.lit(True), **bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    assert {(r.id, r.has_steps) for r in lifecycle.has_steps(steps, spark.createDataFrame([(1,), (2,)], "id long")).collect()} == {(1, True), (2, False)}
+
+
+def test_trees(spark):
+    files = spark.createDataFrame([("b/x.py", "python"), ("a.go", "go"), ("b/a.py", "python"), ("b/c/n", "")], "path string, language string")
+    assert [r.line for r in index.file_tree(files).collect()] == ["a.go", "b/a.py", "b/x.py", "b/c/n"]
+    assert [r.line for r in index.file_tree(files, 3).collect()] == ["./ (1 files)", "b/ (2 files)", "b/c/ (1 files)"]
+    assert [r.language for r in index.languages_present(files).collect()] == ["go", "python"]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    entries = spark.createDataFrame([("one", "/a", "x"), ("two", "/b", None)], "name string, path string, llm string")
+    assert {tuple(r) for r in L.registry(L.registry_text(entries)).collect()} == {("one", "/a", "x"), ("two", "/b", None)}
+    assert [r.name for r in L.peers(entries, "/a").collect()] == ["two"]
+    body = one(spark, L.clarification_text(F.lit(3), F.lit("d"), F.array(F.lit("why?"), F.lit("how?"))))
+    answered = spark.createDataFrame([("p", body.replace("A1: ", "A1: so").replace("A2: ", "A2: thus"))], "path string, content string")
+    assert sorted((r.question, r.answer) for r in L.clarifications(L.numbered(answered)).collect()) == [("how?", "thus"), ("why?", "so")]
+    log = spark.createDataFrame([('2024 layer=t hit=true score=0.500 ms=1 cand=2 err="no net" reason="r"',)], "value string")
+    assert [(r.err, r.reason) for r in L.parsed_dedup_log(log).collect()] == [("no net", "r")]
+    (tmp_path / "pairs.json").write_text(json.dumps({"pairs": [{"a": "mend the gate latch", "b": "mend the gate latch", "duplicate": True, "category": "same"}, {"a": "mend the gate latch", "b": "paint a boat", "duplicate": False, "category": "other"}]}))
+    table = dedup.confusion(dedup.judged(L.labelled_pairs(spark, str(tmp_path / "pairs.json"))), ["layer"])
+    assert {(r.layer, r.tp, r.fp, r.tn, r.fn, r.f1) for r in table.collect()} == {(x, 1, 0, 1, 0, 1.0) for x in ("keyword", "trigram", "minhash")}
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/a b.jsonl").write_text('{"k":1}\n\n{"k":2}\n')
+    assert sorted(map(tuple, usage.read_sessions(spark, str(tmp_path / "s")).filter("value <> ''").collect())) == [("a b", '{"k":1}'), ("a b", '{"k":2}')]
+    times = spark.createDataFrame([("p/x.jsonl", 1), ("p/y.jsonl", 3), ("p/z.txt", 9)], "path string, modified long")
+    assert usage.latest_session(times).first()[0] == "y"
+    (tmp_path / "r/in").mkdir(parents=True)
+    for k, (variant, eff) in enumerate((("baseline", 10), ("mcp", 6), ("classify", 0))):
+        (tmp_path / f"r/in/{k}.json").write_text(json.dumps({"repo": "R", "task_id": "t", "variant": variant, "wall_clock_sec": 1.5, "usage": {"effective_input_billed": eff, "tool_calls": 2}}))
+    (tmp_path / "r/bad.json").write_text("{")
+    report = usage.markdown_report(usage.variant_table(usage.latest_runs(usage.read_results(spark, str(tmp_path / "r")))))
+    shown = [r.line for r in report.collect()]
+    assert shown[2:] == ["| R | t | 1.5 | 10 | 6 | 0.60 | 2 | 2 |", "**Aggregate over 1 tasks: 40.0% reduction in effective input tokens (ratio 0.60).**"]

@@ -1,16 +0,0 @@
-"""Lists that the reference returns whole: all tasks, in its order."""
-
-from quarry.plans import catalogue
-from quarry.plans import views as V
-
-SMALL = "/root/testdata/sf0.001"
-
-
-def test_whole_lists(spark):
-    tasks = V.tasks(spark, SMALL).collect()
-    assert len(tasks) > 100
-    newest = sorted(sorted(tasks, key=lambda t: t.id), key=lambda t: t.created_at, reverse=True)
-    assert [r.id for r in catalogue.queries()["task_list_all"](spark, SMALL).collect()] == [t.id for t in newest]
-    ranks = "executing queued approved pending created interrupted failed done rejected".split()
-    rank = lambda s: ranks.index("pending" if s == "classified" else s) if s in (*ranks, "classified") else 9
-    assert [r.id for r in catalogue.queries()["dashboard_rows_all"](spark, SMALL).collect()] == [t.id for t in sorted(newest, key=lambda t: rank(t.status))]
