@@ -81,8 +81,8 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     return done.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments", valid.alias("valid"), F.when(~valid, F.col("w.n")).alias("invalid_at"))
 
 
-def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """conv_id and turns (role, text, loss) as the formatted string alone tells them."""
+def read_back(formatted: DataFrame, template: Template = Template(), *also: str) -> DataFrame:
+    """conv_id and turns (role, text, loss) as the formatted string alone tells them, and the columns named in also."""
     t = template
     pieces = F.split(F.col("formatted"), "\\Q" + t.close + "\\E")
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
@@ -93,35 +93,44 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
         role = unescaped(F.substr(rest, F.lit(1), cut_at - 1), t.escape)
         return F.struct(role.alias("role"), unescaped(F.substr(rest, cut_at + len(t.middle)), t.escape).alias("text"), role.isin(*t.learned).alias("loss"))
 
-    return formatted.select("conv_id", F.transform(pieces, turn).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return formatted.select("conv_id", F.transform(pieces, turn).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"), *also)
 
 
 def turn_digests(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digests of what read_back() finds in the formatted output."""
-    back = read_back(format_conversations(turns, template), template)
+    """Digests of the output: turns as read_back() finds them in the formatted string, the learned text as the flags of
+    the segments mark it, and the machine's verdict on the roles."""
+    back = read_back(format_conversations(turns, template), template, "segments", "valid", "invalid_at")
     every = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda x: x.loss), lambda x: x.text), "")
+    learned = F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescaped(s.text, template.escape)), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars",
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars", "valid", "invalid_at",
     )
 
 
 #: The conversation that the query adds: each text holds an escape character and two control strings.
 HARD_TEXT = "\\### Assistant: </turn> ok"
 
-ORACLE = """
-with t as (
+_MOVES = " ".join(f"when '{state}>{role}' then '{to}'" for (state, role), to in Template().moves.items())
+ORACLE = f"""
+with recursive t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, v.turn, v.role, '\\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(turn, role)),
 e as (
   select *, length(replace(replace(replace(text, '\\', '\\\\'), '### ', '#\\## '), '</turn>', '<\\/turn>')) as body,
     length(replace(replace(replace(replace(role, '\\', '\\\\'), '### ', '#\\## '), '</turn>', '<\\/turn>'), ':' || chr(10), ':\\' || chr(10))) as head
-  from t)
-select conv_id, count(*) as n_turns,
+  from t),
+o as (select conv_id, role, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from t),
+w as (select distinct conv_id, 0 as k, 'start' as state from t union all
+  select w.conv_id, w.k + 1, case w.state || '>' || o.role {_MOVES} else 'invalid' end
+  from w join o on o.conv_id is not distinct from w.conv_id and o.k = w.k + 1 where w.state <> 'invalid'),
+v as (select conv_id, arg_max(state, k) as last, max(k) as k from w group by conv_id),
+g as (select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
   cast(sum(4 + head + 2 + body + 8) as bigint) as formatted_chars
-from e group by conv_id
+  from e group by conv_id)
+select g.*, last = 'assistant' as valid, cast(case when last = 'assistant' then null when last = 'invalid' then k - 1 else k end as integer) as invalid_at
+from g join v on g.conv_id is not distinct from v.conv_id
 """
