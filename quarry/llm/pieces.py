@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import PrefixBPE, path as backwards
+from quarry.llm.frames import whole_id
 from quarry.llm.words import bounded, slices
 
 MARK = "▁"
@@ -177,7 +178,13 @@ def encode_column(column: pa.Array, model: Pieces) -> Iterator[tuple[np.ndarray,
     for (codes, rows), own in zip(coded, distinct):
         word = pc.index_in(own, every).to_numpy()[codes]
         many = n[word]
-        yield flat[_spread(first[word], many)], np.concatenate([[0], np.cumsum(many)])[rows]
+        ids, rows = flat[_spread(first[word], many)], np.concatenate([[0], np.cumsum(many)])[rows]
+        if not model.bytes:  # neighbouring unknown pieces of a text are one
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == model.unknown) & (ids[:-1] == model.unknown)
+            again[rows[:-1][np.diff(rows) > 0]] = False
+            ids, rows = ids[~again], np.concatenate([[0], np.cumsum(~again)])[rows]
+        yield ids, rows
 
 
 def decode_ids(ids: np.ndarray, rows: np.ndarray, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +214,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
                 at = end
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -247,4 +254,4 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(np.diff(rows)), pa.array(joined), pa.array(decoded), pa.array(same)], ["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip"])
                 at = end
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
