@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.fm_index import FMIndex
-from quarry.llm.frames import text_bytes
+from quarry.llm.frames import text_bytes, unused
 from quarry.llm.words import ALPHANUMERIC, bounded, slices, split
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Windows of a block take some 70 times the bytes of its texts while they are sorted, and 16 times when broadcast.
+BLOCK_BYTES = 4 << 20
 SHARD_WORDS = 400_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -165,8 +166,9 @@ def cut_spans(text: str, spans: list) -> str:
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, remove: bool = False) -> DataFrame:
-    """docs with __n_words, __spans (word places of removal spans, merged) and __items (item ids as strings, sorted).
+def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, remove: bool = False, names: list[str] | None = None) -> DataFrame:
+    """docs with n_words, spans (word places of removal spans, merged) and items (item ids as strings, sorted), or three
+    other names, which docs must not have.
 
     A window is that many consecutive words of an item, or the whole item if shorter; items without words have none.
     Null texts have no words. A null item id is the item "null"; rows of one item id are one item. The benchmark is
@@ -174,16 +176,17 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("id"), F.col(item_text_col).alias("text"))
     blocks = max(1, -(-text_bytes(items, "text") // block_bytes))
-    out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__spans": F.array().cast(_SPANS), "__items": F.array().cast("array<string>")})
+    n_words, spans, items_of = names = names or ["n_words", "spans", "items"]
+    out = docs.withColumns({n_words: F.lit(0).cast("long"), spans: F.array().cast(_SPANS), items_of: F.array().cast("array<string>")})
     schema = out.schema
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part.collect()], window))
-        out = out.mapInArrow(_annotate(phrases, text_col, remove and b == blocks - 1), schema)
+        out = out.mapInArrow(_annotate(phrases, text_col, names, remove and b == blocks - 1), schema)
     return out
 
 
-def _annotate(phrases, text_col: str, remove: bool):
+def _annotate(phrases, text_col: str, names: list[str], remove: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first in batches:
             yield from map(one, bounded([first], first.schema.get_field_index(text_col)))
@@ -191,7 +194,7 @@ def _annotate(phrases, text_col: str, remove: bool):
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.schema.get_field_index(text_col)
         n_words, spans, items = _search_batch(batch.column(column), phrases.value)
-        before_spans, before_items = batch.column("__spans"), batch.column("__items")
+        before_spans, before_items = batch.column(names[1]), batch.column(names[2])
         if pc.any(pc.greater(pc.list_value_length(before_items), 0)).as_py():
             for i, (s, x) in enumerate(zip(before_spans.to_pylist(), before_items.to_pylist())):
                 if x:
@@ -201,7 +204,7 @@ def _annotate(phrases, text_col: str, remove: bool):
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
         flat = np.concatenate(spans)
         pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["first", "end"])
-        new = {"__n_words": pa.array(n_words), "__spans": pa.ListArray.from_arrays(pa.array(offsets), pairs), "__items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+        new = {names[0]: pa.array(n_words), names[1]: pa.ListArray.from_arrays(pa.array(offsets), pairs), names[2]: pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
         if remove and len(flat):
             texts = batch.column(column).to_pylist()
             for i, s in enumerate(spans):
@@ -216,16 +219,17 @@ def _annotate(phrases, text_col: str, remove: bool):
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans; see find_spans()."""
     found = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, window=window)
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.size("__spans") > 0).alias("contaminated"), F.col("__spans").alias("spans"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the removal spans cut out of the text, columns as they were. A text without a hit, null included, stays
     unchanged; a document of which no word is left is dropped. Other columns keep their values."""
-    found = find_spans(docs, benchmark, text_col=text_col, window=window, remove=True)
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
-    return found.filter((F.size("__spans") == 0) | (hit < F.col("__n_words"))).drop("__n_words", "__spans", "__items")
+    names = unused(docs, "n_words", "spans", "items")
+    found = find_spans(docs, benchmark, text_col=text_col, window=window, remove=True, names=names)
+    hit = F.aggregate(names[1], F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
+    return found.filter((F.size(names[1]) == 0) | (hit < F.col(names[0]))).drop(*names)
 
 
 _TOKENS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

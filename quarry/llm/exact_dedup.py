@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import cut, partitions
+from quarry.llm.frames import cut, partitions, unused, whole_id
 
 RUN_ROWS = 500_000
 _KEY = ["digest", "check", "size"]
@@ -61,7 +61,7 @@ def _merged(keep: str):
 def digests(docs: DataFrame, id_col: str, text_col: str, normalise=None) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("size"))
+    return docs.select(whole_id(docs, id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("size"))
 
 
 def merge_tree(rows: DataFrame, keep: str = "max", bits: int = 3) -> DataFrame:
@@ -102,12 +102,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each text, columns as they were; edge cases as above, but rows that repeat id and text
     leave one."""
     rows = digests(docs, id_col, text_col, normalise)
-    stay = merge_tree(rows, keep, bits).select(F.col("digest").alias("__digest"), F.col("id").alias("__id"))
+    digest, ident = unused(docs, "digest", "id")
+    stay = merge_tree(rows, keep, bits).select(F.col("digest").alias(digest), F.col("id").alias(ident))
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
-    marked = docs.withColumns({"__digest": F.unhex(F.sha2(text, 256)), "__id": F.col(id_col).cast("long")})
-    joined = marked.alias("d").join(stay.alias("k"), F.col("d.__digest").eqNullSafe(F.col("k.__digest")) & F.col("d.__id").eqNullSafe(F.col("k.__id")), "left_semi")
-    return joined.dropDuplicates(["__digest", "__id"]).drop("__digest", "__id")
+    marked = docs.withColumns({digest: F.unhex(F.sha2(text, 256)), ident: whole_id(docs, id_col)})
+    joined = marked.alias("d").join(stay.alias("k"), F.col(f"d.{digest}").eqNullSafe(F.col(f"k.{digest}")) & F.col(f"d.{ident}").eqNullSafe(F.col(f"k.{ident}")), "left_semi")
+    return joined.dropDuplicates([digest, ident]).drop(digest, ident)
 
 
 ORACLE = """

@@ -6,17 +6,39 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the shared checkpoint folder. A folder of its own is set only where the
-    session names none."""
+    """df computed once and read back from the shared checkpoint folder, spark.checkpoint.dir. Where none is named, a
+    local master gets a temporary one; a cluster's executors wouldn't share it, so there it is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def whole_id(df: DataFrame, column: str) -> Column:
+    """An identifier column as long. Identifiers are integers; a column of another type is an error at once."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType) and not (isinstance(kind, T.DecimalType) and kind.scale == 0):
+        raise TypeError(f"{column}: identifiers are integers, not {kind.simpleString()}")
+    return F.col(column).cast("long")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df, whatever its case, is named like it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

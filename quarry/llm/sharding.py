@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.frames import cut, positioned
+from quarry.llm.frames import cut, positioned, whole_id
 
 
 class _Node:
@@ -171,7 +171,7 @@ def shard(docs: DataFrame, shards: int | None = 24, capacity: int | None = None,
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")))
+    rows = cut(docs.select(whole_id(docs, id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")))
     groups = rows.groupBy("digest").agg(F.sum("size").alias("weight"))
     groups = positioned(groups, F.desc("weight"), F.col("digest"), name="place")
     sizes = [(r[0], r[1]) for r in groups.groupBy("weight").count().collect()]

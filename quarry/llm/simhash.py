@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.frames import cut, partitions
+from quarry.llm.frames import cut, partitions, whole_id
 from quarry.llm.words import NON_SPACE, Words, bounded, slices, split
 
 SHINGLE = 4
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if got:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
+    return docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -180,7 +180,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nobody's copy and stay, as do rows that repeat an id and text that stays; other edge cases as above.
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
+    keyed = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
     prints = cut(fingerprints(keyed, shingle=shingle, also=("text_hash",)))
     gone = prints.join(_classes(prints, distance), "fp").filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, (F.col(id_col).cast("long") == gone["__id"]) & (text_hash == gone["__hash"]), "left_anti")
+    return docs.join(gone, (whole_id(docs, id_col) == gone["__id"]) & (text_hash == gone["__hash"]), "left_anti")

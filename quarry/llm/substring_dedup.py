@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import text_bytes
+from quarry.llm.frames import text_bytes, whole_id
 from quarry.llm.words import NON_SPACE, Words, hashes, mix, rolled, slices, split
 
 WINDOW = 35
@@ -233,7 +233,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     total = text_bytes(docs, text_col)
     groups, buckets = 1 + total // group_bytes, 1 + 3 * total // bucket_bytes
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64), F.spark_partition_id()), F.lit(groups)))
     dealt = rows.repartition("grp")
     sent = dealt.groupBy("grp").applyInArrow(_emit(window, mer, buckets), "bucket long, grp long, strings binary, numbers binary, n long")

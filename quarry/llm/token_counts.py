@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import PrefixBPE, byte_level
+from quarry.llm.frames import whole_id
 from quarry.llm.words import bounded, slices, sums, text_buffers
 
 LIMIT = 512
@@ -188,7 +189,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
             n = count_tokens(batch.column(1), coder, specials)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def truncate(docs: DataFrame, path: str, budget: int = LIMIT, text_col: str = "text") -> DataFrame:

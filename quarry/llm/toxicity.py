@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.frames import cut
+from quarry.llm.frames import cut, unused, whole_id
 from quarry.llm.words import ALPHANUMERIC, Words, bounded, hashes, mix, slices, split
 
 #: At most this many labelled rows are learned from, those whose ids have the least hashes.
@@ -101,14 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     that. Null ids and labels are left out; ids labelled more than once are toxic if any of their labels says so. An
     empty table gives no weights, and so scores of 0.5.
     """
-    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(whole_id(labels, id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("place", "label", "text")
+    rows = docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("place", "label", "text")
     seen = rows.mapInArrow(_featured(bits), "place long, label int, buckets array<int>")
     return seen.repartition(1).sortWithinPartitions("place", "buckets").mapInArrow(_learned(bits, max_rows, alpha, beta, l1, l2, rounds), "bucket int, weight double")
 
 
-def _scores(bits: int, model, text_col: str):
+def _scores(bits: int, model, text_col: str, name: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = model.value
         dense = np.zeros((1 << bits) + 1, np.float32)
@@ -123,17 +123,17 @@ def _scores(bits: int, model, text_col: str):
                     both = np.unique(row[hit] << bits | bucket[hit])
                     total = np.bincount(both >> bits, dense[both & ((1 << bits) - 1)], end - start)
                     got.append(1 / (1 + np.exp(-(total + dense[-1]))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got))], [*batch.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got))], [*batch.schema.names, name])
 
     return run
 
 
-def with_scores(docs: DataFrame, weights: DataFrame, text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """docs with __score, from 0 to 1; null and empty texts have the bias's score. weights reach the driver and each
+def with_scores(docs: DataFrame, weights: DataFrame, text_col: str = "text", bits: int = BITS, name: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1 in a column so named, which docs must not have; null and empty texts have the bias's score. weights reach the driver and each
     executor as arrays of bounded size."""
     found = cut(weights).collect()
     model = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.float64)))
-    return docs.mapInArrow(_scores(bits, model, text_col), T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return docs.mapInArrow(_scores(bits, model, text_col, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(id_col: Column) -> Column:
@@ -145,11 +145,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: doc_id, held_out, score, predicted (1 from 0.5 on). Repeated rows and null ids stay,
     other columns are ignored; options and edge cases as in train()."""
     weights = train(docs, labels.filter(~held_out(F.col(id_col))), id_col, text_col, label_col, **options)
-    scored = with_scores(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), weights, bits=options.get("bits", BITS))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    scored = with_scores(docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")), weights, bits=options.get("bits", BITS))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, **options) -> DataFrame:
     """docs without those scored at threshold or more; columns as they were."""
     weights = train(docs, labels.filter(~held_out(F.col(id_col))), id_col, text_col, label_col, **options)
-    return with_scores(docs, weights, text_col, options.get("bits", BITS)).filter(F.col("__score") < threshold).drop("__score")
+    (score,) = unused(docs, "score")
+    return with_scores(docs, weights, text_col, options.get("bits", BITS), score).filter(F.col(score) < threshold).drop(score)

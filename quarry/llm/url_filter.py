@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.frames import unused
+
 BUCKETS = 8192
 SIZES = (3, 4, 5)
 ROUNDS = 400
@@ -104,16 +106,17 @@ def with_verdicts(pages: DataFrame, weights: DataFrame, rules=RULES, url_col: st
     learned = {r["bucket"]: r["weight"] for r in weights.collect()}
     table = F.lit([float(learned.get(b, 0.0)) for b in range(-1, buckets)])
     host, path = host_and_path(F.col(url_col))
-    out = pages.withColumns({"__host": host, "__path": path})
-    h, p = F.col("__host"), F.col("__path")
+    own_host, own_path, of_grams, own_score = unused(pages, "own_host", "own_path", "of_grams", "own_score")
+    out = pages.withColumns({own_host: host, own_path: path})
+    h, p = F.col(own_host), F.col(own_path)
     grams = F.concat(ngrams(h, p, sizes, buckets), F.array(F.lit(-1)))
     counted = F.aggregate(F.array_sort(grams), F.struct(F.lit(-2).alias("b"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sq"), F.lit(0.0).alias("dot")), lambda a, g: F.struct(
         g.alias("b"), F.when(a.b == g, a.run + 1).otherwise(F.lit(1.0)).alias("run"), (a.sq + F.when(a.b == g, 2 * a.run + 1).otherwise(F.lit(1.0))).alias("sq"), (a.dot + F.element_at(table, g + 2)).alias("dot")))
-    out = out.withColumn("__c", counted).withColumn("__score", 1 / (1 + F.exp(-F.col("__c.dot") / F.sqrt("__c.sq"))))
+    out = out.withColumn(of_grams, counted).withColumn(own_score, 1 / (1 + F.exp(-F.col(f"{of_grams}.dot") / F.sqrt(f"{of_grams}.sq"))))
     fits = [F.when(((h == rh) | h.endswith("." + rh)) & p.startswith(rp), F.struct(F.lit(len(rh + rp)).alias("n"), F.lit(i).alias("i"), F.lit(rh + rp).alias("rule"), F.lit(v).alias("verdict"))) for i, (rh, rp, v) in enumerate(rules)]
     best = F.greatest(*fits) if len(fits) > 1 else reduce(lambda a, b: a, fits, None)
     rule = best["rule"] if best is not None else F.lit(None).cast("string")
     verdict = best["verdict"] if best is not None else F.lit(None).cast("string")
-    by_score = F.when(F.col("__score") >= 0.5, "block").otherwise("allow")
+    by_score = F.when(F.col(own_score) >= 0.5, "block").otherwise("allow")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    return out.select(*[F.col(f"`{c}`") for c in kept], h.alias("host"), p.alias("path"), rule.alias("rule"), F.col("__score").alias("score"), F.coalesce(verdict, by_score).alias("verdict"))
+    return out.select(*[F.col(f"`{c}`") for c in kept], h.alias("host"), p.alias("path"), rule.alias("rule"), F.col(own_score).alias("score"), F.coalesce(verdict, by_score).alias("verdict"))

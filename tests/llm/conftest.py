@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Column names that operators use themselves, as further columns of the input.
-CLASHING = ("id", "digest", "check", "size", "node", "n", "fp", "kept", "keep_id", "grp", "bucket", "score", "label", "place", "spans", "host", "rule", "text_hash", "weight", "shard")
+CLASHING = ("id", "digest", "check", "size", "node", "n", "fp", "kept", "keep_id", "grp", "bucket", "score", "label", "place", "spans", "host", "rule", "text_hash", "weight", "shard", "__score", "__host", "__path", "__c", "__items", "__spans", "__n_words", "__digest", "__id", "__hash", "__at", "items", "spans", "n_words", "_spans", "ident", "own_host", "own_path", "own_score", "of_grams")
 
 
 def odd_texts() -> list:

@@ -71,7 +71,7 @@ def test_contamination(spark, odd, odd_rows, block_bytes):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_spans(docs, bench, block_bytes=block_bytes)
-    got = Counter((r.doc_id, r["__n_words"], sum(s["end"] - s["first"] for s in r["__spans"]), len(r["__items"]), sha(",".join(r["__items"])), bool(r["__spans"])) for r in found.collect())
+    got = Counter((r.doc_id, r["n_words"], sum(s["end"] - s["first"] for s in r["spans"]), len(r["items"]), sha(",".join(r["items"])), bool(r["spans"])) for r in found.collect())
     assert got == Counter((i, *brute_contamination(t, items)) for i, t in rows)
 
 
@@ -367,3 +367,18 @@ def test_training_reads_no_more_rows_than_said(spark):
     docs = spark.createDataFrame([(1, "a b")] * 50 + [(2, "c d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels, max_rows=1).count() >= 1
+
+
+def test_chat_query_runs_its_machine(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "c"), (3, 0, "user", "d"), (4, 0, "user", "e"), (4, 1, "user", "f"), (4, 2, "assistant", "g")], "conv_id long, turn long, role string, text string")
+    out = chat_format.turn_digests(turns)
+    assert {(r.conv_id, r.valid, r.invalid_at, r.loss_chars) for r in out.collect()} == {(1, True, None, 1), (2, False, 0, 1), (3, False, 1, 0), (4, False, 1, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "start" in plan and "invalid" in plan
+
+
+def test_identifiers_are_integers(spark):
+    from quarry.llm import exact_dedup
+
+    with pytest.raises(TypeError):
+        exact_dedup.exact_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

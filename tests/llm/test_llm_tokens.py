@@ -91,3 +91,24 @@ def test_viterbi_shares_prefixes_and_is_optimal():
         names = list(vocab)
         assert abs(sum(toy.score[names[i]] for i in ids) - best(w)[0]) < 1e-9
     assert model.bpe is not None
+
+
+@pytest.mark.parametrize("kind", [pieces._UNIGRAM, pieces._BPE])
+def test_unknown_runs_without_byte_fallback(tmp_path, kind):
+    import sentencepiece.sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    for name, k in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=name, score=0.0, type=k)
+    for rank, name in enumerate(["▁", "a", "b", "c", "ab", "▁a", "bc", "▁ab", "abc", "▁abc", "é"]):
+        model.pieces.add(piece=name, score=-1.0 - rank * 0.7 if kind == pieces._UNIGRAM else -float(rank), type=1)
+    model.trainer_spec.model_type = kind
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = True, False, True
+    path = tmp_path / "m.model"
+    path.write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    rng = random.Random(3)
+    some = ["xyz", "x y", "xx", "", " ", "aéx中文b", "zz abc zz"] + ["".join(rng.choice("abcxyz é中  ") for _ in range(rng.randint(0, 20))) for _ in range(600)]
+    got = [ids[a:b].tolist() for ids, rows in pieces.encode_column(pa.array(some), pieces.Pieces(str(path))) for a, b in zip(rows[:-1], rows[1:])]
+    assert got == [library.encode(t) for t in some]
