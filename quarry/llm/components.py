@@ -14,12 +14,11 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of links (u, v); root is the least node reachable. Links of a node to itself, repeated
-    and null links count for nothing; a node with many links is grouped with a partial minimum first. After rounds, if so many
-    don't do, root is a lesser node of the component, and nodes without one are left out."""
+    and null links count for nothing; a node with many links is grouped with a partial minimum first."""
     edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark, done = None, 0
+    mark = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -29,7 +28,5 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark, done = now, done + 1
-        if done == rounds:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        mark = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
