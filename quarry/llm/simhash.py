@@ -147,8 +147,9 @@ def _links(distance: int):
 
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(u, v): links that connect the distinct fingerprints in column fp as all pairs within distance would."""
-    keyed = distinct.select(F.explode(variants(F.col("fp"), distance)).alias("key"), "fp")
     n = 4 * partitions(distinct.sparkSession)
+    # spread first: a small table is in few partitions, and a row becomes 64
+    keyed = distinct.select("fp").repartition(n, "fp").select(F.explode(variants(F.col("fp"), distance)).alias("key"), "fp")
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(distance), "u long, v long")
 
 
