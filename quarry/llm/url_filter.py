@@ -1,9 +1,9 @@
 """URL filters with DataFrame functions only: domain and path rules, then logistic regression on hashed character
 n-grams of host and path, trained from a small labelled URL table.
 
-Training is full-batch gradient descent from zero on the logistic loss. Its weights are always a sum of the labelled
-rows' features, so it runs on one factor per labelled row over their Gram matrix, inside one aggregate(); the weights
-follow as a sum per bucket. Both are bounded by the labelled table and by the number of buckets.
+Training is full-batch gradient descent from zero on the logistic loss, inside one aggregate() over the array of
+weights. A round scores each labelled row by its own buckets, then moves each bucket by the rows that have it, so it
+takes time linear in the features; rows and weights are bounded by the labelled table and by the number of buckets.
 """
 
 from __future__ import annotations
@@ -74,26 +74,31 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     """(bucket, weight) of a small labelled table; at most buckets + 1 rows, bucket -1 is the bias. Features are counts
     over their Euclidean norm. Rows with a null label are left out; an empty table gives no weights."""
     host, path = host_and_path(F.col(url_col))
-    base = labelled.filter(F.col(label_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("y"), host.alias("h"), path.alias("p"))
-    rows = base.groupBy("url", "y", "h", "p").agg(F.count("*").alias("times")).withColumn("row", F.concat_ws("\n", F.col("y").cast("string"), F.coalesce("url", F.lit(""))))
-    grams = rows.select("row", F.explode(F.concat(ngrams(F.col("h"), F.col("p"), sizes, buckets), F.array(F.lit(-1)))).alias("bucket")).groupBy("row", "bucket").agg(F.count("*").cast("double").alias("n"))
-    norm = grams.groupBy("row").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    x = grams.join(norm, "row").select("row", "bucket", (F.col("n") / F.col("norm")).alias("x"))
-    other = x.select(F.col("row").alias("row2"), "bucket", F.col("x").alias("x2"))
-    gram = x.join(other, "bucket").groupBy("row", "row2").agg(F.sum(F.col("x") * F.col("x2")).alias("k"))
-    lines = gram.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("row2", "k"))).alias("line")).join(rows.select("row", "y", "times"), "row")
-    whole = lines.agg(F.array_sort(F.collect_list(F.struct("row", "y", "times", F.col("line.k").alias("k")))).alias("m"))
-
-    def step(a: Column, _: Column) -> Column:
-        def one(r: Column, i: Column) -> Column:
-            z = F.aggregate(F.arrays_zip(r.k.alias("k"), a.alias("a")), F.lit(0.0), lambda s, p: s + p["k"] * p["a"])
-            return F.element_at(a, i + 1) + F.lit(rate) * r.times * (r.y - 1 / (1 + F.exp(-z)))
-
-        return F.transform("m", one)
-
-    factors = whole.select("m", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform("m", lambda r: F.lit(0.0)), step).alias("a"))
-    pairs = factors.select(F.explode(F.arrays_zip(F.col("m.row").alias("row"), F.col("a").alias("a"))).alias("p")).select("p.row", "p.a")
-    return x.join(pairs, "row").groupBy("bucket").agg(F.sum(F.col("x") * F.col("a")).alias("weight"))
+    base = labelled.filter(F.col(label_col).isNotNull()).select(F.struct(F.col(label_col).cast("double").alias("y"), F.col(url_col).isNull().alias("none"), F.coalesce(url_col, F.lit("")).alias("url")).alias("row"), host.alias("h"), path.alias("p"))
+    rows = base.groupBy("row", "h", "p").agg(F.count("*").alias("times"))
+    # the bias, bucket -1, is at position 1 of the weights
+    grams = rows.select("row", "times", F.explode(F.concat(ngrams(F.col("h"), F.col("p"), sizes, buckets), F.array(F.lit(-1)))).alias("bucket")).groupBy("row", "times", (F.col("bucket") + 2).alias("at")).agg(F.count("*").cast("double").alias("n"))
+    lines = grams.groupBy("row", "times").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("g"))
+    norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda s, c: s + c.n * c.n))
+    lines = lines.withColumn("norm", norm).select("row", "times", F.transform("g", lambda c: F.struct(c["at"].alias("at"), (c.n / F.col("norm")).alias("x"))).alias("line"))
+    whole = lines.agg(F.array_sort(F.collect_list(F.struct("row", "times", "line"))).alias("m"))
+    cells = whole.select(F.posexplode("m").alias("i", "r")).select(F.col("i"), F.explode("r.line").alias("c")).groupBy(F.col("c.at").alias("at")).agg(F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("i"), F.col("c.x").alias("x")))).alias("rows"))
+    cells = cells.agg(F.map_from_entries(F.collect_list(F.struct("at", "rows"))).alias("by")).select(F.transform(F.sequence(F.lit(1), F.lit(buckets + 1)), lambda b: F.try_element_at("by", b)).alias("cells"))
+    both = whole.withColumn("one", F.lit(1)).join(cells.withColumn("one", F.lit(1)), "one")
+
+    def step(w: Column, _: Column) -> Column:
+        def error(r: Column) -> Column:
+            z = F.aggregate(r.line, F.lit(0.0), lambda s, c: s + c.x * F.element_at(w, c["at"]))
+            return F.lit(rate) * r.times * (r.row.y - 1 / (1 + F.exp(-z)))
+
+        def moved(errors: Column) -> Column:
+            return F.zip_with("cells", w, lambda rows, old: F.when(rows.isNull(), old).otherwise(F.aggregate(rows, old, lambda s, c: s + c.x * F.element_at(errors, c.i))))
+
+        # an array of one binds the errors to a name, so that a bucket doesn't compute them anew
+        return F.element_at(F.transform(F.array(F.transform("m", error)), moved), 1)
+
+    weights = both.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array_repeat(F.lit(0.0), buckets + 1), step).alias("w"))
+    return weights.select(F.posexplode("w").alias("at", "weight")).filter("weight <> 0").select((F.col("at") - 1).alias("bucket"), "weight")
 
 
 def with_verdicts(pages: DataFrame, weights: DataFrame, rules=RULES, url_col: str = "url", buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
