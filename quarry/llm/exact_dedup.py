@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import cut, partitions, unused, whole_id
+from quarry.llm.frames import cut, partitions, spread_join, unused, whole_id
 
 RUN_ROWS = 500_000
 _KEY = ["digest", "check", "size"]
@@ -89,8 +89,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are ignored; no rows give no rows.
     """
     rows = cut(digests(docs, id_col, text_col, normalise))
-    groups = merge_tree(rows, keep, bits).filter("n > 1").select(*_KEY, F.col("id").alias("keep_id"), "n")
-    found = rows.join(groups, _KEY, "left")
+    groups = cut(merge_tree(rows, keep, bits).filter("n > 1").select(*_KEY, F.col("id").alias("keep_id"), "n"))
+    found = spread_join(rows, groups, _KEY, "left")
     keep_id = F.coalesce("keep_id", "id")
     return found.select(
         F.col("id").alias("doc_id"), keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Keys of more than one in so many rows are broadcast.
+HOT_KEYS = 1000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from the shared checkpoint folder, spark.checkpoint.dir. Where none is named, a
@@ -57,6 +60,17 @@ def positioned(df: DataFrame, *order: Column, name: str = "position") -> DataFra
     return placed.withColumn(name, offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to table, which has one row a key and in column n how many rows have that key. how: inner or left.
+
+    A key of more than one in HOT_KEYS of the rows would be one task's work. There are fewer than HOT_KEYS such keys, so
+    they are broadcast and their rows stay where they are; all other rows meet their keys in a shuffle. Both sides are
+    read more than once and should be cut."""
+    hot = rows.count() // HOT_KEYS
+    heavy, light = F.broadcast(table.filter(F.col("n") > hot)), table.filter(F.col("n") <= hot)
+    return rows.join(heavy, on).unionByName(rows.join(heavy, on, "left_anti").join(light, on, how))
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column."""
     return int(df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)

@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.frames import cut, positioned, whole_id
+from quarry.llm.frames import cut, positioned, spread_join, whole_id
+
+#: Runs of the plan that are broadcast; of more, each block of so many places meets its runs in a shuffle.
+PLAN_ROWS = 100_000
+BLOCK_PLACES = 65_536
 
 
 class _Node:
@@ -172,18 +176,20 @@ def shard(docs: DataFrame, shards: int | None = 24, capacity: int | None = None,
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(docs.select(whole_id(docs, id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")))
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("weight"))
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
     groups = positioned(groups, F.desc("weight"), F.col("digest"), name="place")
     sizes = [(r[0], r[1]) for r in groups.groupBy("weight").count().collect()]
     runs = pack_evenly(sizes, shards) if capacity is None else pack(sizes, capacity)
     plan, at = [], 0
-    for size, n, b in sorted(runs, key=lambda r: -r[0]):
-        plan.append((size, at, at + n, b))
+    for _, n, b in sorted(runs, key=lambda r: -r[0]):
+        plan.append((at, at + n, b))
         at += n
-    names = T.StructType([T.StructField(x, T.LongType()) for x in ("weight", "low", "high")] + [T.StructField("shard", T.IntegerType())])
-    plan_df = spark.createDataFrame(plan, names)
-    placed = groups.join(plan_df, (groups.weight == plan_df.weight) & (groups.place >= plan_df.low) & (groups.place < plan_df.high)).select("digest", "shard", "place")
-    dealt = positioned(rows.join(placed, "digest"), F.col("shard"), F.col("place"), F.col("doc_id"), name="at")
+    names = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("shard", T.IntegerType())])
+    block = lambda c: F.floor(c / BLOCK_PLACES)
+    plan_df = spark.createDataFrame(plan, names).withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
+    plan_df = F.broadcast(plan_df) if len(plan) <= PLAN_ROWS and at <= PLAN_ROWS * BLOCK_PLACES else plan_df
+    placed = groups.withColumn("block", block(F.col("place"))).join(plan_df, "block").filter("place >= low and place < high").select("digest", "n", "shard", "place")
+    dealt = positioned(spread_join(rows, cut(placed), ["digest"]), F.col("shard"), F.col("place"), F.col("doc_id"), name="at")
     counts = dict(dealt.groupBy("shard").count().collect())
     first, total = {}, 0
     for b in sorted(counts):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.frames import cut, partitions, whole_id
+from quarry.llm.frames import cut, partitions, spread_join, whole_id
 from quarry.llm.words import NON_SPACE, Words, bounded, slices, split
 
 SHINGLE = 4
@@ -154,13 +154,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _classes(prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint."""
-    own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    """(fp, component_id, n) of each distinct fingerprint; n rows have it."""
+    own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     placed = own.join(components(links(own, distance)), F.col("fp") == F.col("node"), "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     linked = placed.filter("root is not null")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    alone = placed.filter("root is null").select("fp", F.col("least_id").alias("component_id"))
-    return alone.unionByName(linked.join(least, ["root", "salt"]).select("fp", "component_id"))
+    alone = placed.filter("root is null").select("fp", F.col("least_id").alias("component_id"), "n")
+    return cut(alone.unionByName(linked.join(least, ["root", "salt"]).select("fp", "component_id", "n")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored; no rows give no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    return prints.join(_classes(prints, distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(prints, _classes(prints, distance), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE + 1) -> DataFrame:
@@ -183,5 +183,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keyed = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
     prints = cut(fingerprints(keyed, shingle=shingle, also=("text_hash",)))
-    gone = prints.join(_classes(prints, distance), "fp").filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    gone = spread_join(prints, _classes(prints, distance), ["fp"]).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     return docs.join(gone, (whole_id(docs, id_col) == gone["__id"]) & (text_hash == gone["__hash"]), "left_anti")
