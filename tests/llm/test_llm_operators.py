@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, decontaminate, exact_dedup, sharding, simhash, substring_dedup, toxicity, url_filter
+from quarry.llm import chat_format, decontaminate, exact_dedup, frames, sharding, simhash, substring_dedup, toxicity, url_filter
 from quarry.llm.components import components
 from quarry.llm.fm_index import FMIndex, WaveletTree, suffix_order
 
@@ -231,9 +231,36 @@ def test_shards(odd, odd_rows, empty, options):
         load[r.shard] += r["size"]
     assert all(len(s) == 1 for s in by_text.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = Counter()
+    for r in rows:
+        groups[(r["size"], r.text_crc32)] += r["size"]
+    sizes, packed = list(Counter(groups.values()).items()), Counter()
+    for size, n, b in sharding.pack_evenly(sizes, options["shards"]) if options["shards"] else sharding.pack(sizes, options["capacity"]):
+        packed[b] += size * n
+    assert load == packed and set(load) <= set(range(options["shards"] or len(rows)))
     assert sharding.shard(empty, **options).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_broadcast(spark, monkeypatch, how):
+    monkeypatch.setattr(frames, "HOT_KEYS", 5)
+    rows = spark.createDataFrame([(i, 0 if i % 2 else i % 40) for i in range(400)], "i long, k long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), (F.col("k") * 3).alias("v")).filter("k <> 8")
+    want = rows.join(table, ["k"], how)
+    assert rows_of(frames.spread_join(rows, table, ["k"], how), "i", "k", "n", "v") == rows_of(want, "i", "k", "n", "v")
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_plan_of_many_runs(spark, monkeypatch, limit):
+    monkeypatch.setattr(sharding, "PLAN_ROWS", limit)
+    monkeypatch.setattr(sharding, "BLOCK_PLACES", 7)
+    rows = sharding.shard(spark.createDataFrame([(i, "x" * (i % 9)) if i % 3 else (i, f"t{i}") for i in range(300)], "doc_id long, text string"), 4).collect()
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r["size"]
+    assert len(rows) == 300 and max(load.values()) - min(load.values()) < 20
+
+
 # --- SimHash ---
 
 
@@ -337,6 +364,21 @@ def test_url_model_beats_chance(spark, url_weights):
     assert sum((r.score >= 0.5) == r.y for r in got) >= 10
 
 
+def test_url_training_is_logistic_regression(spark):
+    rows = [("http://a.com/x", 1), ("http://b.com/yy", 0), ("http://b.com/yy", 0), ("http://b.com/yy", 1), (None, 1), ("", 1), ("nothing", 0), ("http://long.net" + "/seg" * 300, 0)]
+    table = spark.createDataFrame([*rows, ("http://c.com/", None)], "url string, blocked int")
+    got = {r.bucket: r.weight for r in url_filter.train(table, buckets=64, rounds=25).collect()}
+    grams = table.filter("blocked is not null").select("blocked", url_filter.ngrams(*url_filter.host_and_path(F.col("url")), buckets=64).alias("g")).collect()
+    x, y = np.zeros((len(grams), 65)), np.array([r.blocked for r in grams], float)
+    for k, r in enumerate(grams):
+        np.add.at(x[k], [0, *(g + 1 for g in r.g)], 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = np.zeros(65)
+    for _ in range(25):
+        w = w + url_filter.RATE * x.T @ (y - 1 / (1 + np.exp(-x @ w)))
+    assert np.allclose([got.get(b, 0.0) for b in range(-1, 64)], w)
+
+
 def test_url_training_without_rows(spark):
     weights = url_filter.train(spark.createDataFrame([], "url string, blocked int"))
     assert weights.count() == 0
@@ -363,10 +405,42 @@ def test_toxicity(spark, odd, odd_rows, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
-def test_training_reads_no_more_rows_than_said(spark):
-    docs = spark.createDataFrame([(1, "a b")] * 50 + [(2, "c d")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
-    assert toxicity.train(docs, labels, max_rows=1).count() >= 1
+def brute_ftrl(rows, alpha, beta, l1, l2, rounds, bias):
+    """Weights by bucket after learning (buckets, label) in order, one coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        lasso = 0.0 if i == bias else l1
+        if abs(z[i]) <= lasso:
+            return 0.0
+        return -(z[i] - (lasso if z[i] > 0 else -lasso)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(rounds):
+        for buckets, label in rows:
+            w = {i: weight(i) for i in [*buckets, bias]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+@pytest.mark.parametrize("max_rows", [1000, 20])
+def test_training_is_ftrl_over_the_rows_allowed(spark, max_rows):
+    rng, bits = np.random.default_rng(1), 10
+    rows = [(i, " ".join(rng.choice("The red FOX; ran, over a-hill idiot".split(), int(rng.integers(0, 12))))) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int("idiot" in t)) for i, t in rows], "doc_id long, toxic int")
+    options = {"alpha": 0.2, "beta": 1.0, "l1": 0.05, "l2": 0.1, "rounds": 2}
+    got = {r.bucket: r.weight for r in toxicity.train(docs, labels, max_rows=max_rows, bits=bits, **options).collect()}
+
+    def buckets(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return sorted(set(toxicity.features(toxicity.split(raw, np.array([0, len(raw)]), toxicity.ALPHANUMERIC, lower=True), bits)[1].tolist()))
+
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).collect()][:max_rows]
+    want = brute_ftrl([(buckets(rows[i][1]), int("idiot" in rows[i][1])) for i in order], **options, bias=1 << bits)
+    assert got.keys() == want.keys() and len(want) > 5
+    assert np.allclose([got[k] for k in want], list(want.values()))
 
 
 def test_chat_query_runs_its_machine(spark):
