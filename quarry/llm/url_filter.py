@@ -3,11 +3,13 @@ n-grams of host and path, trained from a small labelled URL table.
 
 Training is full-batch gradient descent from zero on the logistic loss, inside one aggregate() over the array of
 weights. A round scores each labelled row by its own buckets, then moves each bucket by the rows that have it, so it
-takes time linear in the features; rows and weights are bounded by the labelled table and by the number of buckets.
+takes time linear in the features. Buckets alike in all rows learn as one; rows and weights are bounded by the labelled
+table and by the number of buckets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,29 +78,42 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     host, path = host_and_path(F.col(url_col))
     base = labelled.filter(F.col(label_col).isNotNull()).select(F.struct(F.col(label_col).cast("double").alias("y"), F.col(url_col).isNull().alias("none"), F.coalesce(url_col, F.lit("")).alias("url")).alias("row"), host.alias("h"), path.alias("p"))
     rows = base.groupBy("row", "h", "p").agg(F.count("*").alias("times"))
-    # the bias, bucket -1, is at position 1 of the weights
-    grams = rows.select("row", "times", F.explode(F.concat(ngrams(F.col("h"), F.col("p"), sizes, buckets), F.array(F.lit(-1)))).alias("bucket")).groupBy("row", "times", (F.col("bucket") + 2).alias("at")).agg(F.count("*").cast("double").alias("n"))
+    grams = rows.select("row", "times", F.explode(F.concat(ngrams(F.col("h"), F.col("p"), sizes, buckets), F.array(F.lit(-1)))).alias("bucket")).groupBy("row", "times", F.col("bucket").alias("at")).agg(F.count("*").cast("double").alias("n"))
     lines = grams.groupBy("row", "times").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("g"))
     norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda s, c: s + c.n * c.n))
     lines = lines.withColumn("norm", norm).select("row", "times", F.transform("g", lambda c: F.struct(c["at"].alias("at"), (c.n / F.col("norm")).alias("x"))).alias("line"))
     whole = lines.agg(F.array_sort(F.collect_list(F.struct("row", "times", "line"))).alias("m"))
-    cells = whole.select(F.posexplode("m").alias("i", "r")).select(F.col("i"), F.explode("r.line").alias("c")).groupBy(F.col("c.at").alias("at")).agg(F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("i"), F.col("c.x").alias("x")))).alias("rows"))
-    cells = cells.agg(F.map_from_entries(F.collect_list(F.struct("at", "rows"))).alias("by")).select(F.transform(F.sequence(F.lit(1), F.lit(buckets + 1)), lambda b: F.try_element_at("by", b)).alias("cells"))
-    both = whole.withColumn("one", F.lit(1)).join(cells.withColumn("one", F.lit(1)), "one")
-
-    def step(w: Column, _: Column) -> Column:
-        def error(r: Column) -> Column:
-            z = F.aggregate(r.line, F.lit(0.0), lambda s, c: s + c.x * F.element_at(w, c["at"]))
-            return F.lit(rate) * r.times * (r.row.y - 1 / (1 + F.exp(-z)))
-
-        def moved(errors: Column) -> Column:
-            return F.zip_with("cells", w, lambda rows, old: F.when(rows.isNull(), old).otherwise(F.aggregate(rows, old, lambda s, c: s + c.x * F.element_at(errors, c.i))))
-
-        # an array of one binds the errors to a name, so that a bucket doesn't compute them anew
-        return F.element_at(F.transform(F.array(F.transform("m", error)), moved), 1)
-
-    weights = both.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array_repeat(F.lit(0.0), buckets + 1), step).alias("w"))
-    return weights.select(F.posexplode("w").alias("at", "weight")).filter("weight <> 0").select((F.col("at") - 1).alias("bucket"), "weight")
+    rows = whole.select(F.posexplode("m").alias("i", "r"))
+    cells = rows.select("i", F.explode("r.line").alias("c")).groupBy(F.col("c.at").alias("bucket")).agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("at"), F.col("c.x").alias("x")))).alias("rows"))
+    # buckets that the same rows have as often learn the same weight, so they are one group that counts once for each
+    groups = cells.groupBy("rows").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")).agg(F.array_sort(F.collect_list(F.struct("buckets", "rows"))).alias("groups"))
+    lines = groups.select(F.posexplode("groups").alias("g", "c")).select("g", F.size("c.buckets").alias("n"), F.explode("c.rows").alias("p")).groupBy(F.col("p.at").alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col("g").alias("at"), (F.col("n") * F.col("p.x")).alias("x")))).alias("line"))
+    lines = lines.join(rows.select("i", (F.lit(rate) * F.col("r.times")).alias("rate"), F.col("r.row.y").alias("y")), "i").agg(F.array_sort(F.collect_list(F.struct("i", "rate", "y", "line"))).alias("lines"))
+    both = groups.withColumn("one", F.lit(1)).join(lines.withColumn("one", F.lit(1)), "one")
+
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """body over a value that is computed once: an array of one binds it to a name."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def opened(c: Column) -> Column:
+        """A copy whose fields are read without decoding its binary form each time."""
+        return F.transform(c, lambda p: F.struct(p["at"].alias("at"), p["x"].alias("x")))
+
+    def learned(lines: Column, by: Column) -> Column:
+        def total(cells: Column, start: Column, of: Column) -> Column:
+            return F.aggregate(cells, start, lambda s, c: s + c["x"] * F.get(of, c["at"]))
+
+        def step(w: Column, _: Column) -> Column:
+            errors = F.transform(lines, lambda r: r["rate"] * (r["y"] - 1 / (1 + F.exp(-total(r["line"], F.lit(0.0), w)))))
+            return bound(errors, lambda e: F.zip_with(by, w, lambda cells, old: total(cells, old, e)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform(by, lambda c: F.lit(0.0)), step)
+
+    by_row = F.transform("lines", lambda r: F.struct(r["rate"].alias("rate"), r["y"].alias("y"), opened(r["line"]).alias("line")))
+    by_group = F.transform("groups", lambda g: opened(g["rows"]))
+    weights = both.select("groups", bound(by_row, lambda lines: bound(by_group, lambda by: learned(lines, by))).alias("w"))
+    found = weights.select(F.explode(F.arrays_zip(F.col("groups.buckets").alias("buckets"), F.col("w").alias("w"))).alias("p")).select(F.explode("p.buckets").alias("bucket"), F.col("p.w").alias("weight"))
+    return found.filter("weight <> 0")
 
 
 def with_verdicts(pages: DataFrame, weights: DataFrame, rules=RULES, url_col: str = "url", buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
