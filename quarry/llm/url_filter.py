@@ -89,7 +89,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     groups = cells.groupBy("rows").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")).agg(F.array_sort(F.collect_list(F.struct("buckets", "rows"))).alias("groups"))
     lines = groups.select(F.posexplode("groups").alias("g", "c")).select("g", F.size("c.buckets").alias("n"), F.explode("c.rows").alias("p")).groupBy(F.col("p.at").alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col("g").alias("at"), (F.col("n") * F.col("p.x")).alias("x")))).alias("line"))
     lines = lines.join(rows.select("i", (F.lit(rate) * F.col("r.times")).alias("rate"), F.col("r.row.y").alias("y")), "i").agg(F.array_sort(F.collect_list(F.struct("i", "rate", "y", "line"))).alias("lines"))
-    both = groups.withColumn("one", F.lit(1)).join(lines.withColumn("one", F.lit(1)), "one")
+    both = groups.unionByName(lines, allowMissingColumns=True).agg(F.first("groups", True).alias("groups"), F.first("lines", True).alias("lines"))
 
     def bound(value: Column, body: Callable[[Column], Column]) -> Column:
         """body over a value that is computed once: an array of one binds it to a name."""
