@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import alignment, centroids, chat_format, decontaminate, exact_dedup, pieces, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter
+from quarry.llm import alignment, centroids, chat_format, decontaminate, exact_dedup, pieces, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,13 +65,17 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(_read(spark, sf_dir, "documents"), texts=False)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_read(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_substring_dedup, op4_chat_formatting, op5_sharding, op6_simhash, op7_url_filters, op8_sentencepiece, op9_token_counts, op10_toxicity, op11_alignment, op13_centroids)}
+    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_substring_dedup, op4_chat_formatting, op5_sharding, op6_simhash, op7_url_filters, op8_sentencepiece, op9_token_counts, op10_toxicity, op11_alignment, op12_suffix_dedup, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op3_substring_dedup": substring_dedup.ORACLE, "op4_chat_formatting": chat_format.ORACLE, "op13_centroids": centroids.ORACLE}
+    return {"op1_decontamination": decontaminate.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op3_substring_dedup": substring_dedup.ORACLE, "op4_chat_formatting": chat_format.ORACLE, "op12_suffix_dedup": suffix_dedup.ORACLE, "op13_centroids": centroids.ORACLE}
