@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pieces, token_counts
-from quarry.llm.bpe import path as backwards
+from quarry.llm.bpe import byte_letters
 from quarry.llm.frames import cut, spread_join, whole_id
 from quarry.llm.words import bounded, slices, text_buffers
 
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Words whose ids a worker keeps; of more, it begins anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 _RUN = "run long, doc_ids array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, digests array<string>, pair array<long>, docs array<int>, linked binary"
 
 
@@ -49,7 +49,7 @@ class Ids:
         names = coded.dictionary.to_pylist()
         if len(self.row) + len(names) > WORDS_KEPT:
             self._clear()
-        new = sorted(w for w in names if w not in self.row)
+        new = [w for w in names if w not in self.row]
         if new:
             ids = list(self.encode(new))
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
@@ -76,15 +76,21 @@ class Side:
 
 
 class ByteLevel(Side):
-    """A byte-level BPE file of the tokenizers library; special strings in a text are plain text."""
+    """A byte-level BPE file of the tokenizers library; special strings in a text are plain text. Texts are cut to the
+    pattern's pieces, and the library's model encodes each distinct one."""
 
     def __init__(self, path: str):
-        coder, _ = token_counts.encoder(path)
-        shown = [b""] * (max(coder.vocab.values(), default=-1) + 1)
-        for token, i in coder.vocab.items():
-            shown[i] = token
+        from tokenizers import Tokenizer
+
+        whole, letters = Tokenizer.from_file(path), byte_letters()
+        model, added = whole.model, {t.content for t in whole.get_added_tokens_decoder().values()}
+        vocab = {t: i for t, i in whole.get_vocab().items() if t not in added}
+        shown = [b""] * (max(vocab.values(), default=-1) + 1)
+        for token, i in vocab.items():
+            shown[i] = bytes(letters[c] for c in token)
         super().__init__(shown)
-        self.words = Ids(lambda words: ([k for _, k in backwards(token, ident)] for token, ident, _ in coder.walk(words)))
+        letter = {b: c for c, b in letters.items()}
+        self.words = Ids(lambda words: ([t.id for t in model.tokenize(w.decode("latin-1").translate(letter))] for w in words))
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where those of each row begin) of rows that begin with a blank."""
@@ -94,15 +100,19 @@ class ByteLevel(Side):
 
 
 class Marked(Side):
-    """A SentencePiece model that puts a blank before a text itself."""
+    """A SentencePiece model that puts a blank before a text itself. Texts are cut before each run of blanks, which no
+    piece crosses, and the library encodes each distinct word; the blank it adds stands for the word's own first one."""
 
     def __init__(self, path: str):
-        model = pieces.load(path)
-        if not model.dummy:
+        import sentencepiece
+
+        spec = pieces.load(path)
+        if not spec.dummy:
             raise ValueError(f"{path}: the model puts no blank before a text")
-        shown = model.shown.tobytes()
-        super().__init__([shown[a:b] for a, b in zip(model.shown_at[:-1].tolist(), model.shown_at[1:].tolist())])
-        self.words = Ids(model.encode_words)
+        shown = spec.shown.tobytes()
+        super().__init__([shown[a:b] for a, b in zip(spec.shown_at[:-1].tolist(), spec.shown_at[1:].tolist())])
+        model, lone = sentencepiece.SentencePieceProcessor(model_file=path), [spec.vocab[pieces.MARK]]
+        self.words = Ids(lambda words: (ids if w != pieces.MARK else lone for w, ids in zip(words, model.encode([w[1:] for w in words], num_threads=1))))
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words, rows = pieces.marked_words(raw, offs, False)
