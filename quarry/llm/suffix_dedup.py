@@ -4,8 +4,8 @@ Documents are dealt to groups of bounded size. Each window of that many bytes ha
 shorter strings in it, so equal windows have equal anchors; consecutive windows with one anchor are a segment. Groups
 send their distinct anchors' hashes to buckets, which answer those that more than one document has. Only segments of
 these go on, as packed bytes, to the bucket of their anchor, equal ones of a group once. A bucket merges equal segments,
-lays the others with one anchor side by side, and puts their suffixes in order by linear grouping (see lyndon): windows
-alike are neighbours there, and each learns the least id of a document that has it. The group, dealt out once for all
+lays the parts of the others that may repeat, those with one anchor, side by side, and puts their suffixes in order by
+linear grouping (see lyndon): windows alike are neighbours there, and each learns the least id of a document that has it. The group, dealt out once for all
 three uses, removes the bytes under windows whose least id is smaller than the document's own.
 
 An anchor that very many segments hold is hot. Its segments are cut into single windows, rows of their own, whose least
@@ -34,8 +34,9 @@ GROUP_BYTES = 8 << 20
 #: Distinct anchors, and bytes of packed segments, that a bucket gets on the average.
 BUCKET_ANCHORS = 1 << 20
 BUCKET_BYTES = 4 << 20
-#: More segments with one anchor than this, added up over groups, make it hot.
-HOT = 128
+#: More segments with one anchor than this, added up over groups, make it hot; a bucket compares so many strings at most.
+HOT = 1 << 16
+LANE = 512
 _LAST = (1 << 63) - 1
 _NONE, _SHARED, _HOT = range(3)
 
@@ -70,7 +71,9 @@ class Segments:
         np.cumsum(_OF_BYTE[raw] * powers(_STEP, len(raw))[: len(raw)], out=total[1:])
         back = powers(_BACK, len(raw))
         size = len(raw) - anchor + 1
-        least = _least(mix((total[anchor:] - total[:-anchor]) * back[:size]), self.window - anchor + 1)
+        least = total[anchor:] - total[:-anchor]
+        least *= back[:size]
+        least = _least(least, self.window - anchor + 1)
         inside = np.zeros(len(raw) + 1, np.int32)
         long = np.flatnonzero(np.diff(offs) >= self.window)
         np.add.at(inside, offs[long], 1)
@@ -91,12 +94,19 @@ class Segments:
         stop = start + windows + self.window - 1
         hashed = mix((total[stop] - total[start]) * back[start] + windows.astype(np.uint64))
         row = np.searchsorted(offs, start, side="right") - 1
-        return row + first, start + base, windows, least[start], hashed
+        return row + first, start + base, windows, mix(least[start]), hashed  # mixed, since least ones are small
 
     def text(self, k: int) -> bytes:
         a = int(self.start[k])
         return self.raw[a : a + int(self.windows[k]) + self.window - 1].tobytes()
 
+    def single(self, which: np.ndarray) -> Iterator[bytes]:
+        """Each window of the segments."""
+        for k in which.tolist():
+            text = self.text(k)
+            for p in range(len(text) - self.window + 1):
+                yield text[p : p + self.window]
+
 
 def _ordered(docs: pa.Table) -> pa.Table:
     """A group's rows in one order, since a shuffle delivers them in any: segments are numbered in this order."""
@@ -187,30 +197,38 @@ def _emit(window: int, anchor: int, asked: int, buckets: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         segments = Segments(_ordered(docs), window, anchor)
-        anchors, bucket, _, _ = _distinct(segments, asked)
-        say = np.zeros(len(anchors), np.uint8)
+        order = np.argsort(segments.anchor)
+        anchors = segments.anchor[order]
+        new = np.ones(len(anchors), bool)
+        new[1:] = anchors[1:] != anchors[:-1]
+        bucket = _high(anchors[new], asked)
+        say = np.zeros(len(bucket), np.uint8)
         blobs = dict(zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist()))
         unzip, zip_up = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for b, i, j in _cuts(bucket):
             say[i:j] = np.frombuffer(unzip.decompress(blobs[b]), np.uint8)
-        of = say[np.searchsorted(anchors, segments.anchor)] if len(anchors) else np.zeros(0, np.uint8)
+        of = np.empty(len(order), np.uint8)
+        of[order] = say[np.cumsum(new) - 1]
         group, rows = docs.column("grp")[0].as_py(), []
         for kind in (_SHARED, _HOT):
-            found: dict[bytes, list] = {}
-            for k in np.flatnonzero(of == kind).tolist():
-                text, ident = segments.text(k), int(segments.ids[segments.row[k]])
-                for p, part in [(0, text)] if kind == _SHARED else [(p, text[p : p + window]) for p in range(int(segments.windows[k]))]:
-                    have = found.get(part)
-                    if have is None:
-                        found[part] = [k, p, ident, ident]
-                    elif ident < have[2]:
-                        have[2] = ident
-                    elif ident > have[3]:
-                        have[3] = ident
-            if not found:
+            which = np.flatnonzero(of == kind)
+            owner, place = which, np.zeros(len(which), np.int64)
+            if kind == _HOT:
+                owner, place = np.repeat(which, segments.windows[which]), spread(place, segments.windows[which])
+            if not len(owner):
                 continue
-            texts = list(found)
-            number, place, low, high = np.array(list(found.values()), np.int64).T
+            known: dict[bytes, int] = {}
+            parts = map(segments.text, which.tolist()) if kind == _SHARED else segments.single(which)
+            string = np.fromiter((known.setdefault(p, len(known)) for p in parts), np.int64, len(owner))
+            texts = list(known)
+            del known
+            low, high = np.full(len(texts), _LAST, np.int64), np.full(len(texts), -_LAST - 1, np.int64)
+            first = np.empty(len(texts), np.int64)
+            first[string[::-1]] = np.arange(len(string))[::-1]
+            ids = segments.ids[segments.row[owner]]
+            np.minimum.at(low, string, ids)
+            np.maximum.at(high, string, ids)
+            number, place = owner[first], place[first]
             own = segments.anchor[number]
             to = _high(own, buckets) if kind == _SHARED else -1 - _high(mix(own + place.astype(np.uint64)), buckets)
             order = np.argsort(to, kind="stable")
@@ -275,6 +293,65 @@ def least_ids(text: np.ndarray, at: np.ndarray, low: np.ndarray, lane: np.ndarra
     return out
 
 
+def _again(text: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, windows) of the runs of windows of the strings text[at[i]:at[i + 1]] whose hash occurs again; others
+    have no equal."""
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[text] * powers(_STEP, len(text))[: len(text)], out=total[1:])
+    place = spread(at[:-1], np.diff(at) - window + 1)
+    hashed = (total[place + window] - total[place]) * powers(_BACK, len(text))[place]
+    order = np.argsort(hashed, kind="stable")
+    same = hashed[order][1:] == hashed[order][:-1]
+    again = np.zeros(len(place), bool)
+    again[order[1:]] = same
+    again[order[:-1]] |= same
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at) - window + 1)
+    new = np.ones(len(place), bool)
+    new[1:] = ~again[:-1] | (of[1:] != of[:-1])
+    start = np.flatnonzero(again & new)
+    stop = np.append(np.flatnonzero(~again | new), len(place))
+    return place[start], stop[np.searchsorted(stop, start, side="right")] - start
+
+
+def _least_of_windows(text: np.ndarray, at: np.ndarray, low: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """The least id of each window: as least_ids(), of strings that are put in lanes of bounded size by key. Only runs of
+    windows that may have equals are compared, equal ones of a key once."""
+    out = np.repeat(low, np.diff(at))
+    start, many = _again(text, at, window)
+    of = np.searchsorted(at, start, side="right") - 1
+    lane = key[of]
+    # a lane of too many strings: its windows one by one, dealt by their bytes
+    known: dict[bytes, int] = {}
+    raw = text.tobytes()
+    string = np.fromiter((known.setdefault(raw[a : a + n + window - 1], len(known)) for a, n in zip(start.tolist(), many.tolist())), np.int64, len(start))
+    of_string = np.empty(len(known), np.int64)
+    of_string[string] = lane
+    _, where, strings = np.unique(of_string, return_inverse=True, return_counts=True)
+    wide = strings[where[string]] > LANE if len(string) else np.zeros(0, bool)
+    if wide.any():
+        place = spread(start[wide], many[wide])
+        single = np.fromiter((known.setdefault(raw[a : a + window], len(known)) for a in place.tolist()), np.int64, len(place))
+        head, string = np.concatenate([start[~wide], place]), np.concatenate([string[~wide], single])
+        of = np.concatenate([of[~wide], np.repeat(of[wide], many[wide])])
+        lane = np.concatenate([lane[~wide], -1 - (single % (1 + len(place) // LANE))])
+        many = np.concatenate([many[~wide], np.ones(len(place), np.int64)])
+        start = head
+    names = list(known)
+    del known, raw
+    best, lanes = np.full(len(names), _LAST, np.int64), np.zeros(len(names), np.int64)
+    np.minimum.at(best, string, low[of])
+    lanes[string] = lane
+    used = np.flatnonzero(np.bincount(string, minlength=len(names))) if len(names) else np.zeros(0, np.int64)
+    used = used[np.argsort(lanes[used], kind="stable")]
+    size = np.array([len(names[k]) for k in used.tolist()], np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    least = least_ids(np.frombuffer(b"".join([names[k] for k in used.tolist()]), np.uint8), ends, best[used], lanes[used], window)
+    begin = np.zeros(len(names), np.int64)
+    begin[used] = ends[:-1]
+    out[spread(start, many)] = least[spread(begin[string], many)]
+    return out
+
+
 def _count(window: int):
     """A bucket's answer to each group: (number, place, first, end, least id) of runs of windows that some document
     with a smaller id has."""
@@ -305,7 +382,7 @@ def _count(window: int):
         size = np.array([len(x) for x in names], np.int64)[order]
         del names
         at = np.concatenate([[0], np.cumsum(size)])
-        least = least_ids(text, at, low[order], key[order], window)
+        least = _least_of_windows(text, at, low[order], key[order], window)
         # runs of windows of one string with one least id
         many = size - window + 1
         place = spread(at[:-1], many)
@@ -371,14 +448,13 @@ def _covered(segments: Segments, runs: np.ndarray) -> np.ndarray:
         head = np.flatnonzero(np.concatenate([[True], (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])]))
         texts = [segments.text(k) if not hot else segments.text(k)[p : p + window] for k, p in zip(own[0][head].tolist(), own[1][head].tolist())]
         which = dict(zip(texts, range(len(texts))))
-        anchors = np.unique(segments.anchor[own[0][head]])
+        anchors = np.sort(segments.anchor[own[0][head]])
         at = np.minimum(np.searchsorted(anchors, segments.anchor), len(anchors) - 1)
-        maybe = np.flatnonzero(anchors[at] == segments.anchor).tolist()
-        if hot:
-            hits = [(k, p, w) for k in maybe for t in [segments.text(k)] for p in range(int(segments.windows[k])) if (w := which.get(t[p : p + window])) is not None]
-        else:
-            hits = [(k, 0, w) for k in maybe if (w := which.get(segments.text(k))) is not None]
-        k, p, w = np.array(hits, np.int64).reshape(-1, 3).T
+        k = np.flatnonzero(anchors[at] == segments.anchor)
+        parts = segments.single(k) if hot else map(segments.text, k.tolist())
+        k, p = (np.repeat(k, segments.windows[k]), spread(np.zeros(len(k), np.int64), segments.windows[k])) if hot else (k, np.zeros(len(k), np.int64))
+        w = np.fromiter((which.get(x, -1) for x in parts), np.int64, len(k))
+        k, p, w = k[w >= 0], p[w >= 0], w[w >= 0]
         n = np.diff(np.append(head, own.shape[1]))[w]
         run = spread(head[w], n)
         k, p = np.repeat(k, n), np.repeat(p, n)
