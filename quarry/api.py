@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import dedup, graph, index, lifecycle, search
-from quarry.operators.lineage import cut
+from quarry.operators.lineage import cut, placed
 from quarry.sources import extract, files
 from quarry.sources.store import Store
 
@@ -39,7 +39,7 @@ class Engine:
         """Index the files found. Only those named in changed (path) are parsed, if given; the symbols of the others stay."""
         walked = self.store.write("files_raw", found)
         fresh = walked if changed is None else walked.join(changed.select("path").distinct(), "path", "left_semi")
-        parsed = extract.symbols(fresh.withColumn("content", F.decode("content", "UTF-8")))
+        parsed = extract.symbols(fresh.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))))
         ids = index.with_symbol_ids(parsed.withColumnRenamed("path", "file_path").withColumn("ordinal", F.monotonically_increasing_id()))
         if changed is not None:
             of = F.col("path") == F.col("file_path")
@@ -131,10 +131,8 @@ class Engine:
         fit = new.filter((F.octet_length(F.coalesce("description", F.lit(""))) <= MAX_DESCRIPTION) & (text.trimmed(F.coalesce("description", F.lit(""))) != ""))
         verdict = cut(dedup.admit(self.tasks(), fit).select("new_id", "description", "accepted"))
         last = self.tasks().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        from pyspark.sql import window as W
-
         now = F.current_timestamp()
-        ids = verdict.filter("accepted").withColumn("id", F.row_number().over(W.Window.orderBy("new_id")).cast("long") + last)
+        ids = placed(verdict.filter("accepted"), F.col("new_id")).withColumn("id", F.col("place") + last)
         made = {"name": text.task_name(F.col("description")), "status": F.lit("created"), "created_by": F.lit(source_repo), "source_repo": F.lit(source_repo), "tokens_used": F.lit(0).cast("long"), "needs_input": F.lit(False), "created_at": now, "updated_at": now}
         shape = self.spark.createDataFrame([], TASK_SCHEMA).schema
         rows = ids.select(*[(made[f.name] if f.name in made else F.col(f.name) if f.name in ("id", "description") else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape])
@@ -171,6 +169,11 @@ class Engine:
         self._set(task_id, status="done")
 
     def update_task(self, task_id: int, **values) -> None:
+        """Set values of a task, see lifecycle.TASK_VALUES; an unknown task, column or status is an error."""
+        if unknown := set(values) - set(lifecycle.TASK_VALUES):
+            raise ValueError(f"an update can't set {sorted(unknown)}")
+        if values.get("status", "created") not in lifecycle.STATUSES:
+            raise ValueError(f"{values['status']!r} is no status")
         self._set(task_id, **values)
 
     def delete_task(self, task_id: int) -> None:

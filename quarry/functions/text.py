@@ -183,12 +183,13 @@ def with_model(command: Column, model: Column) -> Column:
 
 def with_model_first(words: Column, model: Column) -> Column:
     """The words of a command joined, with the model's flag after the first; words with blanks are quoted. The flag is
-    -m for gemini and --model for others."""
-    base = F.regexp_extract(words[0], r"([^/]*)\z", 1)
+    -m for gemini and --model for others. Without words there is nothing, without a model no flag."""
+    base = F.regexp_extract(F.try_element_at(words, F.lit(1)), r"([^/]*)\z", 1)
     flag = F.when(base == "gemini", "-m").otherwise("--model")
     every = F.concat(F.slice(words, 1, 1), F.array(flag, model), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))))
+    plain = (F.size(words) <= 0) | (F.coalesce(model, F.lit("")) == "")
     quoted = lambda w: F.when(w.rlike("[ \t]"), F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(w)
-    return F.array_join(F.transform(every, quoted), " ")
+    return F.array_join(F.transform(F.when(plain, words).otherwise(every), quoted), " ")
 
 
 def setting(value: Column, allowed: tuple[str, ...] | None = None, default: str = "") -> Column:

@@ -1,7 +1,7 @@
 """Near-duplicate tasks: four similarity layers, their cascade, an all-pairs join by MinHash and ordered admission.
 
-A stated set of new descriptions is held against all tasks in blocks of bounded size, each broadcast. Every other join
-is on equal keys.
+New descriptions meet tasks by inverted indexes (see similarity), so every join is on equal keys. Equal descriptions are
+one class: a class is compared once, and its task of highest priority stands for it.
 """
 
 from __future__ import annotations
@@ -14,33 +14,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quarry.functions import minhash, text
+from quarry.operators import similarity
 from quarry.operators.lineage import cut, spread
 
 #: Three sets of statuses that count as active: for the first-match layer and admission, for scored layers, for counts.
 FIRST_MATCH_ORDER = ("executing", "pending", "approved", "created", "classified")
 NOT_SCORED = ("done", "failed", "rejected", "pending_clarification")
 NOT_COUNTED = ("done", "failed", "rejected", "interrupted")
-BLOCK_ROWS = 5000
 
 
 @dataclass(frozen=True)
 class Layer:
-    """prepare: from a description to what score() compares. score(existing, new) is from 0 to 1. possible: from the
-    threshold, sizes of existing with and without repeats and of new without, whether the score can reach it; a cheap
-    test that spares most scores and loses none."""
+    """prepare: from a description to what score() compares. score(existing, new) is from 0 to 1. join(held, asked,
+    threshold): (id, new_id, score) of all pairs of held (id, a) and asked (new_id, b) that score at least that."""
 
     name: str
     threshold: float
     prepare: Callable[[Column], Column]
     score: Callable[[Column, Column], Column]
-    possible: Callable[[float, Column, Column, Column], Column] = lambda t, n, distinct, new: F.lit(True)
+    join: Callable[[DataFrame, DataFrame, float], DataFrame]
 
 
-#: Each of existing's tokens that new lacks is an occurrence without a match.
-KEYWORD = Layer("keyword", 0.80, text.tokens, text.token_overlap, lambda t, n, distinct, new: distinct - new <= (1 - t) * n + 1e-9)
-#: What two sets share is at most the smaller of them, and their union at least the larger.
-TRIGRAM = Layer("trigram", 0.55, text.trigram_codes, text.jaccard, lambda t, n, distinct, new: F.least(distinct, new) >= t * F.greatest(distinct, new) - 1e-9)
-MINHASH = Layer("minhash", 0.70, lambda s: minhash.signature(text.shingles(text.tokens(s))), minhash.similarity)
+KEYWORD = Layer("keyword", 0.80, text.tokens, text.token_overlap, similarity.containment_join)
+TRIGRAM = Layer("trigram", 0.55, text.trigram_codes, text.jaccard, similarity.jaccard_join)
+MINHASH = Layer("minhash", 0.70, lambda s: minhash.signature(text.shingles(text.tokens(s))), minhash.similarity, similarity.signature_join)
 TFIDF_THRESHOLD = 0.60
 
 
@@ -53,24 +50,25 @@ def threshold(value: str | None, default: float) -> float:
     return x if 0 < x <= 1 else default
 
 
-def _blocks(new: DataFrame, rows: int = BLOCK_ROWS) -> list[DataFrame]:
-    n = max(1, -(-new.count() // rows))
-    return [new] if n == 1 else [new.filter(F.pmod(F.xxhash64("new_id"), F.lit(n)) == i) for i in range(n)]
+def _joined(tasks: DataFrame, new: DataFrame, layer: Layer) -> DataFrame:
+    """(id, new_id, score) of all pairs of tasks (id, description) and new (new_id, description) that reach the
+    layer's threshold. Both sides are prepared once and kept, since an index reads them more than once."""
+    held = cut(spread(tasks.select("id", "description")).select("id", layer.prepare(F.col("description")).alias("a")))
+    asked = cut(new.select("new_id", layer.prepare(F.col("description")).alias("b")))
+    return layer.join(held, asked, layer.threshold)
 
 
 def scored(tasks: DataFrame, new: DataFrame, layer: Layer) -> DataFrame:
     """(new_id, id, created_at, status, score) of all pairs that score at least the layer's threshold.
     tasks: (id, description, status, created_at); new: (new_id, description)."""
-    sizes = lambda c: (F.size(c), F.size(F.array_distinct(c)))
-    held = spread(tasks.select("id", "description", "status", "created_at")).select("id", "status", "created_at", layer.prepare(F.col("description")).alias("a")).withColumns(dict(zip(("n", "distinct"), sizes("a"))))
-    out = None
-    for block in _blocks(new.select("new_id", "description")):
-        asked = F.broadcast(block.select("new_id", layer.prepare(F.col("description")).alias("b")).withColumn("new", sizes("b")[1]))
-        can = layer.possible(layer.threshold, F.col("n"), F.col("distinct"), F.col("new"))
-        pairs = held.join(asked, F.when(can, layer.score(F.col("a"), F.col("b"))).otherwise(-1.0) >= layer.threshold)
-        part = pairs.select("new_id", "id", "created_at", "status", layer.score(F.col("a"), F.col("b")).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _joined(tasks, new, layer).join(tasks.select("id", "created_at", "status"), "id").select("new_id", "id", "created_at", "status", "score")
+
+
+def _classes(tasks: DataFrame, *priority: Column) -> DataFrame:
+    """tasks with one row for each description: the first by priority, then by id."""
+    cols = ("id", "description", "status", "created_at")
+    first = F.min_by(F.struct(*cols), F.struct(*priority, F.col("id")))
+    return tasks.groupBy(F.sha2(F.coalesce("description", F.lit("")), 256)).agg(first.alias("t")).select("t.*")
 
 
 def _age() -> Column:
@@ -78,17 +76,20 @@ def _age() -> Column:
     return -F.col("created_at").cast("double")
 
 
+def _priority() -> Column:
+    return F.array_position(F.lit(list(FIRST_MATCH_ORDER)), F.col("status"))
+
+
 def first_match(tasks: DataFrame, new: DataFrame, layer: Layer = KEYWORD) -> DataFrame:
     """(new_id, id, score): of each new description the first hit by status, then the newest."""
-    rank = F.array_position(F.lit(list(FIRST_MATCH_ORDER)), F.col("status"))
-    hits = scored(tasks.filter(F.col("status").isin(*FIRST_MATCH_ORDER)), new, layer)
-    return hits.groupBy("new_id").agg(F.min_by(F.struct("id", "score"), F.struct(rank, _age(), "id")).alias("m")).select("new_id", "m.id", "m.score")
+    order = (_priority(), _age())
+    hits = scored(_classes(tasks.filter(F.col("status").isin(*FIRST_MATCH_ORDER)), *order), new, layer)
+    return hits.groupBy("new_id").agg(F.min_by(F.struct("id", "score"), F.struct(*order, "id")).alias("m")).select("new_id", "m.id", "m.score")
 
 
 def best_match(tasks: DataFrame, new: DataFrame, layer: Layer) -> DataFrame:
     """(new_id, id, score): the best hit, of equal ones the newest."""
-    hits = scored(tasks.filter(~F.col("status").isin(*NOT_SCORED)), new, layer)
-    return _best(hits)
+    return _best(scored(_classes(tasks.filter(~F.col("status").isin(*NOT_SCORED)), _age()), new, layer))
 
 
 def _best(hits: DataFrame) -> DataFrame:
@@ -108,8 +109,12 @@ def tfidf_scores(tasks: DataFrame, new: DataFrame, limit: float = TFIDF_THRESHOL
     asked = new.select("new_id", text.tokens(F.col("description")).alias("w")).select("new_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("new_id", "len", "term").agg((F.count("*") / F.first("len")).alias("qtf"))
     asked = asked.join(df, "term", "left").join(F.broadcast(n)).select("new_id", "term", "qtf", idf(F.coalesce("df", F.lit(0)) + 1).alias("qidf"))
     norm = asked.groupBy("new_id").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("qidf"), 2))).alias("qnorm"))
-    shared = known.join(asked, "term").groupBy("new_id", "id", "created_at").agg(
-        F.sum(F.col("tf") * F.col("idf1") * F.col("qtf") * F.col("qidf")).alias("dot"), F.sum(F.pow("tf", F.lit(2)) * (F.pow("idf1", F.lit(2)) - F.pow("idf0", F.lit(2)))).alias("more"))
+    # what a pair shares beyond a description's heaviest terms adds less than the limit, so one of these is shared
+    heaviest = W.Window.partitionBy("new_id").orderBy(F.desc("qw"), "term").rowsBetween(0, W.Window.unboundedFollowing)
+    asked = cut(asked.withColumn("qw", F.col("qtf") * F.col("qidf")).join(norm, "new_id").withColumn("rest", F.sqrt(F.sum(F.pow("qw", F.lit(2))).over(heaviest)) / F.col("qnorm")))
+    pairs = known.select("id", "term").join(asked.filter(F.col("rest") >= limit - 1e-9).select("new_id", "term"), "term").select("id", "new_id").distinct()
+    shared = pairs.join(known, "id").join(asked, ["new_id", "term"]).groupBy("new_id", "id", "created_at").agg(
+        F.sum(F.col("tf") * F.col("idf1") * F.col("qw")).alias("dot"), F.sum(F.pow("tf", F.lit(2)) * (F.pow("idf1", F.lit(2)) - F.pow("idf0", F.lit(2)))).alias("more"))
     score = F.col("dot") / (F.sqrt(F.col("base") + F.col("more")) * F.col("qnorm"))
     return shared.join(base, "id").join(norm, "new_id").select("new_id", "id", "created_at", score.alias("score")).filter(F.col("score") >= limit)
 
@@ -131,23 +136,30 @@ def cascade(tasks: DataFrame, new: DataFrame) -> DataFrame:
 
 def admission_hits(tasks: DataFrame, new: DataFrame) -> DataFrame:
     """(new_id, id): the check at insertion, keyword or trigram, by status and then the least id."""
-    live = tasks.filter(F.col("status").isin(*FIRST_MATCH_ORDER))
-    rank = F.array_position(F.lit(list(FIRST_MATCH_ORDER)), F.col("status"))
+    live = _classes(tasks.filter(F.col("status").isin(*FIRST_MATCH_ORDER)), _priority())
     hits = scored(live, new, KEYWORD).unionByName(scored(live, new, TRIGRAM))
-    return hits.groupBy("new_id").agg(F.min_by("id", F.struct(rank, "id")).alias("id"))
+    return hits.groupBy("new_id").agg(F.min_by("id", F.struct(_priority(), "id")).alias("id"))
 
 
 def candidates_by_tokens(tasks: DataFrame, new: DataFrame, top: int = 5) -> DataFrame:
-    """(new_id, place, id, hits): tasks with the most token occurrences in common, the newest first among equals."""
-    live = tasks.filter(~F.col("status").isin(*NOT_SCORED)).select("id", "created_at", text.tokens(F.col("description")).alias("a"))
-    out = None
-    for block in _blocks(new.select("new_id", "description")):
-        asked = F.broadcast(block.select("new_id", F.array_distinct(text.tokens(F.col("description"))).alias("b")))
-        hits = F.size(F.filter("a", lambda t: F.array_contains("b", t)))
-        part = live.join(asked, hits > 0).select("new_id", "id", "created_at", hits.cast("long").alias("hits"))
-        out = part if out is None else out.unionByName(part)
+    """(new_id, place, id, hits): the tasks with the most token occurrences in common, the newest first among equals.
+    Where fewer share any token, the newest others follow without hits, as far as there are tasks."""
+    live = tasks.filter(~F.col("status").isin(*NOT_SCORED))
+    held = spread(live.select("id", "created_at", "description")).select("id", "created_at", F.explode(text.tokens(F.col("description"))).alias("token"))
+    asked = new.select("new_id", F.explode(F.array_distinct(text.tokens(F.col("description")))).alias("token"))
+    many = held.groupBy("id", "created_at", "token").agg(F.count("*").alias("many"))
+    hits = many.join(asked, "token").groupBy("new_id", "id", "created_at").agg(F.sum("many").alias("hits"))
     order = W.Window.partitionBy("new_id").orderBy(F.desc("hits"), F.desc("created_at"), "id")
-    return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("new_id", "place", "id", "hits")
+    best = cut(hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top))
+    # of the newest 2 * top - 1 tasks, at most top - 1 are among a description's hits when those are fewer than top
+    newest = [tuple(r) for r in live.select("id", "created_at").orderBy(F.desc("created_at"), "id").limit(2 * top - 1).collect()]
+    short = new.select("new_id").join(best.filter(F.col("place") == top).select("new_id"), "new_id", "left_anti")
+    kind = live.select("id", "created_at").schema
+    rest = short.select("new_id", F.explode(F.lit([r[0] for r in newest]) if newest else F.array().cast("array<long>")).alias("id"))
+    times = new.sparkSession.createDataFrame(newest, kind)
+    rest = rest.join(F.broadcast(times), "id").join(best.select("new_id", "id"), ["new_id", "id"], "left_anti").withColumn("hits", F.lit(0).cast("long"))
+    whole = best.drop("place").unionByName(rest.select("new_id", "id", "created_at", "hits"))
+    return whole.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("new_id", "place", "id", "hits")
 
 
 def signatures(tasks: DataFrame) -> DataFrame:
@@ -162,30 +174,33 @@ def signature_classes(tasks: DataFrame) -> DataFrame:
 
 def minhash_pairs(tasks: DataFrame, limit: float = MINHASH.threshold) -> DataFrame:
     """(a, b, similarity) of all pairs of different signatures at limit or more, as class ids, a < b. Bands are so many
-    that none is missed; copies are one class and make no pairs."""
-    classes = signature_classes(tasks)
-    keyed = classes.select("class_id", "signature", F.posexplode(minhash.bands(F.col("signature"), limit)).alias("band", "key"))
-    left = keyed.select(F.col("class_id").alias("a"), F.col("signature").alias("sa"), "band", "key")
-    right = keyed.select(F.col("class_id").alias("b"), F.col("signature").alias("sb"), "band", "key")
-    same = minhash.similarity(F.col("sa"), F.col("sb"))
-    return left.join(right, ["band", "key"]).filter("a < b").filter(same >= limit).select("a", "b", same.alias("similarity")).distinct()
+    that none is missed, and a pair is made at the first it shares; copies are one class and make no pairs."""
+    classes = cut(signature_classes(tasks))
+    held, asked = classes.select(F.col("class_id").alias("id"), F.col("signature").alias("a")), classes.select(F.col("class_id").alias("new_id"), F.col("signature").alias("b"))
+    pairs = similarity.signature_join(held, asked, limit, F.col("id") < F.col("new_id"))
+    return pairs.select(F.col("id").alias("a"), F.col("new_id").alias("b"), F.col("score").alias("similarity"))
 
 
 def admit(existing: DataFrame, new: DataFrame) -> DataFrame:
     """new with accepted: what inserting one after another by new_id would accept, each checked (keyword or trigram)
     against the active tasks and those accepted before it. In rounds: a row with no undecided or accepted earlier hit
-    is accepted, a row with an accepted one is not."""
-    active = existing.filter(F.col("status").isin(*FIRST_MATCH_ORDER))
-    blocked = scored(active, new, KEYWORD).select("new_id").union(scored(active, new, TRIGRAM).select("new_id")).distinct()
-    open_ = new.join(blocked, "new_id", "left_anti")
-    as_tasks = open_.select(F.col("new_id").alias("id"), "description", F.lit("created").alias("status"), F.col("new_id").alias("created_at"))
-    links = cut(scored(as_tasks, open_, KEYWORD).unionByName(scored(as_tasks, open_, TRIGRAM)).filter("id < new_id").select("new_id", F.col("id").alias("earlier")).distinct())
+    is accepted, a row with an accepted one is not.
+
+    Rows of one description with any letter or digit hit each other and the same other rows, so the first is judged for
+    all and the rest go; descriptions without any hit nothing and are all accepted."""
+    plain = F.size(text.trigram_codes(F.col("description"))) == 0
+    first = new.groupBy(F.sha2(F.coalesce("description", F.lit("")), 256).alias("digest")).agg(F.min_by(F.struct("new_id", "description"), "new_id").alias("t")).select("t.*")
+    active = _classes(existing.filter(F.col("status").isin(*FIRST_MATCH_ORDER)))
+    blocked = scored(active, first, KEYWORD).select("new_id").union(scored(active, first, TRIGRAM).select("new_id")).distinct()
+    open_ = cut(first.join(blocked, "new_id", "left_anti"))
+    as_tasks = open_.select(F.col("new_id").alias("id"), "description")
+    links = cut(_joined(as_tasks, open_, KEYWORD).unionByName(_joined(as_tasks, open_, TRIGRAM)).filter("id < new_id").select("new_id", F.col("id").alias("earlier")).distinct())
     state = cut(open_.select("new_id").withColumn("accepted", F.lit(None).cast("boolean")))
     while not state.filter("accepted is null").isEmpty():
         earlier = links.join(state.select(F.col("new_id").alias("earlier"), F.col("accepted").alias("was")), "earlier")
         seen = earlier.groupBy("new_id").agg(F.max(F.coalesce("was", F.lit(False))).alias("hit"), F.max(F.col("was").isNull()).alias("waits"))
         state = cut(state.join(seen, "new_id", "left").select("new_id", F.coalesce("accepted", F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("accepted")))
-    return new.join(state, "new_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    return new.join(state, "new_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)) | plain)
 
 
 #: What a match by each layer is called, and how its score is told.

@@ -53,13 +53,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
 
 def relevant_edges(symbols: DataFrame, edges: DataFrame, description: str, cap: int = 20) -> DataFrame:
-    """(ord, line): "caller() → callee()" for symbols whose name has a word of the description (over three letters).
-    Symbols come in their order; one whose callees pass the cap is still listed whole, later ones are not."""
-    words = [w for w in description.lower().split() if len(w) > 3]
-    wanted = symbols.filter(F.exists(F.lit(words) if words else F.array().cast("array<string>"), lambda w: F.contains(F.lower("name"), w)))
-    names = symbols.select(F.col("id").alias("to_id"), F.col("name").alias("callee"))
-    found = wanted.join(edges, wanted.id == edges.from_id).join(names, "to_id").select("id", "ord", "name", "callee", "to_id")
-    per = found.groupBy("id", "ord").agg(F.count("*").alias("n"))
+    """(ord, direction, line, other_id): "caller() → callee()" for the callers and callees of symbols whose name has a
+    word of the description (over three bytes). Symbols come in their order; one that begins at most cap lines in is
+    listed whole, later ones are not. So at most cap + 1 symbols are listed, and only their counts are added up."""
+    words = [w for w in description.lower().split() if len(w.encode()) > 3]
+    wanted = symbols.filter(F.exists(F.lit(words) if words else F.array().cast("array<string>"), lambda w: F.contains(F.lower("name"), w))).select("id", "ord", "name")
+    side = lambda direction, own, other: wanted.join(edges, F.col("id") == F.col(own)).select("id", "ord", "name", F.lit(direction).alias("direction"), F.col(other).alias("other_id"))
+    links = side("caller", "to_id", "from_id").unionByName(side("callee", "from_id", "to_id"))
+    found = links.join(symbols.select(F.col("id").alias("other_id"), F.col("name").alias("other")), "other_id")
+    first = found.groupBy("id", "ord").agg(F.count("*").alias("n")).orderBy("ord", "id").limit(cap + 1)
     before = F.coalesce(F.sum("n").over(W.Window.orderBy("ord", "id").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    listed = per.withColumn("before", before).filter(F.col("before") < cap).select("id")
-    return found.join(listed, "id").select("ord", F.format_string("%s() → %s()", "name", "callee").alias("line"), "to_id")
+    listed = first.withColumn("before", before).filter(F.col("before") <= cap).select("id")
+    line = F.when(F.col("direction") == "caller", F.format_string("%s() → %s()", "other", "name")).otherwise(F.format_string("%s() → %s()", "name", "other"))
+    return found.join(F.broadcast(listed), "id").select("ord", "direction", line.alias("line"), "other_id")

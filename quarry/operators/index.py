@@ -53,8 +53,9 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def logical_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """As snapshot_diff(), by file and name, so an edited signature shows as changed."""
-    keyed = lambda d: d.withColumn("id", F.concat_ws("\0", "file_path", "name")).dropDuplicates(["id"])
+    """As snapshot_diff(), by file and name, so an edited signature shows as changed. Of symbols of one name in a file
+    the one of the last id counts."""
+    keyed = lambda d: last_per_key(d.withColumns({"own": F.col("id"), "id": F.concat_ws("\0", "file_path", "name")}), ["id"], [F.col("own")]).drop("own")
     return snapshot_diff(keyed(before), keyed(after)).withColumns({"file_path": F.split("id", "\0")[0], "name": F.split("id", "\0")[1]}).drop("id")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quarry.operators.lineage import placed
+
 STATUSES = ("created", "classified", "pending", "pending_clarification", "approved", "queued", "executing", "done", "failed", "interrupted", "rejected")
 TERMINAL = ("done", "failed", "rejected", "interrupted")
 WAITING = ("pending", "created", "classified")
@@ -83,13 +85,9 @@ def oldest_needing_input(tasks: DataFrame) -> DataFrame:
 
 
 def slots(tasks: DataFrame, capacity: int = 1) -> DataFrame:
-    """(id, state, place) of approved tasks by age: running in a free slot, else queued. Positions come from counts per
-    age, so one order runs over ages and not over tasks."""
-    queue = tasks.filter(F.col("status") == "approved")
-    ages = queue.groupBy("created_at").agg(F.count("*").alias("n"))
-    before = ages.withColumn("before", F.coalesce(F.sum("n").over(W.Window.orderBy("created_at").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = queue.join(before, "created_at").withColumn("place", (F.col("before") + F.row_number().over(W.Window.partitionBy("created_at").orderBy("id"))).cast("long"))
-    return placed.select("id", F.when(F.col("place") <= capacity, "running").otherwise("queued").alias("state"), F.greatest(F.col("place") - capacity, F.lit(0)).alias("queue_place"))
+    """(id, state, queue_place) of approved tasks by age: running in a free slot, else queued."""
+    queue = placed(tasks.filter(F.col("status") == "approved").select("id", "created_at"), F.col("created_at"), F.col("id"))
+    return queue.select("id", F.when(F.col("place") <= capacity, "running").otherwise("queued").alias("state"), F.greatest(F.col("place") - capacity, F.lit(0)).alias("queue_place"))
 
 
 def materialised(tasks: DataFrame, existing: DataFrame, models: dict[str, str] | None = None) -> DataFrame:
@@ -101,7 +99,8 @@ def materialised(tasks: DataFrame, existing: DataFrame, models: dict[str, str] |
     return rows.select("task_id", (F.col("i") + 1).alias("seq"), "s.*", F.lit("pending").alias("status"), override.alias("model_override"))
 
 
-#: What an update of a step may set.
+#: What an update of a task may set, and of a step.
+TASK_VALUES = ("status", "session_id", "classification", "plan", "result", "branch", "tokens_used", "tools_used", "plan_json", "needs_input")
 STEP_VALUES = ("status", "result", "session_id", "model_override", "tokens_used", "duration_ms", "retry_count", "commit_sha")
 
 

@@ -154,7 +154,7 @@ def dedup_tx_recheck(spark, d):
 
 @query(f"""with {V.TASKS}, {V.NEW}, ta as (select id, created_at, {_tok('description')} as a from tasks where {_SCORED}), nb as (select new_id, {_tok('description')} as b from new),
 h as (select new_id, id, created_at, len(list_filter(a, lambda x: list_contains(b, x))) as hits from ta, nb)
-select new_id, cast(row_number() over (partition by new_id order by hits desc, created_at desc, id) as integer) as place, id, hits from h where hits > 0 qualify place <= 5""")
+select new_id, cast(row_number() over (partition by new_id order by hits desc, created_at desc, id) as integer) as place, id, hits from h qualify place <= 5""")
 def llm_top5_candidates(spark, d):
     return dedup.candidates_by_tokens(V.tasks(spark, d), V.new_tasks(spark, d))
 
@@ -188,11 +188,9 @@ _SHOWN = ("id", "status", "repo", "created_at")
 
 @query(f"with {V.TASKS} select id, status, repo, created_at, row_number() over (order by created_at desc, id) as place from tasks where status = 'pending'")
 def task_by_status(spark, d):
-    from pyspark.sql import window as W
+    from quarry.operators.lineage import placed
 
-    t = V.tasks(spark, d).filter("status = 'pending'").select(*_SHOWN)
-    ages = t.groupBy("created_at").count().withColumn("before", F.coalesce(F.sum("count").over(W.Window.orderBy(F.desc("created_at")).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
-    return t.join(ages, "created_at").withColumn("place", F.col("before") + F.row_number().over(W.Window.partitionBy("created_at").orderBy("id"))).select(*_SHOWN, "place")
+    return placed(V.tasks(spark, d).filter("status = 'pending'").select(*_SHOWN), F.desc("created_at"), F.col("id"))
 
 
 @query(f"with {V.TASKS} select id, status, repo, created_at from tasks order by created_at desc, id")
@@ -505,10 +503,12 @@ def pagerank(spark, d):
 _WANTED = "large widget plate"
 
 
+#: A symbol is listed while at most 20 lines stand before it; its callers and callees are its lines.
 @query(f"""with {V.EDGES}, w as (select id, ord, name from symbols where {' or '.join(f"contains(lower(name), '{x}')" for x in _WANTED.split() if len(x) > 3)}),
-f as (select w.id, w.ord, w.name, s.name as callee, to_id from w join edges on from_id = w.id join symbols s on s.id = to_id),
-p as (select id, ord, coalesce(sum(count(*)) over (order by ord, id rows between unbounded preceding and 1 preceding), 0) as before from f group by id, ord)
-select f.ord, f.name || '() → ' || callee || '()' as line, to_id from f join p using (id) where before < 20""")
+l as (select w.id, ord, 'caller' as direction, o.name || '() → ' || w.name || '()' as line, o.id as other_id from w join edges on to_id = w.id join symbols o on o.id = from_id
+ union all select w.id, w.ord, 'callee', w.name || '() → ' || o.name || '()', o.id from w join edges on from_id = w.id join symbols o on o.id = to_id),
+p as (select id, sum(count(*)) over (order by ord, id) - count(*) as before from l group by id, ord)
+select ord, direction, line, other_id from l join p using (id) where before <= 20""")
 def relevant_edges(spark, d):
     return graph.relevant_edges(V.symbols(spark, d), V.edges(spark, d), _WANTED)
 

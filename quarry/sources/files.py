@@ -24,7 +24,7 @@ def git_listing(root: str) -> list[str] | None:
         out = subprocess.run(["git", "-C", root, "ls-files", "--cached", "--others", "--exclude-standard", "-z"], capture_output=True, check=True, timeout=60).stdout
     except (OSError, subprocess.SubprocessError):
         return None
-    return sorted({p for p in out.decode(errors="replace").split("\0") if p and (Path(root) / p).is_file() and not (Path(root) / p).is_symlink()})
+    return sorted({p for p in out.decode(errors="replace").split("\0") if p})
 
 
 def ignore_patterns(root: str) -> list[str]:
@@ -35,7 +35,7 @@ def ignore_patterns(root: str) -> list[str]:
 
 #: Files whose contents are read by one task at a time, and read together.
 FILES_A_TASK, FILES_A_BATCH = 256, 32
-_READ = "rel string, content binary, length long, seconds long"
+_READ = "rel string, content binary, length long, seconds long, why string"
 
 
 def walk(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
@@ -48,11 +48,17 @@ def walk(spark: SparkSession, root: str, patterns: list[str] | None = None) -> D
 
 
 def from_listing(spark: SparkSession, root: str, listing: list[str]) -> DataFrame:
-    """As walk(), of the files listed; one that is gone or can't be read fails the job rather than being left out."""
+    """As walk(), of the files listed; one that is gone by then, is no plain file or can't be read is left out."""
     root = str(Path(root).resolve())
     return _shaped(_read(spark.createDataFrame([(p,) for p in listing], "rel string"), root))
 
 
+def unread(spark: SparkSession, root: str, listing: list[str]) -> DataFrame:
+    """(path, why) of the listed files that from_listing() leaves out though their language is known."""
+    rows = _read(spark.createDataFrame([(p,) for p in listing], "rel string"), str(Path(root).resolve()))
+    return rows.filter("why is not null").select(F.col("rel").alias("path"), "why")
+
+
 def _kept(names: DataFrame, patterns: list[str]) -> DataFrame:
     return names.filter(~ignored(F.col("rel"), patterns))
 
@@ -80,10 +86,12 @@ def _listed(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _read(names: DataFrame, root: str) -> DataFrame:
-    """The files named, read in small runs. root is a folder that all executors see."""
+    """The files named, read in small runs; why tells what kept one from being read. root is a folder that all
+    executors see."""
 
     def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
+        import stat
 
         for batch in batches:
             every = batch.column(0).to_pylist()
@@ -91,10 +99,15 @@ def _read(names: DataFrame, root: str) -> DataFrame:
                 rows = []
                 for rel in every[at : at + FILES_A_BATCH]:
                     full = posixpath.join(root, rel)
-                    with open(full, "rb") as f:
-                        data = f.read()
-                    rows.append({"rel": rel, "content": data, "length": len(data), "seconds": int(os.stat(full).st_mtime)})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("rel", pa.string()), ("content", pa.binary()), ("length", pa.int64()), ("seconds", pa.int64())]))
+                    try:
+                        if not stat.S_ISREG(os.lstat(full).st_mode):
+                            raise OSError("no plain file")
+                        with open(full, "rb") as f:
+                            data, seconds = f.read(), int(os.fstat(f.fileno()).st_mtime)
+                        rows.append({"rel": rel, "content": data, "length": len(data), "seconds": seconds, "why": None})
+                    except OSError as e:
+                        rows.append({"rel": rel, "content": None, "length": None, "seconds": None, "why": e.strerror or str(e)})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("rel", pa.string()), ("content", pa.binary()), ("length", pa.int64()), ("seconds", pa.int64()), ("why", pa.string())]))
 
     known = names.filter(language(F.col("rel")) != "")
     parts = max(names.sparkSession.sparkContext.defaultParallelism, -(-known.count() // FILES_A_TASK))
@@ -103,7 +116,7 @@ def _read(names: DataFrame, root: str) -> DataFrame:
 
 def _shaped(files: DataFrame) -> DataFrame:
     lang = language(F.col("rel"))
-    return files.select(
+    return files.filter("why is null").select(
         F.col("rel").alias("path"), F.col("content"), F.col("length").alias("size_bytes"), F.col("seconds").alias("last_modified"),
         lang.alias("language"), F.unhex(F.sha2("content", 256)).alias("content_hash"),
     )

@@ -18,19 +18,45 @@ def numbered(files: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("i") + 1).alias("line"), "text")
 
 
+#: Letters after a backslash that stand for a control character.
+ESCAPES = {"a": "\x07", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\x0b"}
+
+
+def quoted(s: Column) -> Column:
+    """s in quotation marks; marks, backslashes and control characters are escaped."""
+    shown = {**{c: "\\" + k for k, c in ESCAPES.items()}, '"': '\\"', "\\": "\\\\"}
+    parts = F.regexp_extract_all(s, F.lit(r'[\x00-\x1F\x7F"\\]|[^\x00-\x1F\x7F"\\]+'), F.lit(0))
+    known = F.create_map(*[F.lit(x) for kv in shown.items() for x in kv])
+    control = lambda x: F.when(x.rlike(r"\A[\x00-\x1F\x7F]\z"), F.concat(F.lit("\\x"), F.lower(F.hex(x)))).otherwise(x)
+    return F.concat(F.lit('"'), F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(known, x), control(x))), ""), F.lit('"'))
+
+
+def unquoted(s: Column) -> Column:
+    """What quoted() was given, of what stands between the marks; other escapes by two, four or eight hex digits too."""
+    parts = F.regexp_extract_all(s, F.lit(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.)|[^\\]+"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for k, c in ESCAPES.items() for x in ("\\" + k, c)])
+    hexed = lambda x, charset: F.decode(F.unhex(F.substr(x, F.lit(3))), charset)
+    by_code = lambda x: F.when(x.rlike(r"\A\\x.{2}"), hexed(x, "ISO-8859-1")).when(x.rlike(r"\A\\u.{4}"), hexed(x, "UTF-16BE")).when(x.rlike(r"\A\\U.{8}"), hexed(x, "UTF-32"))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("\\"), F.coalesce(F.try_element_at(known, x), by_code(x), F.substr(x, F.lit(2)))).otherwise(x)), "")
+
+
 def dedup_log_line(at: Column, layer: Column, hit: Column, score: Column, ms: Column, cand: Column, err: Column, reason: Column, task: Column) -> Column:
-    quoted = lambda name, c, n: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f' {name}="'), F.replace(one_line(c, n), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise("")
+    told = lambda name, c, n: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f" {name}="), quoted(one_line(c, n)))).otherwise("")
     head = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" layer="), layer, F.lit(" hit="), hit.cast("string"), F.format_string(" score=%.3f ms=%d cand=%d", score, ms, cand))
-    return F.concat(head, quoted("err", err, 200), quoted("reason", reason, 200), quoted("task", task, 160))
+    return F.concat(head, told("err", err, 200), told("reason", reason, 200), told("task", task, 160))
 
 
 def parsed_dedup_log(lines: DataFrame) -> DataFrame:
     """Fields of dedup log lines (value); lines of another form are left out."""
-    of = lambda rx: F.regexp_extract("value", rx, 1)
-    ok = lines.filter(F.col("value").rlike(r"\A\S+ layer=\S+ hit=(true|false) score=[0-9.]+ ms=[0-9]+ cand=[0-9]+"))
+    between = r'"((?:[^"\\]|\\.)*)"'
+    head = r"\A(\S+) layer=(\S+) hit=(true|false) score=([0-9.]+) ms=([0-9]+) cand=([0-9]+)"
+    rest = rf"(?: err={between})?(?: reason={between})?(?: task={between})?\s*\z"
+    ok = lines.filter(F.col("value").rlike(head))
+    of = lambda i: F.regexp_extract("value", head + "(?:" + rest + "|.*)", i)
+    told = lambda i: unquoted(of(i))
     return ok.select(
-        of(r"\A(\S+)").alias("at"), of(r" layer=(\S+)").alias("layer"), (of(r" hit=(true|false)") == "true").alias("hit"), of(r" score=([0-9.]+)").cast("double").alias("score"),
-        of(r" ms=([0-9]+)").cast("long").alias("ms"), of(r" cand=([0-9]+)").cast("long").alias("cand"), of(r' err="((?:[^"\\]|\\.)*)"').alias("err"), of(r' reason="((?:[^"\\]|\\.)*)"').alias("reason"), of(r' task="((?:[^"\\]|\\.)*)"').alias("task"),
+        of(1).alias("at"), of(2).alias("layer"), (of(3) == "true").alias("hit"), of(4).cast("double").alias("score"), of(5).cast("long").alias("ms"), of(6).cast("long").alias("cand"),
+        told(7).alias("err"), told(8).alias("reason"), told(9).alias("task"),
     )
 
 
@@ -72,9 +98,10 @@ def registry_text(entries: DataFrame) -> DataFrame:
     return entries.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("agents")), {"pretty": "true"}).alias("value"))
 
 
-def peers(entries: DataFrame, own_path: str) -> DataFrame:
-    """Entries of a registry but the repository's own."""
-    return entries.filter(~F.col("path").eqNullSafe(F.lit(own_path)))
+def peers(entries: DataFrame, own_path: str | None = None, own_name: str | None = None) -> DataFrame:
+    """Entries of a registry but the repository's own, by its path or by the name of its directory."""
+    own = F.col("path").eqNullSafe(F.lit(own_path)) if own_path is not None else F.lit(False)
+    return entries.filter(~(own | (F.col("name") == own_name if own_name is not None else F.lit(False))))
 
 
 def clarification_text(task_id: Column, description: Column, questions: Column) -> Column:

@@ -138,6 +138,19 @@ def test_walk(spark, repository):
     assert files.from_listing(spark, str(repository), []).count() == 0
 
 
+def test_files_that_are_gone_or_not_utf8(spark, tmp_path):
+    (tmp_path / "good.py").write_text("def good(): pass\n")
+    (tmp_path / "latin.py").write_bytes(b"# caf\xe9\ndef latin(): pass\n")
+    (tmp_path / "dir.py").mkdir()
+    (tmp_path / "link.py").symlink_to("good.py")
+    listing = ["good.py", "latin.py", "gone.py", "dir.py", "link.py", "gone.unknown"]
+    assert {r.path for r in files.from_listing(spark, str(tmp_path), listing).collect()} == {"good.py", "latin.py"}
+    assert {r.path: r.why for r in files.unread(spark, str(tmp_path), listing).collect()} == {"gone.py": "No such file or directory", "dir.py": "no plain file", "link.py": "no plain file"}
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.build(str(tmp_path))
+    assert {r.name for r in engine.symbols().collect()} == {"good", "latin"}
+
+
 def test_any_name_is_read(spark, tmp_path):
     names = {"__init__.py", "app/__init__.py", "_int/a.go", ".github/wf/ci.yml", "app/m.py", "pages/[id].tsx", "pages/a*b.go", "a+b %41.go", "é/ü.py"}
     for n in [*names, "node_modules/x/a.js", "app/build/a.py"]:
@@ -209,6 +222,9 @@ def test_engine_tasks(spark, tmp_path):
     engine.update_task(1, plan_json='[{"verb":"modify"},{"verb":"test"}]')
     assert engine.approve_task(1).count() == 2 and engine.approve_task(1).count() == 2
     engine.update_task(2, status="pending_clarification")
+    for bad in ({"id": 9}, {"status": "gone"}, {"description": "x"}):
+        with pytest.raises(ValueError):
+            engine.update_task(2, **bad)
     engine.clarify_task(2, [("which?", "all"), ("why?", "")])
     assert engine.show_task(2).first().description.endswith("Clarifications:\n- which?: all\n")
     engine.update_task(1, status="executing")

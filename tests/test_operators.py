@@ -4,7 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dedup, graph, index, lifecycle, search, usage
+from quarry.operators import dedup, graph, index, lifecycle, search, similarity, usage
 from quarry.sources import lines as L
 
 PAIRS_ORDER = "id long, description string, status string, created_at long"
@@ -49,15 +49,92 @@ def test_minhash_pairs_lose_none(spark):
     assert {(r.a, r.b) for r in dedup.minhash_pairs(tasks).collect()} == want and len(want) > 10
 
 
-def test_prefilters_lose_nothing(spark):
-    rng = random.Random(5)
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x1"]) for _ in range(rng.randint(0, 6))) for _ in range(60)]
+def brute(tasks, new, layer):
+    """Every pair of ids that reaches the layer's threshold, with its score, from all pairs."""
+    a, b = tasks.select("id", layer.prepare(F.col("description")).alias("a")), new.select("new_id", layer.prepare(F.col("description")).alias("b"))
+    pairs = a.crossJoin(b).select("new_id", "id", layer.score(F.col("a"), F.col("b")).alias("score")).filter(F.col("score") >= layer.threshold)
+    return sorted(map(tuple, pairs.collect()))
+
+
+def sentences(seed, n, words=40, longest=12):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeuv") for _ in range(rng.randint(2, 7))) for _ in range(words)]
+    pick = lambda: vocabulary[min(int(rng.expovariate(0.12)), words - 1)]
+    texts = [" ".join(pick() for _ in range(rng.randint(0, longest))) for _ in range(n)]
+    near = [" ".join(w if rng.random() < 0.85 else pick() for w in t.split()) for t in texts[: n // 2]]
+    return [*texts, *near, *texts[:9], "", "  ", "?!", "a a a", "same same same same", "same"]
+
+
+@pytest.mark.parametrize("layer", [dedup.KEYWORD, dedup.TRIGRAM, dedup.MINHASH], ids=lambda x: x.name)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similarity_joins_equal_all_pairs(spark, layer, seed):
+    tasks = spark.createDataFrame([(i, t, "pending", 0) for i, t in enumerate(sentences(seed, 90))], PAIRS_ORDER)
+    new = spark.createDataFrame(list(enumerate(sentences(seed, 90)[20:150])) + list(enumerate(sentences(seed + 9, 30), 500)), "new_id long, description string")
+    got = dedup.scored(tasks, new, layer)
+    rows = sorted((r.new_id, r.id, r.score) for r in got.collect())
+    assert rows == brute(tasks, new, layer) and len(rows) > 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_few_pairs_are_verified(spark):
+    """Of sets that share common items only, none meets; each pair that is verified comes once."""
+    rng = random.Random(8)
+    own = lambda i: [f"w{i}x{k}" for k in range(9)]
+    common = [f"c{k}" for k in range(3)]
+    sets = [[*own(i), *common] for i in range(200)]
+    sets += [[*s[:-1], "odd"] for s in sets[:15]]
+    for s in sets:
+        rng.shuffle(s)
+    held = spark.createDataFrame(list(enumerate(sets)), "id long, a array<string>")
+    asked = spark.createDataFrame(list(enumerate(sets)), "new_id long, b array<string>")
+    for candidates, threshold in ((similarity.containment_candidates, 0.8), (similarity.jaccard_candidates, 0.55)):
+        pairs = [tuple(r) for r in candidates(held, asked, threshold).collect()]
+        assert len(pairs) == len(set(pairs)) == len(sets) + 2 * 15
+
+
+def test_classes_keep_the_first(spark):
+    rows = [(1, "mend the old gate latch", "created", 5), (2, "mend the old gate latch", "pending", 1), (3, "mend the old gate latch", "pending", 7), (4, "mend the old gate latch", "done", 9), (5, "mend the old gate hinge latch", "executing", 0)]
+    new = spark.createDataFrame([(10, "mend the old gate latch"), (11, "nothing like it")], "new_id long, description string")
+    tasks = spark.createDataFrame(rows, PAIRS_ORDER)
+    assert [tuple(r) for r in dedup.first_match(tasks, new).collect()] == [(10, 5, pytest.approx(5 / 6))]
+    assert [tuple(r) for r in dedup.best_match(tasks, new, dedup.TRIGRAM).collect()] == [(10, 3, 1.0)]
+    assert [tuple(r) for r in dedup.admission_hits(tasks, new).collect()] == [(10, 5)]
+
+
+def test_tfidf_equals_all_pairs(spark):
+    import math
+    import re
+
+    texts = sentences(3, 60)
+    toks = [re.findall("[a-z0-9]{3,}", t) for t in texts]
+    asked = sentences(4, 20)[:30] + texts[:25]
+    want = []
+    for q, t in enumerate(asked):
+        own = re.findall("[a-z0-9]{3,}", t)
+        corpus = [*toks, own]
+        weight = lambda w, c=corpus: math.log((1 + len(c)) / (1 + sum(w in set(x) for x in c))) + 1
+        vector = lambda x, f=weight: {w: x.count(w) / len(x) * f(w) for w in set(x)}
+        norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        mine = vector(own)
+        for i, x in enumerate(toks):
+            other = vector(x)
+            dot = sum(v * other.get(w, 0) for w, v in mine.items())
+            if dot and dot / norm(mine) / norm(other) >= 0.6:
+                want.append((q, i, pytest.approx(dot / norm(mine) / norm(other), abs=1e-9)))
     tasks = spark.createDataFrame([(i, t, "pending", 0) for i, t in enumerate(texts)], PAIRS_ORDER)
-    new = spark.createDataFrame(list(enumerate(texts)), "new_id long, description string")
-    for layer in (dedup.KEYWORD, dedup.TRIGRAM):
-        bare = dedup.Layer(layer.name, layer.threshold, layer.prepare, layer.score)
-        rows = lambda x: sorted((r.new_id, r.id, r.score) for r in dedup.scored(tasks, new, x).collect())  # noqa: E731,B023
-        assert rows(layer) == rows(bare) != []
+    got = dedup.tfidf_scores(tasks, spark.createDataFrame(list(enumerate(asked)), "new_id long, description string"))
+    assert sorted((r.new_id, r.id, r.score) for r in got.collect()) == want and len(want) > 30
+
+
+def test_top_five_whatever_is_shared(spark):
+    rows = [(1, "alpha beta", "pending", 1), (2, "alpha alpha gamma", "created", 2), (3, "delta", "executing", 3), (4, "alpha", "done", 9), (5, "epsilon", "queued", 3)]
+    new = [(1, "alpha beta"), (2, "nothing shared"), (3, "")]
+    order = lambda q: sorted((r for r in rows if r[2] != "done"), key=lambda r: (-sum(w in q.split() for w in r[1].split()), -r[3], r[0]))
+    for n in (5, 2, 1):
+        got = dedup.candidates_by_tokens(spark.createDataFrame(rows, PAIRS_ORDER), spark.createDataFrame(new, "new_id long, description string"), n)
+        assert sorted((r.new_id, r.place, r.id) for r in got.collect()) == [(i, k, r[0]) for i, q in new for k, r in enumerate(order(q)[:n], 1)]
+    assert dedup.candidates_by_tokens(spark.createDataFrame([], PAIRS_ORDER), spark.createDataFrame(new, "new_id long, description string")).count() == 0
 
 
 GO = [("Server", "struct", "Server handles"), ("NewServer", "function", ""), ("Start", "method", ""), ("Handler", "interface", ""), ("main", "function", ""), ("AuthMiddleware", "function", "checks auth tokens"), ("ValidateToken", "function", "a token is valid")]
@@ -72,6 +149,36 @@ def test_pagerank_of_a_small_graph(spark):
     assert graph.pagerank(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+def listed(symbols, edges, description, cap=20):
+    """Callers, then callees, of each symbol that a word names, in order, until more than cap lines stand there."""
+    name, out = {i: n for i, n, _ in symbols}, []
+    for i, n, k in sorted(symbols, key=lambda s: s[2]):
+        if any(len(w.encode()) > 3 and w in n.lower() for w in description.lower().split()):
+            out += [(k, "caller", f"{name[a]}() → {n}()", a) for a, b in edges if b == i] + [(k, "callee", f"{n}() → {name[b]}()", b) for a, b in edges if a == i]
+        if len(out) > cap:
+            break
+    return sorted(out)
+
+
+def test_relevant_edges(spark):
+    def both(symbols, edges, description, cap=20):
+        s, e = spark.createDataFrame(symbols, "id string, name string, ord int"), spark.createDataFrame(edges, "from_id string, to_id string")
+        assert sorted(map(tuple, graph.relevant_edges(s, e, description, cap).collect())) == (want := listed(symbols, edges, description, cap))
+        return want
+
+    assert both([("a", "loader", 1), ("b", "first", 2), ("c", "third", 3)], [("b", "a"), ("a", "c")], "The LOADER of it") == [(1, "callee", "loader() → third()", "c"), (1, "caller", "first() → loader()", "b")]
+    for before in (19, 20, 21):  # lines that stand before the last symbol
+        symbols = [("x", "parser", 0), ("y", "reparse", 1), *[(f"n{i}", f"n{i}", 2 + i) for i in range(30)]]
+        edges = [("x", f"n{i}") for i in range(before)] + [("y", "n0"), ("n1", "y")]
+        assert len(both(symbols, edges, "parser reparse")) == before + 2 * (before <= 20)
+    rng = random.Random(2)
+    symbols = [(str(i), rng.choice(["mapItem", "Item", "zip", "reduceé", "join"]) + str(i % 7), i) for i in range(60)]
+    edges = sorted({(str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(200)})
+    edges = [(a, b) for a, b in edges if a != b]
+    for words, cap in (("item", 20), ("ITEM zip join", 5), ("cé", 20), ("ucé1", 20), ("", 20), ("zzzz", 3)):
+        both(symbols, edges, words, cap)
+
+
 @pytest.mark.parametrize("query", ["Server", "Auth*", "auth OR valid", "auth AND tokens", "token NOT valid", '"auth tokens"', "handles server", "is valid a", '"is val"*', "(auth OR token) AND checks", "auth-tokens"])
 def test_search_agrees_with_another_engine(spark, query):
     rows = [(f"id{i}", n, f"func {n}()", d) for i, (n, _, d) in enumerate(GO)]

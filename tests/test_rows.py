@@ -24,7 +24,8 @@ def test_renderings(spark):
     model = lambda c, m: one(spark, text.with_model(F.lit(c), F.lit(m)))
     assert [model("tool -p", "m"), model("tool --model x -p", "m"), model("tool --model x", "m"), model("tool", "")] == ["tool -p --model m", "tool --model m -p", "tool --model m", "tool"]
     first = lambda *w: one(spark, text.with_model_first(strings(*w), F.lit("m")))
-    assert [first("/bin/gemini", "a b"), first("x")] == ['/bin/gemini -m m "a b"', "x --model m"]
+    assert [first("/bin/gemini", "a b"), first("x"), first()] == ['/bin/gemini -m m "a b"', "x --model m", ""]
+    assert [one(spark, text.with_model_first(strings("c", "p q"), m)) for m in (F.lit(""), none)] == ['c "p q"'] * 2
     assert [one(spark, text.setting(F.lit(v), a, d)) for v, a, d in (("ok-1", None, ""), ("a b", None, ""), (None, None, "d"), ("q", ("p", "r"), "p"))] == ["ok-1", "", "d", "p"]
     assert one(spark, lifecycle.colour(F.lit("done"))) == "\x1b[32m" and one(spark, lifecycle.colour(F.lit("?"))) == ""
     assert one(spark, lifecycle.next_action(F.lit("x"))).startswith("fetch") and "wait" in one(spark, lifecycle.next_action(F.lit("executing")))
@@ -57,7 +58,7 @@ def test_trees(spark):
 def test_sources_and_sinks(spark, tmp_path):
     entries = spark.createDataFrame([("one", "/a", "x"), ("two", "/b", None)], "name string, path string, llm string")
     assert {tuple(r) for r in L.registry(L.registry_text(entries)).collect()} == {("one", "/a", "x"), ("two", "/b", None)}
-    assert [r.name for r in L.peers(entries, "/a").collect()] == ["two"]
+    assert [r.name for r in L.peers(entries, "/a").collect()] == ["two"] and [r.name for r in L.peers(entries, own_name="two").collect()] == ["one"]
     body = one(spark, L.clarification_text(F.lit(3), F.lit("d"), F.array(F.lit("why?"), F.lit("how?"))))
     answered = spark.createDataFrame([("p", body.replace("A1: ", "A1: so").replace("A2: ", "A2: thus"))], "path string, content string")
     assert sorted((r.question, r.answer) for r in L.clarifications(L.numbered(answered)).collect()) == [("how?", "thus"), ("why?", "so")]
@@ -78,3 +79,29 @@ def test_sources_and_sinks(spark, tmp_path):
     report = usage.markdown_report(usage.variant_table(usage.latest_runs(usage.read_results(spark, str(tmp_path / "r")))))
     shown = [r.line for r in report.collect()]
     assert shown[2:] == ["| R | t | 1.5 | 10 | 6 | 0.60 | 2 | 2 |", "**Aggregate over 1 tasks: 40.0% reduction in effective input tokens (ratio 0.60).**"]
+
+
+def test_log_round_trip(spark):
+    said = ['say "x"', "C:\\", 'a\\"b', "tab\there", "bell\x07 \x01", "é 中 \U0001f600", " reason=\"q\" task=", "", "\\n", "x" * 300]
+    none = F.lit(None).cast("string")
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, s string")
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    lines = rows.select("i", L.dedup_log_line(at, F.lit("tfidf"), F.lit(True), F.lit(0.75), F.lit(3), F.col("i"), none, F.col("s"), F.col("s")).alias("value"))
+    got = {r.cand: (r.at, r.layer, r.hit, r.score, r.ms, r.err, r.reason, r.task) for r in L.parsed_dedup_log(lines).collect()}
+    flat = lambda s, n: (" ".join(s.replace("\t", " ").split(" ")).strip()[:n] + "…" * (len(s) > n))
+    assert got == {i: ("2024-01-02T03:04:05Z", "tfidf", True, 0.75, 3, "", flat(s, 200), flat(s, 160)) for i, s in enumerate(said)}
+    odd = spark.createDataFrame([(r'T layer=k hit=false score=0.000 ms=1 cand=0 err="a\tb \u00e9\U0001f600\x41" task="t"',), ("no log line",)], "value string")
+    assert [(r.err, r.reason, r.task) for r in L.parsed_dedup_log(odd).collect()] == [("a\tb é\U0001f600A", "", "t")]
+
+
+def test_places_and_slots(spark):
+    from quarry.operators.lineage import placed
+
+    rows = [(i, (i * 7) % 5, "approved" if i % 3 else "done") for i in range(60)]
+    tasks = spark.createDataFrame(rows, "id long, created_at long, status string").repartition(6)
+    want = {i: k for k, (_, i) in enumerate(sorted((a, i) for i, a, _ in rows), 1)}
+    got = placed(tasks, F.col("created_at"), F.col("id"))
+    assert {r.id: r.place for r in got.collect()} == want and got.columns == ["id", "created_at", "status", "place"]
+    queue = [i for i, _, s in sorted(rows, key=lambda r: (r[1], r[0])) if s == "approved"]
+    assert {(r.id, r.state, r.queue_place) for r in lifecycle.slots(tasks, 2).collect()} == {(i, "running" if k < 2 else "queued", max(0, k - 1)) for k, i in enumerate(queue)}
+    assert placed(tasks.limit(0), F.col("id")).count() == lifecycle.slots(tasks.limit(0)).count() == 0
