@@ -23,6 +23,17 @@ STEP_SCHEMA = (
 )
 MAX_DESCRIPTION = 4096
 SEARCHED = ["id", "name", "signature", "doc_comment"]
+#: Keys of what is known about the last build.
+HEAD, SETTLED = "last_indexed_commit", "ranks_settled"
+
+
+def _order() -> list:
+    """Of symbols of one name the last by these is what the name means."""
+    return [F.col("file_path"), F.col("line"), F.col("id")]
+
+
+def _refs(parsed: DataFrame) -> DataFrame:
+    return parsed.select(F.col("id").alias("caller_id"), F.explode("refs").alias("ref_name"))
 
 
 class Engine:
@@ -33,52 +44,104 @@ class Engine:
 
     def build(self, repository: str) -> None:
         """Scan, extract, resolve and rank a whole repository; tables are swapped in once written."""
-        self._index(files.scan(self.spark, repository))
-
-    def _index(self, found: DataFrame, changed: DataFrame | None = None) -> None:
-        """Index the files found. Only those named in changed (path) are parsed, if given; the symbols of the others stay."""
-        walked = self.store.write("files_raw", found)
-        fresh = walked if changed is None else walked.join(changed.select("path").distinct(), "path", "left_semi")
-        parsed = extract.symbols(fresh.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))))
-        ids = index.with_symbol_ids(parsed.withColumnRenamed("path", "file_path").withColumn("ordinal", F.monotonically_increasing_id()))
-        if changed is not None:
-            of = F.col("path") == F.col("file_path")
-            kept = self.store.read("parsed").join(walked.select("path"), of, "left_semi").join(changed.select("path"), of, "left_anti")
-            ids = kept.unionByName(ids)
-        whole = self.store.write("parsed", ids)
-        counts = whole.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("symbol_count"))
-        self.store.write("files", walked.drop("content").join(counts, "path", "left").fillna(0, ["symbol_count"]))
-        symbols = index.last_per_key(whole.drop("refs"), ["id"], [F.col("line"), F.col("ordinal")]).drop("ordinal")
-        symbols = self.store.write("symbols_unranked", symbols)
-        refs = whole.select(F.col("id").alias("caller_id"), F.explode("refs").alias("ref_name"))
-        edges = self.store.write("edges", graph.call_edges(refs, symbols.select("id", "name", "file_path", "line"), [F.col("file_path"), F.col("line"), F.col("id")]))
-        ranks = graph.pagerank(symbols, edges)
-        self.store.write("symbols", symbols.join(ranks, "id"))
+        head = files.git_head(repository)
+        walked = self.store.write("files_raw", files.scan(self.spark, repository))
+        whole = self.store.write("parsed", self._parsed(walked))
+        self._write_files(walked.drop("content"), whole)
+        symbols = self.store.write("symbols_unranked", self._distinct(whole))
+        edges = self.store.write("edges", graph.resolved(_refs(whole), graph.winners(symbols, _order())))
+        self._rank(symbols, edges)
+        n = symbols.count()
+        blocks = max(1, n // search.BLOCK_DOCS)
+        self._write_postings(search.indexed(symbols, "id", SEARCHED, blocks), symbols, blocks)
+        self.store.put_meta(HEAD, head or "")
+
+    def _parsed(self, found: DataFrame) -> DataFrame:
+        """Symbols of files with their references; files that aren't UTF-8 have their odd bytes replaced."""
+        parsed = extract.symbols(found.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))))
+        return index.with_symbol_ids(parsed.withColumnRenamed("path", "file_path").withColumn("ordinal", F.monotonically_increasing_id()))
+
+    def _distinct(self, parsed: DataFrame) -> DataFrame:
+        return index.last_per_key(parsed.drop("refs"), ["id"], [F.col("line"), F.col("ordinal")]).drop("ordinal")
+
+    def _write_files(self, walked: DataFrame, parsed: DataFrame) -> None:
+        counts = parsed.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("symbol_count"))
+        self.store.write("files", walked.drop("symbol_count").join(counts, "path", "left").fillna(0, ["symbol_count"]))
+
+    def _write_postings(self, postings: DataFrame, symbols: DataFrame, blocks: int) -> None:
+        stored = self.store.write("postings", postings.repartition("bucket").sortWithinPartitions("bucket", "term", "block"), ["bucket"])
+        self.store.write("bounds", search.block_bounds(stored).repartition("bucket").sortWithinPartitions("bucket", "term"), ["bucket"])
+        size = search.lengths(symbols, "id", SEARCHED).agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("average"), F.lit(blocks).alias("blocks"))
+        self.store.write("search_stats", size)
+
+    def _rank(self, symbols: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> None:
+        """Ranks go on from former ones where those had come to rest."""
+        told: dict = {}
+        settled = start is not None and self.store.meta(SETTLED) == "yes"
+        ranks = graph.pagerank(symbols, edges, start=start if settled else None, told=told)
+        self.store.write("symbols", symbols.drop("rank").join(ranks, "id"))
+        self.store.put_meta(SETTLED, "yes" if told.get("change", 0.0) < 1e-6 else "no")
 
     def refresh(self, repository: str) -> DataFrame:
-        """Bring the index up to date; (path, action) of the files looked at. Only files whose time and content changed
-        are parsed again, unless nothing is indexed yet."""
-        if not self.store.exists("files"):
+        """Bring the index up to date; (path, action) of the files looked at. In a repository only files are read that
+        its history and status name; elsewhere all, and only those are parsed whose time and content changed."""
+        head, last = files.git_head(repository), self.store.meta(HEAD)
+        empty = not self.store.exists("files")
+        diff = files.git_changes(self.spark, repository, last) if head and last and head != last else None
+        plan = "full" if empty else index.freshness(head is not None, empty, head, last, diff is not None)
+        if plan == "full":
             self.build(repository)
             return self.store.read("files").select("path", F.lit("parse").alias("action"))
-        old, now = self.store.read("files"), files.scan(self.spark, repository)
-        # both are read out before the tables that they come from are replaced
-        plan = cut(index.change_plan(old, now))
-        gone = cut(index.deleted_files(old, now).select("path"))
-        changed = plan.filter("action = 'parse'")
-        if changed.isEmpty() and gone.isEmpty():
-            return plan
-        self._index(now, changed)
-        return plan.unionByName(gone.select("path", F.lit("delete").alias("action")))
+        old = self.store.read("files")
+        gone = self.spark.createDataFrame([], "path string")
+        if plan == "incremental":
+            now = self.store.write("files_raw", files.scan(self.spark, repository))
+            actions = cut(index.change_plan(old, now))
+            gone = cut(index.deleted_files(old, now).select("path"))
+        else:
+            named = diff if plan == "changed" else files.git_dirty(self.spark, repository)
+            now = self.store.write("files_raw", files.from_listing(self.spark, repository, named))
+            hashes = old.select("path", F.col("content_hash").alias("was"))
+            same = F.when(F.col("was") == F.col("content_hash"), "same_content").otherwise("parse")
+            actions = cut(now.join(hashes, "path", "left").select("path", same.alias("action")))
+            if plan == "changed":
+                there = self.spark.createDataFrame([(p,) for p in files.git_listing(repository) or []], "path string")
+                gone = cut(old.join(there, "path", "left_anti").select("path"))
+        changed = actions.filter("action = 'parse'").select("path")
+        if not (changed.isEmpty() and gone.isEmpty()):
+            self._update(now.join(changed, "path", "left_semi"), changed.unionByName(gone))
+        if plan == "changed":
+            self.store.put_meta(HEAD, head)
+        return actions.unionByName(gone.select("path", F.lit("delete").alias("action")))
+
+    def _update(self, found: DataFrame, replaced: DataFrame) -> None:
+        """Put the files found in place of those replaced (path). What other files have stays as it is: their symbols,
+        their postings, and their edges but for those to names that now mean another symbol."""
+        before, edges, postings = self.store.read("symbols"), self.store.read("edges"), self.store.read("postings")
+        of = lambda df, how, c="file_path": df.join(replaced, df[c] == replaced["path"], how)
+        fresh = cut(self._parsed(found))
+        parsed = self.store.write("parsed", of(self.store.read("parsed"), "left_anti").unionByName(fresh))
+        self._write_files(of(self.store.read("files"), "left_anti", "path").unionByName(found.drop("content"), allowMissingColumns=True), parsed)
+        added, removed = cut(self._distinct(fresh)), of(before, "left_semi")
+        symbols = self.store.write("symbols_unranked", of(before, "left_anti").drop("rank").unionByName(added))
+        stale = cut(removed.select("id", "name").unionByName(added.select("id", "name")).distinct())
+        kept, made = graph.refreshed_edges(edges, _refs(parsed), before, symbols, stale, _order())
+        now = self.store.write("edges", kept.unionByName(made))
+        self._rank(symbols, now, before.select("id", "rank"))
+        blocks = self.store.read("search_stats").first()["blocks"]
+        new = search.indexed(added, "id", SEARCHED, blocks)
+        self._write_postings(postings.join(stale.select("id"), "id", "left_anti").unionByName(new), symbols, blocks)
 
     def symbols(self) -> DataFrame:
         return self.store.read("symbols")
 
     def edges(self) -> DataFrame:
-        return self.store.read("edges")
+        return self.store.read("edges").select("from_id", "to_id")
 
     def search_symbols(self, query: str, limit: int = 20) -> DataFrame:
-        hits = search.search(self.symbols(), query, "id", SEARCHED, limit)
+        """The best symbols for a query, by stored postings: terms, phrases, prefixes, AND, OR, NOT, NEAR, columns."""
+        stats = self.store.read("search_stats").first()
+        hits = search.search_stored(self.store.read("postings"), self.store.read("bounds"), stats["n"], stats["average"] or 1.0, query, SEARCHED, limit)
         return self.symbols().join(F.broadcast(hits), "id").orderBy("score", "id")
 
     def call_graph(self, symbol_id: str) -> DataFrame:

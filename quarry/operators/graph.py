@@ -9,11 +9,37 @@ from pyspark.sql import window as W
 from quarry.operators.lineage import cut
 
 
+def winners(names: DataFrame, order: list[Column]) -> DataFrame:
+    """(ref_name, to_id): of the symbols of each name (id, name, ...) the last in the order given."""
+    return names.groupBy(F.col("name").alias("ref_name")).agg(F.max_by("id", F.struct(*order)).alias("to_id"))
+
+
+def resolved(refs: DataFrame, last: DataFrame) -> DataFrame:
+    """(from_id, to_id, ref_name): refs (caller_id, ref_name) to the winners of their names; calls of oneself and
+    unknown names are dropped, repeats kept once."""
+    return refs.join(last, "ref_name").filter("caller_id <> to_id").select(F.col("caller_id").alias("from_id"), "to_id", "ref_name").distinct()
+
+
 def call_edges(refs: DataFrame, names: DataFrame, order: list[Column]) -> DataFrame:
     """(from_id, to_id): refs (caller_id, ref_name) to the symbol of that name, the last in the order given of names
-    (id, name, ...); calls of oneself and unknown names are dropped, repeats kept once."""
-    last = names.groupBy("name").agg(F.max_by("id", F.struct(*order)).alias("to_id"))
-    return refs.join(last, refs.ref_name == last.name).filter("caller_id <> to_id").select(F.col("caller_id").alias("from_id"), "to_id").distinct()
+    (id, name, ...)."""
+    return resolved(refs, winners(names, order)).select("from_id", "to_id")
+
+
+def refreshed_edges(edges: DataFrame, refs: DataFrame, was: DataFrame, names: DataFrame, stale: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(edges kept, edges made anew) after symbols were replaced. edges: (from_id, to_id, ref_name) of before; refs:
+    (caller_id, ref_name) and names of now, was: names of before; stale: (id, name) of the symbols that went or came.
+    An edge is kept unless its caller is stale or the winner of its name is another one."""
+    touched = stale.select(F.col("name").alias("ref_name")).distinct()
+    last = lambda table: winners(table.join(touched, table["name"] == touched["ref_name"], "left_semi"), order)
+    before, now = last(was).withColumnRenamed("to_id", "old"), last(names)
+    moved = cut(before.join(now, "ref_name", "full_outer").filter(~F.col("old").eqNullSafe(F.col("to_id"))).select("ref_name"))
+    callers_ = cut(stale.select(F.col("id").alias("caller_id")).distinct())
+    kept = edges.join(moved, "ref_name", "left_anti").join(callers_, edges["from_id"] == callers_["caller_id"], "left_anti")
+    again = refs.join(callers_, "caller_id", "left_semi").unionByName(refs.join(callers_, "caller_id", "left_anti").join(moved, "ref_name", "left_semi"))
+    asked = again.select("ref_name").distinct()
+    known = winners(names.join(asked, names["name"] == asked["ref_name"], "left_semi"), order)
+    return kept.select("from_id", "to_id", "ref_name"), resolved(again, known)
 
 
 def callers(symbols: DataFrame, edges: DataFrame, id_: Column) -> DataFrame:
@@ -30,26 +56,44 @@ def out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(n, F.col("id") == F.col("from_id"), "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+#: Rounds between checkpoints; in between, a round's ranks are held by the executors and can be made again.
+CHECKPOINT_ROUNDS = 5
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, start: DataFrame | None = None, told: dict | None = None) -> DataFrame:
     """(id, rank) of every node. Dangling mass is spread evenly; ends after the round whose ranks changed by less than
-    tolerance together. Each round is one join and one aggregation; lineage is cut so that a lost executor costs one."""
+    tolerance together. A round is one join, one aggregation and one number back. start: (id, rank) to go on from, for
+    nodes that were there before; others begin at an even share, and all are brought to a sum of one. told: gets the
+    rounds made and the last change."""
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     degree = cut(out_degrees(nodes, edges))
     links = cut(edges.select("from_id", "to_id").join(degree.withColumnRenamed("id", "from_id"), "from_id"))
     rank = degree.select("id", "out_degree", F.lit(1.0 / n).alias("rank"))
-    for _ in range(rounds):
-        dangling = rank.filter("out_degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    if start is not None:
+        rank = degree.join(start.select("id", "rank"), "id", "left").select("id", "out_degree", F.coalesce("rank", F.lit(1.0 / n)).alias("rank"))
+        rank = cut(rank)
+        rank = rank.withColumn("rank", F.col("rank") / F.lit(rank.agg(F.sum("rank")).first()[0]))
+    loose = F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0))
+    dangling = rank.agg(loose).first()[0]
+    held: list[DataFrame] = []
+    for k in range(1, rounds + 1):
         came = links.join(rank.select(F.col("id").alias("from_id"), "rank"), "from_id").groupBy("to_id").agg(F.sum(F.col("rank") / F.col("out_degree")).alias("came"))
         new = rank.join(came, rank.id == came.to_id, "left").select(
             "id", "out_degree", (F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("came", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
-        new = cut(new)
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+        new = cut(new) if k % CHECKPOINT_ROUNDS == 0 else new.persist()
+        held += [] if k % CHECKPOINT_ROUNDS == 0 else [new]
+        change, dangling = new.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)), loose).first()
         rank = new.drop("was")
+        if told is not None:
+            told.update(rounds=k, change=change)
         if change < tolerance:
             break
-    return rank.select("id", "rank")
+    out = cut(rank.select("id", "rank"))
+    for df in held:
+        df.unpersist()
+    return out
 
 
 def relevant_edges(symbols: DataFrame, edges: DataFrame, description: str, cap: int = 20) -> DataFrame:

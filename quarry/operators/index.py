@@ -65,20 +65,22 @@ def diff_lines(diff: DataFrame) -> DataFrame:
     return diff.select("id", F.concat(mark, F.lit(" "), "id").alias("line"))
 
 
-def freshness(has_git: bool, empty: bool, head: str | None, last: str | None, changed: list[str] | None, dirty: list[str]) -> tuple[str, list[str]]:
-    """(plan, paths): full or incremental; for an indexed head only the dirty files, else the changed ones besides."""
+def freshness(has_git: bool, empty: bool, head: str | None, last: str | None, diff_known: bool = True) -> str:
+    """What brings an index up to date: "full"; "incremental", by times and contents of all files; "dirty", the files
+    that differ from the commit that was indexed; or "changed", those that differ between the two commits, and whatever
+    is gone. diff_known: whether the former commit is still there to be compared."""
     if not has_git:
-        return ("full", []) if empty else ("incremental", [])
-    if last and head == last:
-        return "files", sorted(dirty)
-    if not last or changed is None:
-        return "full", []
-    return "files", sorted({*changed, *dirty})
+        return "full" if empty else "incremental"
+    if not last:
+        return "full"
+    if head == last:
+        return "dirty"
+    return "changed" if diff_known else "full"
 
 
 def porcelain_paths(lines: DataFrame) -> DataFrame:
-    """Paths of status lines: from the fourth character on."""
-    return lines.filter(F.length("line") > 3).select(F.substr("line", F.lit(4)).alias("path"))
+    """Paths of status lines (line): from the fourth character on."""
+    return lines.filter(F.length("line") > 3).select(F.substr("line", F.lit(4)).alias("path")).distinct()
 
 
 #: A tree of more files is told by directories.

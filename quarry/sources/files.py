@@ -11,20 +11,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.index import ignored, language
+from quarry.operators.index import ignored, language, porcelain_paths
 
 #: Directories that a walk never enters; and the engine's own.
 IGNORED = (".git", "node_modules", "vendor", "__pycache__", ".next", "dist", "build")
 STATE_DIR = ".quarry"
 
 
-def git_listing(root: str) -> list[str] | None:
-    """Tracked and untracked files that git doesn't ignore, or None outside a repository."""
+def _git(root: str, *args: str) -> bytes | None:
+    """What git prints, or None where it fails or isn't there."""
     try:
-        out = subprocess.run(["git", "-C", root, "ls-files", "--cached", "--others", "--exclude-standard", "-z"], capture_output=True, check=True, timeout=60).stdout
+        return subprocess.run(["git", "-C", root, *args], capture_output=True, check=True, timeout=60).stdout
     except (OSError, subprocess.SubprocessError):
         return None
-    return sorted({p for p in out.decode(errors="replace").split("\0") if p})
+
+
+def git_listing(root: str) -> list[str] | None:
+    """Tracked and untracked files that git doesn't ignore, or None outside a repository."""
+    out = _git(root, "ls-files", "--cached", "--others", "--exclude-standard", "-z")
+    return None if out is None else sorted({p for p in out.decode(errors="replace").split("\0") if p})
+
+
+def git_head(root: str) -> str | None:
+    """The commit that is checked out; None outside a repository and before the first commit."""
+    out = _git(root, "rev-parse", "HEAD")
+    return None if out is None else out.decode().strip()
+
+
+def _paths(spark: SparkSession, text: bytes, column: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in text.decode(errors="replace").split("\0") if x], f"{column} string")
+
+
+def git_changes(spark: SparkSession, root: str, since: str) -> DataFrame | None:
+    """(path) of files that differ between a commit and the one checked out; None if the former isn't known."""
+    out = _git(root, "diff", "--name-only", "--no-renames", "-z", since, "HEAD")
+    return None if out is None else _paths(spark, out, "path")
+
+
+def git_dirty(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of files that differ from the commit checked out, new ones too."""
+    return porcelain_paths(_paths(spark, _git(root, "status", "--porcelain", "--no-renames", "--untracked-files=all", "-z") or b"", "line"))
 
 
 def ignore_patterns(root: str) -> list[str]:
@@ -47,10 +73,11 @@ def walk(spark: SparkSession, root: str, patterns: list[str] | None = None) -> D
     return _shaped(_read(_kept(_listed(spark, root), use), root))
 
 
-def from_listing(spark: SparkSession, root: str, listing: list[str]) -> DataFrame:
-    """As walk(), of the files listed; one that is gone by then, is no plain file or can't be read is left out."""
-    root = str(Path(root).resolve())
-    return _shaped(_read(spark.createDataFrame([(p,) for p in listing], "rel string"), root))
+def from_listing(spark: SparkSession, root: str, listing: list[str] | DataFrame) -> DataFrame:
+    """As walk(), of the files listed, names or rows (path); one that is gone by then, is no plain file or can't be read
+    is left out."""
+    names = listing.select(F.col("path").alias("rel")) if isinstance(listing, DataFrame) else spark.createDataFrame([(p,) for p in listing], "rel string")
+    return _shaped(_read(names, str(Path(root).resolve())))
 
 
 def unread(spark: SparkSession, root: str, listing: list[str]) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Versions of a table that stay.
+KEPT = 4
+
 
 class Store:
     """Named tables under root. A table's versions lie side by side; a reader sees the one that was current when it
@@ -44,8 +47,18 @@ class Store:
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
         self._replace(new, self._fs(self._pointer(name))[1])
+        self._forget(name)
         return self.read(name)
 
+    def _forget(self, name: str) -> None:
+        """Removes versions but for the newest KEPT, which readers that looked a little earlier may still use."""
+        fs, folder = self._fs(f"{self.root}/{name}")
+        found = sorted((x for x in fs.listStatus(folder) if x.getPath().getName().startswith("v-")), key=lambda x: x.getModificationTime())
+        current = self._current(name)
+        for old in found[:-KEPT]:
+            if old.getPath().getName() != current:
+                fs.delete(old.getPath(), True)
+
     def _replace(self, new, old) -> None:
         """Rename over what is there in one step, so a reader finds the former pointer or the new one."""
         sc = self.spark.sparkContext

@@ -1,7 +1,10 @@
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.api import Engine
+from quarry.operators import search
 from quarry.sources import extract, files
 from quarry.sources.store import Store
 from quarry.streaming import tasks as streams
@@ -194,6 +197,62 @@ def test_refresh_parses_changed_files_only(spark, repository, tmp_path, monkeypa
     assert seen[1:] == [set()] and {r.id for r in engine.symbols().collect()} == before
 
 
+def state(engine):
+    """All that an index says, but for times."""
+    edges = {tuple(r) for r in engine.edges().collect()}
+    ranks = {r.id: r["rank"] for r in engine.symbols().select("id", "rank").collect()}
+    found = {q: sorted((r.name, round(r.score, 9)) for r in engine.search_symbols(q, 50).collect()) for q in ("go OR shared", "func*", '"func late"', "name : shared")}
+    shown = {tuple(r) for r in engine.symbols().select("id", "name", "file_path", "line", "parent_id").collect()}
+    return edges, ranks, found, shown, {(r.path, r.symbol_count) for r in engine.store.read("files").collect()}
+
+
+def same_as_built(spark, engine, repository, folder):
+    fresh = Engine(spark, str(folder))
+    fresh.build(str(repository))
+    a, b = state(engine), state(fresh)
+    assert a[0] == b[0] and a[2:] == b[2:] and {k: pytest.approx(v, abs=1e-6) for k, v in a[1].items()} == b[1]
+
+
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(search, "BUCKETS", 2)
+
+
+def test_refresh_follows_the_repository(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    code = lambda *calls: "package p\n\n" + "".join(f"func {n}() {{\n\t{c}()\n}}\n\n" for n, c in calls)
+    write = lambda name, text: (root / name).write_text(text)
+    commit = lambda: (git("add", "-A"), git("commit", "-qm", "x"))
+    engine, seen, real = Engine(spark, str(tmp_path / "state")), [], files._read
+    monkeypatch.setattr(files, "_read", lambda names, r: seen.append({x.rel for x in names.collect()}) or real(names, r))
+    refresh = lambda: {(r.path, r.action) for r in engine.refresh(str(root)).collect()}
+    write("a.go", code(("one", "shared"), ("two", "one")))
+    write("b.go", code(("shared", "two"), ("late", "none")))
+    write("c.go", code(("three", "shared")))
+    git("init", "-q")
+    assert refresh() == {("a.go", "parse"), ("b.go", "parse"), ("c.go", "parse")}  # nothing is indexed yet: all
+    commit()
+    assert refresh() == {("a.go", "parse"), ("b.go", "parse"), ("c.go", "parse")} and engine.store.meta("last_indexed_commit")  # no commit was indexed
+    assert refresh() == set() and seen.pop() == set()  # the same commit and nothing dirty: no file is read
+    write("d.go", code(("shared", "three"), ("four", "late")))  # another winner of a name, not committed
+    before = {tuple(r) for r in engine.store.read("edges").collect()}
+    assert refresh() == {("d.go", "parse")} and seen.pop() == {"d.go"}
+    now = {tuple(r) for r in engine.store.read("edges").collect()}
+    assert {r[2] for r in before ^ now} == {"shared", "three", "late"} and {r for r in before if r[2] in ("one", "two")} <= now
+    commit()
+    write("c.go", code(("three", "two"), ("five", "four")))
+    (root / "b.go").unlink()
+    commit()
+    write("a.go", code(("one", "five")))  # dirty, where the commit moved: left for later
+    assert refresh() == {("c.go", "parse"), ("d.go", "same_content"), ("b.go", "delete")}
+    assert refresh() == {("a.go", "parse")}
+    same_as_built(spark, engine, root, tmp_path / "built")
+    engine.store.put_meta("last_indexed_commit", "0" * 40)  # a commit that is gone
+    assert {p for p, _ in refresh()} == {"a.go", "c.go", "d.go"} and engine.store.meta("last_indexed_commit") != "0" * 40
+
+
 def test_engine_over_a_repository(spark, repository, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "git_listing", lambda root: None)
     engine = Engine(spark, str(tmp_path / "state"))

@@ -108,12 +108,9 @@ def test_ignore_patterns(spark):
 
 
 def test_freshness_plans():
-    assert index.freshness(False, True, None, None, None, []) == ("full", [])
-    assert index.freshness(False, False, None, None, None, []) == ("incremental", [])
-    assert index.freshness(True, False, "a", "a", None, ["x"]) == ("files", ["x"])
-    assert index.freshness(True, False, "b", "", [], []) == ("full", [])
-    assert index.freshness(True, False, "b", "a", None, []) == ("full", [])
-    assert index.freshness(True, False, "b", "a", ["y"], ["x"]) == ("files", ["x", "y"])
+    assert index.freshness(False, True, None, None) == "full" and index.freshness(False, False, None, None) == "incremental"
+    assert index.freshness(True, False, "a", "a") == "dirty" and index.freshness(True, False, "b", "") == "full"
+    assert index.freshness(True, False, "b", "a") == "changed" and index.freshness(True, False, "b", "a", False) == "full"
 
 
 def test_approval_patterns(spark):
