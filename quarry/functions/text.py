@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def pair_cosine(a: Column, b: Column) -> Column:
+    """Cosine of TF-IDF vectors of two token arrays whose corpus is just them: a term of both has an inverse document
+    frequency of 1, a term of one ln(3 / 2) + 1. 0 if either is empty."""
+    share = lambda x, w: F.size(F.filter(w, lambda t: t == x)) / F.size(w)
+    alone = 1 + math.log(1.5)
+    total = lambda items, f: F.aggregate(items, F.lit(0.0), lambda s, x: s + f(x))
+    square = lambda w, other: total(F.array_distinct(w), lambda x: F.pow(share(x, w) * F.when(F.array_contains(other, x), 1.0).otherwise(alone), F.lit(2)))
+    dot = total(F.array_intersect(a, b), lambda x: share(x, a) * share(x, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(dot / F.sqrt(square(a, b) * square(b, a)))
+
+
 def shingles(words: Column, n: int = 2) -> Column:
     """The set of n consecutive tokens joined by a blank; fewer tokens are themselves the set."""
     return F.array_distinct(F.when(F.size(words) < n, words).otherwise(consecutive(words, n, " ")))

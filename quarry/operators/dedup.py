@@ -7,9 +7,11 @@ one class: a class is compared once, and its task of highest priority stands for
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -223,17 +225,82 @@ def reason(layer: str, id: Column, status: Column, score: Column) -> Column:  #
     return F.concat(where, id.cast("string"), F.lit(f" ({layer} "), F.format_string(shown, score.cast("double")), F.lit(")"))
 
 
-def judged(pairs: DataFrame, layers: tuple[Layer, ...] | None = None) -> DataFrame:
-    """(layer, category, duplicate, predicted): what each layer says of labelled pairs (a, b, duplicate, category)."""
-    use = layers or (KEYWORD, TRIGRAM, MINHASH)
+def judged(pairs: DataFrame, layers: tuple[str, ...] = ("keyword", "trigram", "tfidf", "minhash", "cascade")) -> DataFrame:
+    """(layer, category, duplicate, predicted): what each layer says of labelled pairs (a, b, duplicate, category), b
+    held against a as the only task. The cascade says what the first layer that hits says: whether any does."""
+    tests = {x.name: (x.prepare, x.score, x.threshold) for x in (KEYWORD, TRIGRAM, MINHASH)} | {"tfidf": (text.tokens, text.pair_cosine, TFIDF_THRESHOLD)}
+    unknown = set(layers) - set(tests) - {"cascade"}
+    if unknown:
+        raise ValueError(f"no such layer: {sorted(unknown)[0]}")
+    used = tests if "cascade" in layers else layers
+    said = {name: F.coalesce(score(prepare(F.col("a")), prepare(F.col("b"))) >= limit, F.lit(False)) for name, (prepare, score, limit) in tests.items() if name in used}
+    rows = pairs.select("category", "duplicate", *[c.alias(f"_{name}") for name, c in said.items()])
+    whole = {name: F.col(f"_{name}") for name in said} | {"cascade": F.array_contains(F.array(*[F.col(f"_{name}") for name in said]), True)}
+    told = F.explode(F.array(*[F.struct(F.lit(name).alias("layer"), whole[name].alias("predicted")) for name in layers]))
+    return rows.select("category", "duplicate", told.alias("x")).select("x.layer", "category", "duplicate", "x.predicted")
+
+
+def evaluated(pairs: DataFrame, layers: tuple[str, ...] = ("keyword", "trigram", "tfidf", "minhash", "cascade")) -> DataFrame:
+    """confusion() of each layer with mean_ms, the wall clock of judging all pairs by it alone, for one pair."""
     out = None
-    for layer in use:
-        said = layer.score(layer.prepare(F.col("a")), layer.prepare(F.col("b"))) >= layer.threshold
-        part = pairs.select(F.lit(layer.name).alias("layer"), "category", "duplicate", F.coalesce(said, F.lit(False)).alias("predicted"))
+    for name in layers:
+        began = time.monotonic()
+        rows = confusion(judged(pairs, (name,)), ["layer"]).collect()
+        took = 1000 * (time.monotonic() - began)
+        n = sum(r[k] for r in rows for k in ("tp", "fp", "tn", "fn"))
+        part = confusion(judged(pairs, (name,)), ["layer"]).withColumn("mean_ms", F.lit(took / n if n else 0.0))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+#: The most candidates that a callable is asked about for one description.
+JUDGE_CANDIDATES = 5
+
+
+@dataclass(frozen=True)
+class Verdict:
+    """What a judge says of a description: the task that it repeats, or None, and why."""
+
+    task_id: int | None = None
+    reason: str = ""
+
+
+Judge = Callable[[str, list[tuple[int, str, str]]], Verdict]
+
+
+def asked(tasks: DataFrame, new: DataFrame, judge: Judge, layer: str = "llm", top: int = JUDGE_CANDIDATES) -> DataFrame:
+    """(new_id, layer, is_duplicate, id, reason, error): what a callable says of each new description and its candidates,
+    (id, status, description) of at most top tasks, the best first. It runs in the executors, a description at a time.
+
+    Advice only: an error makes no duplicate and is told in error, as is a task that isn't among the candidates. Without
+    candidates it isn't asked. A reason names the task; without one the task alone does."""
+    best = candidates_by_tokens(tasks, new, min(top, JUDGE_CANDIDATES)).join(tasks.select("id", "status", F.col("description").alias("held")), "id")
+    listed = best.groupBy("new_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "status", "held"))).alias("c"))
+    rows = new.select("new_id", "description").join(listed, "new_id", "left")
+
+    def one(description: str | None, candidates) -> tuple:
+        given = [(int(c["id"]), c["status"], c["held"]) for c in (candidates if candidates is not None else [])]
+        if not given:
+            return False, None, "no active candidates", None
+        try:
+            said = judge(description or "", given)
+            if said is None or said.task_id is None:
+                return False, None, said.reason if said is not None else "", None
+            if said.task_id not in {i for i, _, _ in given}:
+                return False, None, said.reason, f"task #{said.task_id} is no candidate"
+            why = said.reason.strip()
+            return True, said.task_id, f"{why} (task #{said.task_id})" if why else f"semantically duplicates task #{said.task_id}", None
+        except Exception as e:  # advice only, whatever goes wrong
+            return False, None, "", f"{type(e).__name__}: {e}"
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            said = [one(d, c) for d, c in zip(frame["description"], frame["c"])]
+            yield pd.DataFrame({"new_id": frame["new_id"], "layer": layer, "is_duplicate": [s[0] for s in said], "id": pd.array([s[1] for s in said], "Int64"), "reason": [s[2] for s in said], "error": [s[3] for s in said]})
+
+    return rows.mapInPandas(run, "new_id long, layer string, is_duplicate boolean, id long, reason string, error string")
+
+
 def confusion(judged: DataFrame, keys: list[str]) -> DataFrame:
     """Of (duplicate, predicted): counts, precision, recall and F1, 0 where there is nothing to divide by."""
     d, p = F.col("duplicate"), F.col("predicted")

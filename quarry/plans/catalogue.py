@@ -12,16 +12,13 @@ from quarry.sources import lines as L
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-_SLOW: dict[str, str] = {}
 
 
-def query(sql: str | None = None, slow: bool = False):
-    """slow: the SQL takes minutes on larger tables, so only the tests run it, on the smallest."""
-
+def query(sql: str | None = None):
     def add(f):
         _QUERIES[f.__name__] = f
         if sql is not None:
-            (_SLOW if slow else _SQL)[f.__name__] = sql
+            _SQL[f.__name__] = sql
         return f
 
     return add
@@ -35,10 +32,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def slow_sql() -> dict[str, str]:
-    return dict(_SLOW)
-
-
 def _rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -98,13 +91,20 @@ _SHINGLES = "list_distinct(case when len({0}) < 2 then {0} else list_transform(r
 _TOP = 1 << 64
 
 
+_M = "4294967295::ubigint"
+
+
 def _signed(tables: str) -> str:
-    """Signatures of (key, w), in 128-bit arithmetic: the factor times the hash is taken in two halves."""
-    perm = ", ".join(f"({i}, {a >> 32}::uhugeint, {a & 0xFFFFFFFF}::uhugeint, {b}::uhugeint)" for i, (a, b) in enumerate(zip(_A, _B)))
+    """Signatures of (key, w). Factor times hash plus step modulo 2**64 is put together from halves, since products of
+    halves fit 64 bits."""
+    u = lambda x: f"{x}::ubigint"
+    perm = ", ".join(f"({i}, {u(a >> 32)}, {u(a & 0xFFFFFFFF)}, {u(b >> 32)}, {u(b & 0xFFFFFFFF)})" for i, (a, b) in enumerate(zip(_A, _B)))
     return f"""all_w as ({tables}), shi as (select key, unnest({_SHINGLES.format("w")}) as s from all_w),
-hashed as (select s, list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::uhugeint), lambda h, b: (xor(h, b) * {minhash.FNV_PRIME}::uhugeint) % {_TOP}::uhugeint, {minhash.FNV_START}::uhugeint) as h from (select distinct s from shi)),
-perm(p, hi, lo, b) as (values {perm}), mins as (select key, p, min((((hi * h) % {1 << 32}::uhugeint) * {1 << 32}::uhugeint + lo * h + b) % {_TOP}::uhugeint) as m from shi join hashed using (s), perm group by key, p),
-sigs as (select key, list(case when m >= {1 << 63}::uhugeint then (m::hugeint - {_TOP}::hugeint)::bigint else m::bigint end order by p) as sig from mins group by key),
+hashed as materialized (select s, (h // {1 << 32})::ubigint as hh, (h % {1 << 32})::ubigint as hl from (select s, list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::uhugeint), lambda h, b: (xor(h, b) * {minhash.FNV_PRIME}::uhugeint) % {_TOP}::uhugeint, {minhash.FNV_START}::uhugeint) as h from (select distinct s from shi))),
+perm(p, ah, al, bh, bl) as (values {perm}),
+low as (select key, p, al * hl as lo, (((ah * hl) & {_M}) + ((al * hh) & {_M})) & {_M} as mid, bh, bl from shi join hashed using (s), perm),
+mins as (select key, p, min((((((lo >> 32) + mid + bh + (((lo & {_M}) + bl) >> 32)) & {_M}) << 32) | (((lo & {_M}) + bl) & {_M}))) as m from low group by key, p),
+sigs as (select key, list(case when m >= {1 << 63}::ubigint then (m::hugeint - {_TOP}::hugeint)::bigint else m::bigint end order by p) as sig from mins group by key),
 sig as (select key, coalesce(sig, list_transform(range(0, 64), lambda i: -1::bigint)) as sig from all_w left join sigs using (key))"""
 
 
@@ -115,7 +115,7 @@ _MIN = f"mh as (select -1 - n.key as new_id, t.key as id, {_SAME.format('t.sig',
 
 
 @query(f"""with {V.TASKS}, {V.NEW}, {_signed(_ALL_WORDS)}, {_MIN}
-select new_id, id, round(score, 9) as score from mh join tasks using (id) where score >= 0.7 qualify row_number() over (partition by new_id order by score desc, created_at desc, id) = 1""", slow=True)
+select new_id, id, round(score, 9) as score from mh join tasks using (id) where score >= 0.7 qualify row_number() over (partition by new_id order by score desc, created_at desc, id) = 1""")
 def dedup_minhash_best(spark, d):
     return _rounded(dedup.best_match(V.tasks(spark, d), V.new_tasks(spark, d), dedup.MINHASH), "score")
 
@@ -125,7 +125,7 @@ def dedup_minhash_signature(spark, d):
     return dedup.signatures(V.tasks(spark, d))
 
 
-@query(f"with {V.TASKS}, {_signed(_TASK_WORDS)} select min(key) as class_id, count(*) as n from sig group by sig", slow=True)
+@query(f"with {V.TASKS}, {_signed(_TASK_WORDS)} select min(key) as class_id, count(*) as n from sig group by sig")
 def dedup_minhash_classes(spark, d):
     return dedup.signature_classes(V.tasks(spark, d)).select("class_id", "n")
 
@@ -140,7 +140,7 @@ def dedup_minhash_pairs(spark, d):
 hits as (select new_id, 1 as l, 'keyword' as layer, id, score, {_RANK} as r from kw where {_RANK} is not null and score >= 0.8
   union all select new_id, 2, 'trigram', id, score, -round(score, 12) from tri where {_SCORED} and score >= 0.55 union all select new_id, 3, 'tfidf', id, score, -round(score, 12) from cosine where score >= 0.6
   union all select new_id, 4, 'minhash', id, score, -round(score, 12) from mh where score >= 0.7)
-select new_id, layer, id, round(score, 9) as score from hits join tasks using (id) qualify row_number() over (partition by new_id order by l, r, created_at desc, id) = 1""", slow=True)
+select new_id, layer, id, round(score, 9) as score from hits join tasks using (id) qualify row_number() over (partition by new_id order by l, r, created_at desc, id) = 1""")
 def dedup_cascade(spark, d):
     return _rounded(dedup.cascade(V.tasks(spark, d), V.new_tasks(spark, d)), "score")
 
@@ -159,13 +159,31 @@ def llm_top5_candidates(spark, d):
     return dedup.candidates_by_tokens(V.tasks(spark, d), V.new_tasks(spark, d))
 
 
-_JUDGED = """judged as (select l_linestatus as layer, l_returnflag as category, l_discount > 0.05 as duplicate, l_tax > 0.03 as predicted from lineitem)"""
+#: Labelled pairs: twelve words of a document, and the same without one, or for odd ids its next twelve.
+_PAIRS = f"""w as (select doc_id, lang as category, doc_id % 2 = 0 as duplicate, {_tok("coalesce(text, '')")} as w from documents),
+pairs as (select doc_id, category, duplicate, w[1:12] as a, case when duplicate then list_concat(w[1:doc_id % 12], w[doc_id % 12 + 2:12]) else w[13:24] end as b from w)"""
+_IDF = "case when list_contains({0}, x) then 1 else 1 + ln(1.5) end"
+_NORM = "list_sum(list_transform(list_distinct({0}), lambda x: (len(list_filter({0}, lambda t: t = x)) / len({0}) * " + _IDF.format("{1}") + ") ** 2))"
+_TEXT = "array_to_string({0}, ' ')"
+_JUDGED = f"""{_PAIRS}, g as (select *, {_GRAMS.format(_TEXT.format('a'))} as ga, {_GRAMS.format(_TEXT.format('b'))} as gb from pairs),
+{_signed("select 2 * doc_id as key, a as w from pairs union all select 2 * doc_id + 1, b from pairs")},
+s as (select g.*, len(list_intersect(ga, gb)) as i, len(a) > 0 and len(b) > 0 as filled, list_sum(list_transform(list_intersect(a, b), lambda x: len(list_filter(a, lambda t: t = x)) / len(a) * len(list_filter(b, lambda t: t = x)) / len(b))) as dot,
+ {_NORM.format('a', 'b')} as na, {_NORM.format('b', 'a')} as nb, {_SAME.format("x.sig", "y.sig")} as same
+ from g join sig x on x.key = 2 * doc_id join sig y on y.key = 2 * doc_id + 1),
+v as (select category, duplicate, coalesce(filled and len(list_filter(a, lambda x: list_contains(b, x))) / len(a) >= 0.8, false) as keyword, coalesce(i > 0 and i / (len(ga) + len(gb) - i) >= 0.55, false) as trigram,
+ coalesce(filled and dot / sqrt(na * nb) >= 0.6, false) as tfidf, same >= 0.7 as minhash from s),
+judged as (select layer, category, duplicate, case layer when 'keyword' then keyword when 'trigram' then trigram when 'tfidf' then tfidf when 'minhash' then minhash else keyword or trigram or tfidf or minhash end as predicted
+ from v, (values ('keyword'), ('trigram'), ('tfidf'), ('minhash'), ('cascade')) l(layer))"""
 _MEASURES = """select *, case when "precision" + recall = 0 then 0.0 else round(2 * "precision" * recall / ("precision" + recall), 9) end as f1 from
 (select *, case when tp + fp = 0 then 0.0 else tp / (tp + fp) end as "precision", case when tp + fn = 0 then 0.0 else tp / (tp + fn) end as recall from counts)"""
 
 
 def _judged(spark, d):
-    return V.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("layer"), F.col("l_returnflag").alias("category"), (F.col("l_discount") > 0.05).alias("duplicate"), (F.col("l_tax") > 0.03).alias("predicted"))
+    w = V.table(spark, d, "documents").select("doc_id", F.col("lang").alias("category"), (F.col("doc_id") % 2 == 0).alias("duplicate"), text.tokens(F.col("text")).alias("w"))
+    k = (F.col("doc_id") % 12).cast("int")
+    less = F.concat(F.slice("w", F.lit(1), k), F.slice(F.slice("w", 1, 12), k + 2, F.lit(12)))
+    pairs = w.select("category", "duplicate", F.array_join(F.slice("w", 1, 12), " ").alias("a"), F.array_join(F.when(F.col("duplicate"), less).otherwise(F.slice("w", 13, 12)), " ").alias("b"))
+    return dedup.judged(pairs)
 
 
 _COUNTS = "count_if(duplicate and predicted) as tp, count_if(not duplicate and predicted) as fp, count_if(not duplicate and not predicted) as tn, count_if(duplicate and not predicted) as fn from judged"
@@ -505,7 +523,7 @@ _WANTED = "large widget plate"
 
 #: A symbol is listed while at most 20 lines stand before it; its callers and callees are its lines.
 @query(f"""with {V.EDGES}, w as (select id, ord, name from symbols where {' or '.join(f"contains(lower(name), '{x}')" for x in _WANTED.split() if len(x) > 3)}),
-l as (select w.id, ord, 'caller' as direction, o.name || '() → ' || w.name || '()' as line, o.id as other_id from w join edges on to_id = w.id join symbols o on o.id = from_id
+l as (select w.id, w.ord, 'caller' as direction, o.name || '() → ' || w.name || '()' as line, o.id as other_id from w join edges on to_id = w.id join symbols o on o.id = from_id
  union all select w.id, w.ord, 'callee', w.name || '() → ' || o.name || '()', o.id from w join edges on from_id = w.id join symbols o on o.id = to_id),
 p as (select id, sum(count(*)) over (order by ord, id) - count(*) as before from l group by id, ord)
 select ord, direction, line, other_id from l join p using (id) where before <= 20""")

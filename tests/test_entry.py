@@ -2,5 +2,6 @@ import __spark_entry__ as entry
 
 
 def test_entry_and_names(spark):
-    assert entry.entry(spark).columns == ["new_id", "id", "score"]
+    found = entry.entry(spark)
+    assert found.columns == ["new_id", "place", "id", "hits"] and found.count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())

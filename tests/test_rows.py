@@ -66,7 +66,9 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.err, r.reason) for r in L.parsed_dedup_log(log).collect()] == [("no net", "r")]
     (tmp_path / "pairs.json").write_text(json.dumps({"pairs": [{"a": "mend the gate latch", "b": "mend the gate latch", "duplicate": True, "category": "same"}, {"a": "mend the gate latch", "b": "paint a boat", "duplicate": False, "category": "other"}]}))
     table = dedup.confusion(dedup.judged(L.labelled_pairs(spark, str(tmp_path / "pairs.json"))), ["layer"])
-    assert {(r.layer, r.tp, r.fp, r.tn, r.fn, r.f1) for r in table.collect()} == {(x, 1, 0, 1, 0, 1.0) for x in ("keyword", "trigram", "minhash")}
+    assert {(r.layer, r.tp, r.fp, r.tn, r.fn, r.f1) for r in table.collect()} == {(x, 1, 0, 1, 0, 1.0) for x in ("keyword", "trigram", "tfidf", "minhash", "cascade")}
+    timed = dedup.evaluated(L.labelled_pairs(spark, str(tmp_path / "pairs.json")), ("keyword", "cascade")).collect()
+    assert [(r.layer, r.f1, r.mean_ms > 0) for r in timed] == [("keyword", 1.0, True), ("cascade", 1.0, True)]
     (tmp_path / "s").mkdir()
     (tmp_path / "s/a b.jsonl").write_text('{"k":1}\n\n{"k":2}\n')
     assert sorted(map(tuple, usage.read_sessions(spark, str(tmp_path / "s")).filter("value <> ''").collect())) == [("a b", '{"k":1}'), ("a b", '{"k":2}')]
@@ -105,3 +107,60 @@ def test_places_and_slots(spark):
     queue = [i for i, _, s in sorted(rows, key=lambda r: (r[1], r[0])) if s == "approved"]
     assert {(r.id, r.state, r.queue_place) for r in lifecycle.slots(tasks, 2).collect()} == {(i, "running" if k < 2 else "queued", max(0, k - 1)) for k, i in enumerate(queue)}
     assert placed(tasks.limit(0), F.col("id")).count() == lifecycle.slots(tasks.limit(0)).count() == 0
+
+
+def test_layers_on_labelled_pairs(spark):
+    """All layers against plain Python, a pair at a time."""
+    import math
+    import random
+    import re
+
+    from quarry.functions import minhash
+
+    rng = random.Random(3)
+    vocabulary = ["gate", "latch", "oak", "boat", "mend", "mending", "paint", "red", "it", "at", "roof", "roofs"]
+    pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    pairs = []
+    for _ in range(60):
+        a = pick(rng.randint(0, 7))
+        b = [w for w in a if rng.random() < 0.8] if rng.random() < 0.6 else pick(rng.randint(0, 7))
+        pairs.append((" ".join(a), " ".join(b), rng.random() < 0.5, rng.choice("xy")))
+
+    def layers(a, b):
+        ta, tb = re.findall("[a-z]{3,}", a), re.findall("[a-z]{3,}", b)
+        ga, gb = ({f" {s} "[i : i + 3] for i in range(len(s))} if s else set() for s in (a, b))
+        v = lambda t, o: {w: t.count(w) / len(t) * (1 if w in o else 1 + math.log(1.5)) for w in t}
+        va, vb = v(ta, tb), v(tb, ta)
+        norm = lambda x: math.sqrt(sum(y * y for y in x.values()))
+        sh = lambda t: list(dict.fromkeys(f"{x} {y}" for x, y in zip(t, t[1:])) if len(t) > 1 else t)
+        out = {
+            "keyword": bool(ta and tb) and sum(w in tb for w in ta) / len(ta) >= 0.8, "trigram": bool(ga and gb) and len(ga & gb) / len(ga | gb) >= 0.55,
+            "tfidf": bool(ta and tb) and sum(va[w] * vb.get(w, 0) for w in va) / norm(va) / norm(vb) >= 0.6, "minhash": bool((minhash.signature_of(sh(ta)) == minhash.signature_of(sh(tb))).mean() >= 0.7),
+        }
+        return out | {"cascade": any(out.values())}
+
+    want = sorted((name, c, d, hit) for a, b, d, c in pairs for name, hit in layers(a, b).items())
+    rows = spark.createDataFrame(pairs, "a string, b string, duplicate boolean, category string")
+    assert sorted(map(tuple, dedup.judged(rows).collect())) == want
+    assert sorted(map(tuple, dedup.judged(rows, ("tfidf",)).collect())) == [w for w in want if w[0] == "tfidf"]
+
+
+def test_a_judge_gives_advice(spark):
+    tasks = spark.createDataFrame([(i, f"mend gate {'abc' * i}", "done" if i == 3 else "pending", i) for i in range(1, 10)], "id long, description string, status string, created_at long")
+    new = spark.createDataFrame([(1, "mend gate " + "abc" * 7), (2, "raise"), (3, "far"), (4, "silent"), (5, None), (6, "mend it")], "new_id long, description string")
+
+    def judge(description, candidates):
+        assert 0 < len(candidates) <= 5 and all(status == "pending" for _, status, _ in candidates)
+        if description == "raise":
+            raise RuntimeError("no answer")
+        if description == "silent":
+            return None
+        return dedup.Verdict(99 if description == "far" else candidates[0][0] if "mend" in description else None, " same work " if "abc" in description else "")
+
+    got = {r.new_id: (r.is_duplicate, r.id, r.reason, r.error) for r in dedup.asked(tasks, new, judge).collect()}
+    assert got == {
+        1: (True, 7, "same work (task #7)", None), 2: (False, None, "", "RuntimeError: no answer"), 3: (False, None, "", "task #99 is no candidate"), 4: (False, None, "", None), 5: (False, None, "", None),
+        6: (True, 9, "semantically duplicates task #9", None),
+    }
+    none = dedup.asked(tasks.filter("status = 'done'"), new, judge)
+    assert {(r.is_duplicate, r.reason, r.layer) for r in none.collect()} == {(False, "no active candidates", "llm")}
