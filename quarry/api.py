@@ -37,8 +37,9 @@ def _refs(parsed: DataFrame) -> DataFrame:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, tags: DataFrame | None = None):
+        """tags: what a tagger found (see sources.lines.tags), for files of languages without a scanner."""
+        self.spark, self.store, self.tags = spark, Store(spark, root), tags
 
     # --- index ---
 
@@ -58,7 +59,7 @@ class Engine:
 
     def _parsed(self, found: DataFrame) -> DataFrame:
         """Symbols of files with their references; files that aren't UTF-8 have their odd bytes replaced."""
-        parsed = extract.symbols(found.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))))
+        parsed = extract.symbols(found.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))), self.tags)
         return index.with_symbol_ids(parsed.withColumnRenamed("path", "file_path").withColumn("ordinal", F.monotonically_increasing_id()))
 
     def _distinct(self, parsed: DataFrame) -> DataFrame:

@@ -36,8 +36,10 @@ RESULT = "struct<repo:string,task_id:string,variant:string,wall_clock_sec:double
 
 def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """(session_id, value): the lines of a folder's .jsonl files; the session is the file's name."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
-    return lines.select(F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"([^/]*)\.jsonl\z", 1).alias("session_id"), "value")
+    from quarry.sources.files import texts
+
+    lines = texts(spark, folder, ".jsonl", False).select("path", F.explode(F.split("content", r"\r?\n")).alias("value"))
+    return lines.select(F.regexp_extract("path", r"([^/]*)\.jsonl\z", 1).alias("session_id"), "value")
 
 
 def latest_session(files: DataFrame) -> DataFrame:
@@ -49,8 +51,9 @@ def latest_session(files: DataFrame) -> DataFrame:
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
     """(path, repo, task_id, variant, wall_clock_sec, effective, tool_calls) of the .json files under a folder, one
     result each; files of another form are left out."""
-    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).option("wholetext", True).text(folder)
-    rows = files.select(F.input_file_name().alias("path"), F.from_json("value", RESULT).alias("r")).filter("r.repo is not null and r.task_id is not null")
+    from quarry.sources.files import texts
+
+    rows = texts(spark, folder, ".json").select("path", F.from_json("content", RESULT).alias("r")).filter("r.repo is not null and r.task_id is not null")
     return rows.select("path", "r.repo", "r.task_id", "r.variant", "r.wall_clock_sec", F.col("r.usage.effective_input_billed").alias("effective"), F.col("r.usage.tool_calls").alias("tool_calls"))
 
 

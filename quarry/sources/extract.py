@@ -353,12 +353,18 @@ def _scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """Symbols of files (path, language, content): scanned languages, then the line-shaped formats."""
+def symbols(files: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Symbols of files (path, language, content): scanned languages, then the line-shaped formats. tags: symbols that a
+    tagger found (path, name, kind, line, signature, parent_name), for files of languages that neither of these reads."""
     rows = files.select("path", "language", "content")
     out = rows.filter(F.col("language").isin(*SCANNERS)).mapInPandas(_scan, SCHEMA)
-    for language, read in (("yaml", L.yaml_symbols), ("terraform", L.terraform_symbols), ("dockerfile", L.dockerfile_symbols), ("json", L.json_symbols)):
+    whole = lambda found, language, doc, parent: found.select("path", language.alias("language"), "name", "kind", "line", F.col("line").alias("end_line"), "signature", doc.alias("doc_comment"), parent.alias("parent_name"), F.array().cast("array<string>").alias("refs"))
+    formats = {"yaml": L.yaml_symbols, "terraform": L.terraform_symbols, "dockerfile": L.dockerfile_symbols, "json": L.json_symbols}
+    for language, read in formats.items():
         found = read(L.numbered(rows.filter(F.col("language") == language)))
-        doc = F.col("doc_comment") if "doc_comment" in found.columns else F.lit("")
-        out = out.unionByName(found.select("path", F.lit(language).alias("language"), "name", "kind", "line", F.col("line").alias("end_line"), "signature", doc.alias("doc_comment"), F.lit("").alias("parent_name"), F.array().cast("array<string>").alias("refs")))
+        out = out.unionByName(whole(found, F.lit(language), F.col("doc_comment") if "doc_comment" in found.columns else F.lit(""), F.lit("")))
+    if tags is not None:
+        others = rows.filter(~F.col("language").isin(*SCANNERS, *formats)).select("path", "language")
+        found = tags.withColumns({"line": F.coalesce("line", F.lit(0)), "signature": F.coalesce("signature", F.lit(""))}).join(others, "path")
+        out = out.unionByName(whole(found, F.col("language"), F.lit(""), F.coalesce("parent_name", F.lit(""))))
     return out

@@ -70,19 +70,19 @@ def walk(spark: SparkSession, root: str, patterns: list[str] | None = None) -> D
     name is read, be it hidden or with wildcards in it. Directories that can't be listed are left out."""
     root = str(Path(root).resolve())
     use = ignore_patterns(root) if patterns is None else patterns
-    return _shaped(_read(_kept(_listed(spark, root), use), root))
+    return _shaped(_read(_known(_kept(_listed(spark, root), use)), root))
 
 
 def from_listing(spark: SparkSession, root: str, listing: list[str] | DataFrame) -> DataFrame:
     """As walk(), of the files listed, names or rows (path); one that is gone by then, is no plain file or can't be read
     is left out."""
     names = listing.select(F.col("path").alias("rel")) if isinstance(listing, DataFrame) else spark.createDataFrame([(p,) for p in listing], "rel string")
-    return _shaped(_read(names, str(Path(root).resolve())))
+    return _shaped(_read(_known(names), str(Path(root).resolve())))
 
 
 def unread(spark: SparkSession, root: str, listing: list[str]) -> DataFrame:
     """(path, why) of the listed files that from_listing() leaves out though their language is known."""
-    rows = _read(spark.createDataFrame([(p,) for p in listing], "rel string"), str(Path(root).resolve()))
+    rows = _read(_known(spark.createDataFrame([(p,) for p in listing], "rel string")), str(Path(root).resolve()))
     return rows.filter("why is not null").select(F.col("rel").alias("path"), "why")
 
 
@@ -90,8 +90,9 @@ def _kept(names: DataFrame, patterns: list[str]) -> DataFrame:
     return names.filter(~ignored(F.col("rel"), patterns))
 
 
-def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """(rel) of the plain files under root. One task a directory of the first level, so large trees are listed at once."""
+def _listed(spark: SparkSession, root: str, skipped: tuple[str, ...] = (*IGNORED, STATE_DIR)) -> DataFrame:
+    """(rel) of the plain files under root, directories of the names skipped aside. One task a directory of the first
+    level, so large trees are listed at once."""
 
     def under(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -104,11 +105,11 @@ def _listed(spark: SparkSession, root: str) -> DataFrame:
                     found += [name] * (os.path.isfile(top) and not os.path.islink(top))
                     continue
                 for where, directories, files in os.walk(top):
-                    directories[:] = [d for d in directories if d not in (*IGNORED, STATE_DIR)]
+                    directories[:] = [d for d in directories if d not in skipped]
                     found += [os.path.relpath(os.path.join(where, f), root) for f in files if os.path.isfile(os.path.join(where, f)) and not os.path.islink(os.path.join(where, f))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["rel"])
 
-    tops = sorted(p.name for p in Path(root).iterdir() if p.name not in (*IGNORED, STATE_DIR))
+    tops = sorted(p.name for p in Path(root).iterdir() if p.name not in skipped)
     return spark.createDataFrame([(t,) for t in tops], "name string").repartition(max(1, min(len(tops), spark.sparkContext.defaultParallelism))).mapInArrow(under, "rel string")
 
 
@@ -136,9 +137,29 @@ def _read(names: DataFrame, root: str) -> DataFrame:
                         rows.append({"rel": rel, "content": None, "length": None, "seconds": None, "why": e.strerror or str(e)})
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("rel", pa.string()), ("content", pa.binary()), ("length", pa.int64()), ("seconds", pa.int64()), ("why", pa.string())]))
 
-    known = names.filter(language(F.col("rel")) != "")
-    parts = max(names.sparkSession.sparkContext.defaultParallelism, -(-known.count() // FILES_A_TASK))
-    return known.repartition(parts).mapInArrow(contents, _READ)
+    parts = max(names.sparkSession.sparkContext.defaultParallelism, -(-names.count() // FILES_A_TASK))
+    return names.repartition(parts).mapInArrow(contents, _READ)
+
+
+def _known(names: DataFrame) -> DataFrame:
+    return names.filter(language(F.col("rel")) != "")
+
+
+def texts(spark: SparkSession, root: str, ending: str, below: bool = True) -> DataFrame:
+    """(path, content) of the files under a folder whose names end so, as text; below: in folders under it, too. Spark's
+    own readers leave out names that begin with a dot or an underscore; these are read. A root in another store than a
+    file system that all executors see (with ://) goes through Spark's reader and has its limits."""
+    if "://" in root:
+        rows = spark.read.option("pathGlobFilter", f"*{ending}").option("recursiveFileLookup", str(below).lower()).format("binaryFile").load(root)
+        sc = spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(root)
+        whole = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        name = F.substr("path", F.lit(len(whole) + 2))
+        return rows.select(name.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    root = str(Path(root).resolve())
+    names = _listed(spark, root, ()).filter(F.endswith("rel", F.lit(ending)))
+    names = names if below else names.filter(~F.contains("rel", F.lit("/")))
+    return _read(names, root).filter("why is null").select(F.col("rel").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def _shaped(files: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from quarry.functions.text import after_colon, is_identifier, one_line, quoted_strings, trimmed
+from quarry.functions.text import after_colon, is_identifier, one_line, quoted_strings, setting, trimmed
+from quarry.sources.files import texts
+from quarry.sources.store import write_text
 
 RETENTION_DAYS = 10
 
@@ -98,6 +100,44 @@ def registry_text(entries: DataFrame) -> DataFrame:
     return entries.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("agents")), {"pretty": "true"}).alias("value"))
 
 
+def write_registry(spark: SparkSession, path: str, entries: DataFrame) -> None:
+    """Put entries (name, path, llm) in place of what a registry file has, in one step."""
+    write_text(spark, path, registry_text(entries).first()["value"] or '{"agents": {}}')
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """registry() of a file; none where there is no such file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return registry(spark.createDataFrame([], "value string"))
+    return registry(spark.read.text(path, wholetext=True))
+
+
+#: Models of the sort that runs by default, and layouts, the default first.
+PRESETS, LAYOUTS = ("claude",), ("split-h", "split-v", "window", "popup")
+_CONFIG = (
+    "struct<llm:string,llm_classify:string,llm_dedup:string,model:string,model_classify:string,model_dedup:string,test_cmd:string,auto_execute_small:boolean,tmux_layout:string,"
+    "approval_watchdog:boolean,approval_patterns:array<string>,step_model_by_verb:map<string,string>>"
+)
+
+
+def config(json_text: DataFrame) -> DataFrame:
+    """One row per configuration text (value): its record, with the default in place of whatever isn't allowed. Models are
+    identifiers, presets and layouts those known; the watchdog is on unless turned off. A text that is missing or no
+    object has the defaults alone."""
+    c = F.from_json(F.coalesce("value", F.lit("")), _CONFIG)
+    rows = json_text.select(c.alias("c")).select("c.*")
+    model = lambda name: setting(F.col(name))
+    preset = lambda name, default="": setting(F.col(name), PRESETS, default)
+    plain = lambda name, default: F.coalesce(F.col(name), default)
+    return rows.select(
+        preset("llm", PRESETS[0]).alias("llm"), preset("llm_classify").alias("llm_classify"), preset("llm_dedup").alias("llm_dedup"), model("model").alias("model"), model("model_classify").alias("model_classify"),
+        model("model_dedup").alias("model_dedup"), plain("test_cmd", F.lit("")).alias("test_cmd"), plain("auto_execute_small", F.lit(False)).alias("auto_execute_small"),
+        setting(F.col("tmux_layout"), LAYOUTS, LAYOUTS[0]).alias("tmux_layout"), plain("approval_watchdog", F.lit(True)).alias("approval_watchdog"),
+        plain("approval_patterns", F.array().cast("array<string>")).alias("approval_patterns"), plain("step_model_by_verb", F.create_map().cast("map<string,string>")).alias("step_model_by_verb"),
+    )
+
+
 def peers(entries: DataFrame, own_path: str | None = None, own_name: str | None = None) -> DataFrame:
     """Entries of a registry but the repository's own, by its path or by the name of its directory."""
     own = F.col("path").eqNullSafe(F.lit(own_path)) if own_path is not None else F.lit(False)
@@ -113,9 +153,10 @@ def clarification_text(task_id: Column, description: Column, questions: Column)
 
 
 def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(a, b, duplicate, category) of files that hold {"pairs": [...]}."""
-    files = spark.read.option("wholetext", True).text(path)
-    pairs = F.from_json("value", "struct<pairs:array<struct<a:string,b:string,duplicate:boolean,category:string>>>")["pairs"]
+    """(a, b, duplicate, category) of a file that holds {"pairs": [...]}."""
+    folder, name = path.rstrip("/").rpartition("/")[::2]
+    files = texts(spark, folder or ".", name, False).filter(F.col("path") == name)
+    pairs = F.from_json("content", "struct<pairs:array<struct<a:string,b:string,duplicate:boolean,category:string>>>")["pairs"]
     return files.select(F.explode(pairs).alias("p")).select("p.*")
 
 
@@ -134,6 +175,7 @@ def yaml_symbols(lines: DataFrame) -> DataFrame:
     return keys.unionByName(firsts.select("path", "line", F.col("nm").alias("name"), F.lower("kd").alias("kind"), F.concat("kd", F.lit(": "), "nm").alias("signature")))
 
 
+#: Words that begin a block, and instructions that are told.
 BLOCKS = ("resource", "module", "variable", "output", "data", "provider", "locals", "terraform")
 
 

@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 KEPT = 4
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in one step: written beside its place and renamed over what is there, so a reader finds the former
+    text or the new one. path is any that Spark reaches."""
+    sc = spark.sparkContext
+    hadoop, conf = sc._jvm.org.apache.hadoop.fs, sc._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(path), hadoop.Path(f"{path}-{uuid.uuid4().hex}")
+    fs = old.getFileSystem(conf)
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = sc._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(old), how)
+
+
 class Store:
     """Named tables under root. A table's versions lie side by side; a reader sees the one that was current when it
     looked. root is any path that Spark reaches."""
@@ -42,11 +57,7 @@ class Store:
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{name}/{version}")
-        fs, new = self._fs(f"{self._pointer(name)}-{version}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        self._replace(new, self._fs(self._pointer(name))[1])
+        write_text(self.spark, self._pointer(name), json.dumps({"version": version}))
         self._forget(name)
         return self.read(name)
 
@@ -59,15 +70,6 @@ class Store:
             if old.getPath().getName() != current:
                 fs.delete(old.getPath(), True)
 
-    def _replace(self, new, old) -> None:
-        """Rename over what is there in one step, so a reader finds the former pointer or the new one."""
-        sc = self.spark.sparkContext
-        fs = sc._jvm.org.apache.hadoop.fs
-        how = sc._gateway.new_array(fs.Options.Rename, 1)
-        how[0] = fs.Options.Rename.OVERWRITE
-        conf = sc._jsc.hadoopConfiguration()
-        fs.FileContext.getFileContext(old.getFileSystem(conf).getUri(), conf).rename(new, old, how)
-
     def meta(self, key: str) -> str:
         """A value by key; '' where there is none."""
         if not self.exists("meta"):

@@ -123,6 +123,16 @@ def test_unknown_language_has_no_symbols():
     assert extract.scan_file("xyz", "text") == [] and extract.scan_file(None, None) == []
 
 
+def test_tags_stand_in_for_a_scanner(spark):
+    from quarry.sources import lines as L
+
+    said = ['{"_type":"tag","name":"hull","path":"a.rs","line":3,"kind":"func","pattern":"/^fn hull()$/","scope":"Ship"}', '{"_type":"tag","name":"never","path":"b.py","line":1,"kind":"func"}', '{"_type":"tag","name":"bare","path":"a.rs","kind":"odd"}', "no json"]
+    found = spark.createDataFrame([("a.rs", "rust", "fn hull() {}"), ("b.py", "python", "def seen(): pass")], "path string, language string, content string")
+    rows = extract.symbols(found, L.tags(spark.createDataFrame([(x,) for x in said], "value string"))).collect()
+    assert sorted((r.path, r.language, r.name, r.kind, r.line, r.signature, r.parent_name) for r in rows) == [("a.rs", "rust", "bare", "odd", 0, "", ""), ("a.rs", "rust", "hull", "function", 3, "fn hull()", "Ship"), ("b.py", "python", "seen", "function", 1, "def seen()", "")]
+    assert extract.symbols(found).count() == 1
+
+
 @pytest.fixture(scope="module")
 def repository(tmp_path_factory):
     root = tmp_path_factory.mktemp("repo")

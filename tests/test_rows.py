@@ -72,12 +72,26 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s/a b.jsonl").write_text('{"k":1}\n\n{"k":2}\n')
     assert sorted(map(tuple, usage.read_sessions(spark, str(tmp_path / "s")).filter("value <> ''").collect())) == [("a b", '{"k":1}'), ("a b", '{"k":2}')]
+    for hidden in ("_b", ".c"):
+        (tmp_path / f"s/{hidden}.jsonl").write_text('{"k":3}\r\n')
+    (tmp_path / "s/below").mkdir()
+    (tmp_path / "s/below/x.jsonl").write_text("{}\n")
+    assert {r.session_id for r in usage.read_sessions(spark, str(tmp_path / "s")).collect()} == {"a b", "_b", ".c"}
+    assert {r.session_id for r in usage.read_sessions(spark, f"file://{tmp_path}/s").collect()} == {"a b"}
+    L.write_registry(spark, str(tmp_path / "agents.json"), entries)
+    assert {tuple(r) for r in L.read_registry(spark, str(tmp_path / "agents.json")).collect()} == {("one", "/a", "x"), ("two", "/b", None)}
+    L.write_registry(spark, str(tmp_path / "agents.json"), entries.filter("name = 'two'"))
+    assert [r.name for r in L.read_registry(spark, str(tmp_path / "agents.json")).collect()] == ["two"] and L.read_registry(spark, str(tmp_path / "none.json")).count() == 0
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith("agents.json-")]
     times = spark.createDataFrame([("p/x.jsonl", 1), ("p/y.jsonl", 3), ("p/z.txt", 9)], "path string, modified long")
     assert usage.latest_session(times).first()[0] == "y"
     (tmp_path / "r/in").mkdir(parents=True)
     for k, (variant, eff) in enumerate((("baseline", 10), ("mcp", 6), ("classify", 0))):
         (tmp_path / f"r/in/{k}.json").write_text(json.dumps({"repo": "R", "task_id": "t", "variant": variant, "wall_clock_sec": 1.5, "usage": {"effective_input_billed": eff, "tool_calls": 2}}))
     (tmp_path / "r/bad.json").write_text("{")
+    (tmp_path / "r/in/_3.json").write_text(json.dumps({"repo": "R", "task_id": "u", "variant": "mcp", "usage": {}}))
+    assert usage.read_results(spark, str(tmp_path / "r")).filter("task_id = 'u'").count() == 1
+    (tmp_path / "r/in/_3.json").unlink()
     report = usage.markdown_report(usage.variant_table(usage.latest_runs(usage.read_results(spark, str(tmp_path / "r")))))
     shown = [r.line for r in report.collect()]
     assert shown[2:] == ["| R | t | 1.5 | 10 | 6 | 0.60 | 2 | 2 |", "**Aggregate over 1 tasks: 40.0% reduction in effective input tokens (ratio 0.60).**"]
@@ -164,3 +178,13 @@ def test_a_judge_gives_advice(spark):
     }
     none = dedup.asked(tasks.filter("status = 'done'"), new, judge)
     assert {(r.is_duplicate, r.reason, r.layer) for r in none.collect()} == {(False, "no active candidates", "llm")}
+
+
+def test_config_records(spark):
+    given = [{"llm": "other", "model": "a b", "model_dedup": "ok-1", "tmux_layout": "popup", "approval_watchdog": False, "step_model_by_verb": {"add": "m"}, "approval_patterns": ["x"]}, {"llm_classify": "claude", "tmux_layout": "round", "model_classify": "x;y", "auto_execute_small": True, "test_cmd": "make t"}]
+    rows = spark.createDataFrame([(json.dumps(g),) for g in given] + [("[1]",), ("",), (None,)], "value string")
+    got = [r.asDict() for r in L.config(rows).collect()]
+    none = {"llm": "claude", "llm_classify": "", "llm_dedup": "", "model": "", "model_classify": "", "model_dedup": "", "test_cmd": "", "auto_execute_small": False, "tmux_layout": "split-h", "approval_watchdog": True, "approval_patterns": [], "step_model_by_verb": {}}
+    assert got[2:] == [none] * 3
+    assert got[0] == none | {"model_dedup": "ok-1", "tmux_layout": "popup", "approval_watchdog": False, "step_model_by_verb": {"add": "m"}, "approval_patterns": ["x"]}
+    assert got[1] == none | {"llm_classify": "claude", "auto_execute_small": True, "test_cmd": "make t"}
