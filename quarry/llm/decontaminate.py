@@ -4,7 +4,8 @@ A shard is a bounded run of documents. Its text for the index is the words that
 that it doesn't know ends a stretch, and stretches shorter than the shortest window hold no occurrence and are left
 out, so nothing is lost. All windows are searched at once through wavelet-tree ranks; occurrences are located by
 sampled suffix positions and merged to removal spans. The benchmark is a query set: it is taken in blocks of bounded
-size, each broadcast to a pass of its own over the rows in flight; documents never move.
+size, all broadcast; the one pass over the rows opens a block, searches a run of documents for it and closes it before
+the next, so neither a worker nor the driver holds more than one. Documents never move.
 """
 
 from __future__ import annotations
@@ -178,29 +179,38 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     blocks = max(1, -(-text_bytes(items, "text") // block_bytes))
     n_words, spans, items_of = names = names or ["n_words", "spans", "items"]
     out = docs.withColumns({n_words: F.lit(0).cast("long"), spans: F.array().cast(_SPANS), items_of: F.array().cast("array<string>")})
-    schema = out.schema
+    held = []
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part.collect()], window))
-        out = out.mapInArrow(_annotate(phrases, text_col, names, remove and b == blocks - 1), schema)
-    return out
+        held.append(docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part.collect()], window)))
+        _closed(held[-1], blocks)
+    return out.mapInArrow(_annotate(held, text_col, names, remove), out.schema)
 
 
-def _annotate(phrases, text_col: str, names: list[str], remove: bool):
+def _closed(block, blocks: int) -> None:
+    """Lets go of the copy of a broadcast block that this process holds, where there are more and it can be read again
+    from its file."""
+    if blocks > 1 and getattr(block, "_path", None) is not None:
+        block.__dict__.pop("_value", None)
+
+
+def _annotate(blocks: list, text_col: str, names: list[str], remove: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first in batches:
             yield from map(one, bounded([first], first.schema.get_field_index(text_col)))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.schema.get_field_index(text_col)
-        n_words, spans, items = _search_batch(batch.column(column), phrases.value)
-        before_spans, before_items = batch.column(names[1]), batch.column(names[2])
-        if pc.any(pc.greater(pc.list_value_length(before_items), 0)).as_py():
-            for i, (s, x) in enumerate(zip(before_spans.to_pylist(), before_items.to_pylist())):
-                if x:
-                    both = np.concatenate([spans[i], np.array([[y["first"], y["end"]] for y in s], np.int64)])
-                    _, a, e = _merge_spans(np.zeros(len(both), np.int64), both[:, 0], both[:, 1])
-                    spans[i], items[i] = np.stack([a, e], axis=1), list({*items[i], *x})
+        for k, block in enumerate(blocks):
+            n_words, own_spans, own_items = _search_batch(batch.column(column), block.value)
+            _closed(block, len(blocks))
+            if not k:
+                spans, items = own_spans, own_items
+                continue
+            for i in (i for i, x in enumerate(own_items) if x):
+                both = np.concatenate([spans[i], own_spans[i]])
+                _, a, e = _merge_spans(np.zeros(len(both), np.int64), both[:, 0], both[:, 1])
+                spans[i], items[i] = np.stack([a, e], axis=1), list({*items[i], *own_items[i]})
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
         flat = np.concatenate(spans)
         pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["first", "end"])
