@@ -228,13 +228,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Each word under a window of that many words whose sequence also starts elsewhere, in the same document or another,
     is removed; windows are judged on the input. Null and empty texts have no words, and texts shorter than a window
-    lose none. Repeated rows are documents of their own, whose windows repeat. Null ids stay null. Other columns are
-    ignored; no rows give no rows.
+    lose none. Repeated rows are documents of their own, whose windows repeat; rows alike in id and text share a group,
+    since a group is told by the row alone. Null ids stay null. Other columns are ignored; no rows give no rows.
     """
     total = text_bytes(docs, text_col)
     groups, buckets = 1 + total // group_bytes, 1 + 3 * total // bucket_bytes
     rows = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64), F.spark_partition_id()), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 256)), F.lit(groups)))
     dealt = rows.repartition("grp")
     sent = dealt.groupBy("grp").applyInArrow(_emit(window, mer, buckets), "bucket long, grp long, strings binary, numbers binary, n long")
     answers = sent.groupBy("bucket").applyInArrow(_count(window), "grp long, runs binary")
