@@ -456,3 +456,70 @@ def test_identifiers_are_integers(spark):
 
     with pytest.raises(TypeError):
         exact_dedup.exact_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+# --- runs of digests ---
+
+
+def runs_of(rng, rows, keep):
+    """(rows by text, a run of them): few texts, so that many meet; some ids are null."""
+    texts = [bytes([k % 7]) * 32 if k % 3 else rng.bytes(32) for k in rng.integers(0, 40, rows).tolist()]
+    ids = [None if k % 9 == 0 else int(k) for k in rng.integers(-50, 50, rows)]
+    checks = [int(t[0]) - 3 + int(k) for t, k in zip(texts, rng.integers(0, 2, rows))]  # digests alike whose texts aren't
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(checks, pa.int64()), pa.array([t[1] for t in texts], pa.int64()), pa.array(ids, pa.int64())], ["digest", "check", "size", "id"])
+    return [((t, c, t[1]), i) for t, c, i in zip(texts, checks, ids)], exact_dedup.sorted_run([batch.slice(0, rows // 2), batch.slice(rows // 2)], keep)
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_runs_are_merged_and_not_sorted(monkeypatch, keep):
+    rng = np.random.default_rng(5)
+    for k in (1, 2, 3, 8):
+        parts = [runs_of(rng, int(n), keep) for n in rng.integers(0, 60, k)]
+        for name in ("sort", "argsort", "lexsort", "unique"):
+            monkeypatch.setattr(exact_dedup.np, name, None)
+        run = exact_dedup.merged_all([r for _, r in parts], keep)
+        monkeypatch.undo()
+        want = {}
+        for key, i in (x for rows, _ in parts for x in rows):
+            want.setdefault(key, []).append(i)
+        best = lambda ids: (max if keep == "max" else min)([i for i in ids if i is not None], default=None)
+        raw = [bytes(x) for x in run.key.view(np.uint8).reshape(-1, 48)]
+        got = {(x[:32], int.from_bytes(x[32:40], "big", signed=True), int.from_bytes(x[40:], "big")): (i if t else None, n) for x, i, t, n in zip(raw, run.id.tolist(), run.there.tolist(), run.many.tolist())}
+        assert raw == sorted(raw) and len(set(raw)) == len(raw)
+        assert got == {key: (best(ids), len(ids)) for key, ids in want.items()}
+
+
+def test_rounds_send_each_key_home():
+    rng = np.random.default_rng(6)
+    nodes, held = 8, {n: [exact_dedup.sorted_run([pa.RecordBatch.from_arrays([pa.array([rng.bytes(32) for _ in range(30)]), *[pa.array(np.arange(30))] * 3], ["digest", "check", "size", "id"])], "max")] for n in range(8)}
+    for bit in range(3):
+        sent = {n: [] for n in range(nodes)}
+        for n, runs in held.items():
+            for b in exact_dedup._parted(n, exact_dedup.merged_all(runs, "max"), bit, 1, nodes):
+                to = b.column(0)[0].as_py()
+                assert to in (n, n ^ 1 << bit)
+                sent[to].append(exact_dedup.unpacked(*(b.column(i)[0].as_buffer() for i in range(1, 5))))
+        held = sent
+    assert all((exact_dedup._home(r.key, nodes) == n).all() for n, runs in held.items() for r in runs) and sum(len(r.key) for runs in held.values() for r in runs) == 240
+
+
+def test_many_benchmark_blocks_are_one_pass(spark):
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(words[(i * 7 + k) % 60] for k in range(12))) for i in range(50)]
+    rows = [(i, " ".join(words[(i * 5 + k) % 60] for k in range(40))) for i in range(20)] + [(99, None)]
+    found = decontaminate.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=60)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = Counter((r.doc_id, r["n_words"], sum(s["end"] - s["first"] for s in r["spans"]), len(r["items"]), sha(",".join(r["items"])), bool(r["spans"])) for r in found.collect())
+    assert got == Counter((i, *brute_contamination(t, items)) for i, t in rows)
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """Hosts of words and additions that the labelled table has not in this form, half of them words it has not at all."""
+    plain = "carpenter lagoon museumsworld rivertown bakery-online thstion ngtherble oakandash paintbox sailing-now weaver-24 villagelife thinghe gardeners dictionary".split()
+    junk = "casino-royal best-casino24 cheappills4u pokerzone freeads spamfarm-go adults-only jackpotwin xxx-pics replica-bags loan-today paydayloan slots-room escort-city bonusbets".split()
+    assert not {n for n in (*plain, *junk)} & {r.url.split("//")[1].split(".example")[0].removeprefix("www.").removeprefix("m.").removeprefix("blog.") for r in url_filter.labelled_urls(spark).collect()}
+    rows = [(i, f"http://{front}{name}.{top}/{lang}/{i}", k) for k, names in ((0, plain), (1, junk)) for i, name in enumerate(names) for front in ("", "www.", "m.") for top in ("example.org", "site.org") for lang in ("de", "en")]
+    weights = url_filter.train(url_filter.labelled_urls(spark))
+    got = url_filter.with_verdicts(spark.createDataFrame(rows, "page_id long, url string, k int"), weights).collect()
+    right = Counter((r.k, (r.verdict == "block") == (r.k == 1)) for r in got)
+    assert all(r.rule is None for r in got) and min(right[k, True] / (right[k, True] + right[k, False]) for k in (0, 1)) >= 0.9
