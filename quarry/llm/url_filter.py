@@ -25,25 +25,38 @@ RATE = 0.3
 #: (host, path, verdict). A rule holds for its host and all hosts below it, where the path begins with its path.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-#: Parts of the labelled table. Names of plain sites and words of junk sites.
+#: Parts of the labelled table: names of plain sites and words of junk sites.
 PLAIN = (
     "garden kitchen library weather history science museum travel football music recipe school village river mountain journal letters market nature painter "
     "theatre heather northern thunder brother rather winter station nation edition reading singing hearing another teaching rotation shelter leather "
     "restore interest breath author orchard eastern heritage tradition attention stone harbour lantern"
 ).split()
 JUNK = "casino pills spam cheap poker win loan free ads replica jackpot xxx bets adult farm bonus escort slots tracker payday".split()
+#: Frequent letter groups of English, of which names of plain sites are made up; and what either sort of name has around it.
+GROUPS = "th he in er an re on at en nd ti es or te ed is it al ar st to nt ng se ha le ble tion ing sh ea ther".split()
+AFTER = ("x", "24", "now", "online", "best", "zone", "go", "info")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, blocked): URLs put together from the two lists by a rule, more than two plain ones to a junk one; paths and
-    domains occur under both labels."""
+    """(url, blocked): URLs put together from the lists by a rule, more than two plain ones to a junk one. Names come
+    alone, in pairs and with an addition, and plain ones also as letter groups in a row; additions, paths and domains
+    occur under both labels, so that they tell nothing."""
     rows = []
     tops, fronts, langs = ("example.com", "example.net", "example.org"), ("", "www.", "blog.", "m."), ("en", "fr", "de", "es")
+
+    def add(name: str, label: int, i: int, j: int) -> None:
+        rows.append((f"http://{fronts[(i + j) % 4]}{name}.{tops[(i + 2 * j) % 3]}/{langs[(i + j) % 4]}/{37 * i + 11 * j}", label))
+
     for label, names in ((0, PLAIN), (1, JUNK)):
         for i, name in enumerate(names):
             for j in range(4):
-                host = f"{name}-{names[(i + 7 + 3 * j) % len(names)]}" if (i + j) % 2 else name
-                rows.append((f"http://{fronts[(i + j) % 4]}{host}.{tops[(i + 2 * j) % 3]}/{langs[(i + j) % 4]}/{37 * i + 11 * j}", label))
+                add(f"{name}-{names[(i + 7 + 3 * j) % len(names)]}" if (i + j) % 2 else name, label, i, j)
+            for j in range(2 + 2 * label):
+                add(f"{name}-{AFTER[(i + 3 * j) % len(AFTER)]}", label, i, j)
+    n = len(GROUPS)
+    for i in range(n):
+        for j in range(4):
+            add(GROUPS[i] + GROUPS[(5 * i + 7 * j) % n] + (GROUPS[(3 * i + 11 * j + 1) % n] if j % 2 else ""), 0, i, j)
     return spark.createDataFrame(rows, "url string, blocked int")
 
 
