@@ -20,6 +20,11 @@ def numbered(files: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("i") + 1).alias("line"), "text")
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(value): each row as one JSON object; write it as text, or show it. Nulls are left out."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
+
+
 #: Letters after a backslash that stand for a control character.
 ESCAPES = {"a": "\x07", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\x0b"}
 

@@ -188,3 +188,10 @@ def test_config_records(spark):
     assert got[2:] == [none] * 3
     assert got[0] == none | {"model_dedup": "ok-1", "tmux_layout": "popup", "approval_watchdog": False, "step_model_by_verb": {"add": "m"}, "approval_patterns": ["x"]}
     assert got[1] == none | {"llm_classify": "claude", "auto_execute_small": True, "test_cmd": "make t"}
+
+
+def test_json_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "é \"q\"", ["a"], None), (2, "", [], 0.5)], "id long, `odd name` string, items array<string>, score double")
+    L.json_lines(rows).coalesce(1).write.text(str(tmp_path / "out"))
+    assert sorted(json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "out")).collect()) == [1, 2]
+    assert sorted(map(tuple, spark.read.schema(rows.schema).json(str(tmp_path / "out")).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
