@@ -196,7 +196,7 @@ def test_refresh_parses_changed_files_only(spark, repository, tmp_path, monkeypa
     engine.build(str(repository))
     before = {r.id for r in engine.symbols().collect()}
     seen, real = [], extract.symbols
-    monkeypatch.setattr(extract, "symbols", lambda found: seen.append({r.path for r in found.select("path").collect()}) or real(found))
+    monkeypatch.setattr(extract, "symbols", lambda found, tags=None: seen.append({r.path for r in found.select("path").collect()}) or real(found, tags))
     (repository / "late.go").write_text("package main\n\nfunc Late() {}\n")
     engine.refresh(str(repository))
     assert seen == [{"late.go"}]
