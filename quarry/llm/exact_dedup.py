@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from quarry.llm.frames import cut, partitions, spread_join, unused, whole_id
 
 RUN_ROWS = 500_000
+#: Rows for each node that takes part, up to as many nodes as a shuffle has partitions.
+NODE_ROWS = 1 << 14
 _KEY = ["digest", "check", "size"]
 _DIGEST, _BYTES = 32, 48
 _PACKED = "node long, keys binary, ids binary, there binary, many binary"
@@ -159,8 +161,8 @@ def digests(docs: DataFrame, id_col: str, text_col: str, normalise=None, bits: i
 
 def merge_tree(rows: DataFrame, keep: str = "max", bits: int = 1) -> DataFrame:
     """(digest, check, size, id, n): of rows (id, digest, check, size), one entry per text with the id that stays. bits:
-    2**bits nodes meet in a round; two in a binomial one."""
-    width = max(1, (partitions(rows.sparkSession) - 1).bit_length())
+    2**bits nodes meet in a round; two in a binomial one. rows are counted first, since few need few nodes and rounds."""
+    width = max(1, (min(partitions(rows.sparkSession), 1 + rows.count() // NODE_ROWS) - 1).bit_length())
     nodes = 1 << width
     first = min(bits, width)
     run = rows.select(*_KEY, "id").mapInArrow(_runs(keep, first, nodes), _PACKED)

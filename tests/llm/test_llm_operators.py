@@ -523,3 +523,15 @@ def test_url_model_on_hosts_it_has_not_seen(spark):
     got = url_filter.with_verdicts(spark.createDataFrame(rows, "page_id long, url string, k int"), weights).collect()
     right = Counter((r.k, (r.verdict == "block") == (r.k == 1)) for r in got)
     assert all(r.rule is None for r in got) and min(right[k, True] / (right[k, True] + right[k, False]) for k in (0, 1)) >= 0.9
+
+
+@pytest.mark.parametrize("bits", [1, 2, 5])
+def test_exact_duplicates_over_many_nodes(odd, odd_rows, monkeypatch, bits):
+    few = rows_of(exact_dedup.exact_duplicates(odd), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    monkeypatch.setattr(exact_dedup, "NODE_ROWS", 1)
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 3)
+    odd.sparkSession.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert rows_of(exact_dedup.exact_duplicates(odd, bits=bits), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == few
+    finally:
+        odd.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
