@@ -159,6 +159,10 @@ class Engine:
         kinds = ("function", "method", "struct", "interface", "class", "type")
         return self.symbols().filter(F.col("kind").isin(*kinds)).orderBy(F.desc("rank"), "id").limit(top)
 
+    def counts(self) -> DataFrame:
+        """(files, symbols, edges): how many the index has."""
+        return index.counts(self.store.read("files"), self.symbols(), self.edges())
+
     def snapshot(self, branch: str) -> DataFrame:
         return self.store.write(f"branches/{branch}", self.symbols())
 

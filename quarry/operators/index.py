@@ -102,6 +102,13 @@ def file_tree(files: DataFrame, most: int = TREE_FILES) -> DataFrame:
     return whole.unionByName(rolled).orderBy("dir", "line").select("line")
 
 
+def counts(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(files, symbols, edges): how many there are of each, in one row."""
+    tables = (("files", files), ("symbols", symbols), ("edges", edges))
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name, _ in tables])
+
+
 def languages_present(files: DataFrame) -> DataFrame:
     """(language) of files, each once and none empty, sorted."""
     return files.filter(F.coalesce("language", F.lit("")) != "").select("language").distinct().orderBy("language")

@@ -448,12 +448,13 @@ def file_context(spark, d):
 @query(f"with {V.EDGES}, {_FILES} select (select count(*) from files) as files, (select count(*) from symbols) as symbols, (select count(*) from edges) as edges")
 def overview_counts(spark, d):
     s = V.symbols(spark, d)
-    return s.agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("symbols")).join(V.edges(spark, d).agg(F.count("*").alias("edges")))
+    return index.counts(_files(s), s, V.edges(spark, d))
 
 
-@query(f"with {V.SYMBOLS} select string_agg(distinct kind, ',' order by kind) as languages from symbols where kind <> ''")
+#: Kinds stand for languages here; those of files whose last symbol is far down are empty.
+@query(f"with {V.SYMBOLS} select distinct kind as language from symbols where line <= 45")
 def languages_present(spark, d):
-    return V.symbols(spark, d).filter("kind <> ''").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("languages"))
+    return index.languages_present(V.symbols(spark, d).select(F.when(F.col("line") > 45, "").otherwise(F.col("kind")).alias("language")))
 
 
 _TREE = "f as (select distinct file_path as path, coalesce(nullif(regexp_extract(file_path, '^(.+)/[^/]*$', 1), ''), '.') as dir from paths)"

@@ -273,7 +273,7 @@ def test_engine_over_a_repository(spark, repository, tmp_path, monkeypatch):
     assert engine.symbols().agg(F.sum("rank")).first()[0] == pytest.approx(1)
     assert "Open" in {r.name for r in engine.search_symbols("Open").collect()}
     assert [r.name for r in engine.file_context("server.go").collect()][:2] == ["Box", "Open"]
-    assert engine.overview(3).count() == 3
+    assert engine.overview(3).count() == 3 and engine.counts().first().asDict() == {"files": 6, "symbols": engine.symbols().count(), "edges": engine.edges().count()}
     engine.snapshot("main")
     assert engine.diff("main").count() == 0
     assert engine.refresh(str(repository)).filter("action = 'parse'").count() == 0
