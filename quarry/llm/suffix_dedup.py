@@ -524,14 +524,14 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 ORACLE = """
 with d as materialized (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-win as materialized (select r, doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) as g from d, unnest(range(0, length(h) // 2 - 49)) u(i) where length(h) >= 100),
-least as (select g, min(doc_id) as low from win group by g having min(doc_id) < max(doc_id)),
-hit as (select r, i from win join least using (g) where low < doc_id),
-byte as (select r, j, j <= max(i) over (partition by r order by j range between 49 preceding and current row) + 49 as gone
- from (select r, j, i from (select r, unnest(range(0, length(h) // 2)) as j from d where r in (select r from hit)) left join (select r, i as j, i from hit) using (r, j))),
-cut as (select r, j, coalesce(gone, false) as gone, coalesce(lag(gone) over (partition by r order by j), false) as before from byte),
-sums as (select r, count_if(gone) as n_removed, count_if(gone and not before) as n_spans, string_agg(case when not gone then substr(h, 2 * j + 1, 2) end, '' order by j) as s
- from cut join d using (r) group by r)
+part as materialized (select r, c, substr(h, 2000 * c + 1, 2098) as p from d, unnest(range(0, length(h) // 2000 + 1)) u(c)),
+win as materialized (select r, 1000 * c + i as i, md5_number(substr(p, 2 * i + 1, 100)) as g from part, unnest(range(0, least(1000, length(p) // 2 - 49))) u(i) where length(p) >= 100),
+least as (select g, min(doc_id) as low from win join d using (r) group by g having min(doc_id) < max(doc_id)),
+hit as materialized (select r, i from win join least using (g) join d using (r) where low < doc_id),
+byte as (select r, j, x, coalesce(j <= max(i) over (partition by r order by j range between 49 preceding and current row) + 49, false) as gone
+ from (select r, j, x, i from (select r, unnest(range(0, length(h) // 2)) as j, unnest(regexp_extract_all(h, '..')) as x from d where r in (select r from hit)) left join (select r, i as j, i from hit) using (r, j))),
+cut as (select r, j, x, gone, coalesce(lag(gone) over (partition by r order by j), false) as before from byte),
+sums as (select r, count_if(gone) as n_removed, count_if(gone and not before) as n_spans, string_agg(case when not gone then x end, '' order by j) as s from cut group by r)
 select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
  case when n_removed is null then sha256(unhex(h)) else sha256(unhex(coalesce(s, ''))) end as kept_sha256
 from d left join sums using (r)
