@@ -106,7 +106,8 @@ def tfidf_scores(tasks: DataFrame, new: DataFrame, limit: float = TFIDF_THRESHOL
     A description's lightest terms, the common ones, together add less than the limit to any cosine. So its others are
     joined first, and only where these come so near that the light ones could decide, are they joined, too."""
     words = tasks.select("id", "created_at", text.tokens(F.col("description")).alias("w"))
-    tf = words.select("id", "created_at", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "created_at", "len", "term").agg((F.count("*") / F.first("len")).alias("tf"))
+    # read four times: for counts of documents, for norms and for either join
+    tf = cut(words.select("id", "created_at", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "created_at", "len", "term").agg((F.count("*") / F.first("len")).alias("tf")).drop("len"))
     n = tasks.count() + 1
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = lambda d: F.log(F.lit(1 + n) / (1 + d)) + 1
