@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages. Each takes all that its predecessor kept; all but the last return documents.
 
 1. toxicity: documents scored toxic go. 2. exact dedup: one document of each text stays, the one with the largest id.
-3. near-dedup: of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles the one with the
-smallest id stays. 4. benchmark decontamination: spans of benchmark windows are cut from the texts; a document of which
+3. near-dedup by SimHash: of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles the one with
+the smallest id stays; links that fingerprints can't show are added by a prefix filter. 4. benchmark decontamination: spans of benchmark windows are cut from the texts; a document of which
 nothing is left goes. 5. SentencePiece: ids of each text.
 
 Null and empty texts are one text. Rows with null ids are scored, and one of each text stays if no row with an id has

@@ -1,4 +1,8 @@
-"""Near-dedup at an exact Jaccard similarity of word shingles, losing no pair.
+"""Near-dedup by SimHash at an exact Jaccard similarity of word shingles, losing no pair.
+
+SimHash goes first: fingerprints of the shingle sets, deletion variants and an equality join find what is near, and whole
+sets verify it. At the similarity many pairs are further apart than any distance that selects something, so a prefix
+filter then looks for links between rows that SimHash's verified links have left in different components.
 
 Of two sets with a similarity of t or more, under any one order of all shingles, the first n - ceil(t * n) + 1 of each
 share one. The order puts shingles that few sets have first, by counts of all of them, so that a passage which many
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import simhash
 from quarry.llm.components import components
 from quarry.llm.frames import cut, partitions, whole_id
 from quarry.llm.simhash import LINK_ROWS, SALTS
@@ -29,6 +34,8 @@ from quarry.llm.words import hashes as word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Bits that SimHash's fingerprints may differ in; three segments serve it.
+DISTANCE = 5
 #: Where counts end, and bits of the filter of texts that have candidates.
 COMMON = 64
 FILTER_BITS = 24
@@ -308,8 +315,8 @@ def _plausible(similarity: float):
 
 
 def _pairs(similarity: float, across: bool):
-    """Pairs to verify within groups of rows (key, node, size, bits, least, root): of different nodes whose bounds allow
-    the similarity. Neighbours and whole small groups, or across: all pairs of different roots of the other groups."""
+    """Pairs to verify within groups of rows (key, node, size, bits, least, root): of different roots whose bounds allow
+    the similarity. Neighbours and whole small groups, or across: all pairs of the other groups."""
 
     def of(table: pa.Table) -> pa.RecordBatch:
         key, node, size, root = (table.column(c).to_numpy() for c in ("key", "node", "size", "root"))
@@ -335,6 +342,7 @@ def _pairs(similarity: float, across: bool):
                     same = (key[a] == key[b]) & (small[:-k] | (k <= NEAR))
                     if not same.any():
                         break
+                    same &= root[a] != root[b]
                     add(a[same], b[same], small[:-k][same])
         else:
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -374,9 +382,20 @@ def _filter(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(u, v): pairs of different sets that connect what SimHash finds near, not verified yet. prints: (node, fp)."""
+    own = cut(prints.groupBy("node").agg(F.first("fp").alias("fp")))
+    first = cut(own.groupBy("fp").agg(F.min("node").alias("first")))
+    same = own.join(first, "fp").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "uv")
+    near = simhash.links(first, distance).distinct().join(a, "u").join(b, "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
+    return same.union(near)
+
+
 def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(u, v): links that connect the sets of docs (doc_id, text, text_hash) as all pairs of the similarity would.
-    prints: (text_hash, node, size, bits) of its rows."""
+    prints: (text_hash, node, size, bits, fp) of its rows. SimHash's links come first, the prefix filter's between what
+    these leave apart."""
     spark = docs.sparkSession
     n = partitions(spark)
     own = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
@@ -396,13 +415,14 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
     found = docs.mapInArrow(run, "node long, hashes array<long>").join(nodes, "node", "left_semi")
     sets = cut(found.dropDuplicates(["node"]))
 
-    def pairs(roots: DataFrame | None) -> DataFrame:
-        rows = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def pairs(roots: DataFrame, across: bool) -> DataFrame:
+        rows = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rows = rows.select("key", "node", "size", "bits", "least", "root").repartition(n, "key").sortWithinPartitions("key")
-        return rows.mapInArrow(_pairs(similarity, roots is not None), "u long, v long").distinct()
+        return rows.mapInArrow(_pairs(similarity, across), "u long, v long").distinct()
 
-    near = _verified(pairs(None), sets, similarity)
-    rest = cut(pairs(components(near)))
+    hashed = _verified(fingerprint_links(prints), sets, similarity)
+    near = cut(hashed.union(_verified(pairs(components(hashed), False), sets, similarity)))
+    rest = cut(pairs(components(near), True))
     return near if rest.isEmpty() else near.union(_verified(rest, sets, similarity))
 
 
@@ -419,9 +439,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, hashes, bounds in _sets(bounded(batches), shingle):
             bits = _binary(_bitmaps(hashes, bounds).ravel(), WORDS * np.arange(len(rows) + 1))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(_nodes(hashes, bounds)), pa.array(np.diff(bounds)), bits], ["doc_id", "text_hash", "node", "size", "bits"])
+            fp = simhash.majority_bits(mix(hashes), bounds).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(_nodes(hashes, bounds)), pa.array(np.diff(bounds)), bits, pa.array(fp)], ["doc_id", "text_hash", "node", "size", "bits", "fp"])
 
-    prints = cut(texts.mapInArrow(run, "doc_id long, text_hash long, node long, size long, bits binary"))
+    prints = cut(texts.mapInArrow(run, "doc_id long, text_hash long, node long, size long, bits binary, fp long"))
     own = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least_id")))
     found = components(links(texts, prints, shingle, similarity))
     placed = own.select("node", "least_id").join(found, "node", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))

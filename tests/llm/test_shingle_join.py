@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from quarry.llm import shingle_join
+from quarry.llm import shingle_join, simhash
 from tests.llm.test_llm_operators import LOWER, WORD, brute_components
 
 
@@ -61,3 +61,22 @@ def test_odd_rows(odd, odd_rows, empty):
     assert out.columns == odd.columns
     assert Counter((r.doc_id,) for r in out.select("doc_id").collect()) == kept(odd_rows)
     assert shingle_join.drop_near_copies(empty).count() == 0
+
+
+def test_simhash_links_first(spark, monkeypatch):
+    rng = random.Random(10)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for _ in range(6):
+        base = rng.sample(words, 400)
+        for _ in range(5):
+            copy = list(base)
+            copy[rng.randrange(400)] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, verified, real, real_verified = [], [], simhash.links, shingle_join._verified
+    monkeypatch.setattr(simhash, "links", lambda *a: seen.append(a[1]) or real(*a))
+    monkeypatch.setattr(shingle_join, "_verified", lambda *a: verified.append(real_verified(*a)) or verified[-1])
+    assert Counter((r.doc_id,) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == kept(rows)
+    assert seen == [shingle_join.DISTANCE]
+    assert verified[0].count() >= 12  # of 24 links that connect the copies
