@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -118,3 +119,34 @@ def test_approval_patterns(spark):
     assert hit("Do you want to proceed?") and hit("overwrite (y/N): ") and hit("press enter to continue") and not hit("we proceed (y/n) later")
     assert hit("go ahead", ["go", "["]) and not hit("Do you want to proceed?", ["nothing"])
     assert lifecycle.invalid_patterns(["a", "[", "(b"]) == ["[", "(b"]
+
+
+def test_batches_of_texts_equal_single_values(monkeypatch):
+    """Signatures and trigrams of whole texts, in slices of a few bytes, as those of plain sets."""
+    import re
+
+    import pyarrow as pa
+
+    from quarry.functions import scan
+
+    monkeypatch.setattr(scan, "SLICE_BYTES", 40)
+    rng = random.Random(3)
+    words = ["Add", "x", "log-in", "ab", "Énd", "o'clock", "K2K9z", "...", "abcdefghijklmnop", "İstanbul", "42", "0000"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None, "", "?!", "a", "abc", "abc def", " abc ", "tail"]
+    texts += ["mend the gate " * 30, "", "x"]
+    codes, bounds = scan.trigrams_of(pa.array(texts))
+    got = scan.signatures_of(pa.array(texts))
+    assert len(got) == len(texts) == len(bounds) - 1
+    for k, t in enumerate(texts):
+        low = "".join(c.lower() if c.isascii() else c for c in t or "")
+        want = {(ord(g[0]) << 16) | (ord(g[1]) << 8) | ord(g[2]) for g in grams(t or "")}
+        own = codes[bounds[k] : bounds[k + 1]].tolist()
+        assert len(own) == len(set(own)) and set(own) == want
+        w = re.findall("[a-z0-9]{3,}", low)
+        assert (got[k] == minhash.signature_of(list({f"{a} {b}" for a, b in zip(w, w[1:])} if len(w) > 1 else set(w)))).all()
+    assert len(scan.signatures_of(pa.array([], pa.string()))) == 0
+
+
+def test_tokens_of_letters_beyond_ascii(spark):
+    rows = spark.createDataFrame([("K2K9z ABCd İstanbul x-y",), (None,)], "s string")
+    assert [r[0] for r in rows.select(text.tokens(F.col("s"))).collect()] == [["abcd", "stanbul"], []]
