@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from quarry.operators.lineage import cut
+from quarry.operators.lineage import cut, dealt
 
 
 def winners(names: DataFrame, order: list[Column]) -> DataFrame:
@@ -69,7 +69,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     degree = cut(out_degrees(nodes, edges))
-    links = cut(edges.select("from_id", "to_id").join(degree.withColumnRenamed("id", "from_id"), "from_id"))
+    # dealt and sorted by caller once; a round then moves ranks and sums, not links
+    links = dealt(cut(edges.select("from_id", "to_id").join(degree.withColumnRenamed("id", "from_id"), "from_id")), "from_id", 1).sortWithinPartitions("from_id").persist()
     rank = degree.select("id", "out_degree", F.lit(1.0 / n).alias("rank"))
     if start is not None:
         rank = degree.join(start.select("id", "rank"), "id", "left").select("id", "out_degree", F.coalesce("rank", F.lit(1.0 / n)).alias("rank"))
@@ -91,7 +92,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         if change < tolerance:
             break
     out = cut(rank.select("id", "rank"))
-    for df in held:
+    for df in [*held, links]:
         df.unpersist()
     return out
 
