@@ -392,10 +392,18 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return same.union(near)
 
 
-def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v): links that connect the sets of docs (doc_id, text, text_hash) as all pairs of the similarity would.
-    prints: (text_hash, node, size, bits, fp) of its rows. SimHash's links come first, the prefix filter's between what
-    these leave apart."""
+def _leaders(links: DataFrame) -> DataFrame:
+    """(node, root) of each node of links (u, v): its least neighbour or itself. Nodes of one root are connected, though
+    connected ones may have different roots; it takes one grouping where components take a dozen and more."""
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root"))
+
+
+def roots_of(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the sets of docs (doc_id, text, text_hash) that have a link: components as all pairs of the
+    similarity would give. prints: (text_hash, node, size, bits, fp) of its rows. SimHash's links come first, the prefix
+    filter's between what these leave apart. Components are found before large groups are compared, and again only if
+    links come of that, from the stars found before."""
     spark = docs.sparkSession
     n = partitions(spark)
     own = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
@@ -421,9 +429,13 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
         return rows.mapInArrow(_pairs(similarity, across), "u long, v long").distinct()
 
     hashed = _verified(fingerprint_links(prints), sets, similarity)
-    near = cut(hashed.union(_verified(pairs(components(hashed), False), sets, similarity)))
-    rest = cut(pairs(components(near), True))
-    return near if rest.isEmpty() else near.union(_verified(rest, sets, similarity))
+    # here roots only spare pairs, of which small groups and neighbours are few anyway
+    near = hashed.union(_verified(pairs(_leaders(hashed), False), sets, similarity))
+    roots = components(near)
+    rest = cut(pairs(roots, True))
+    if rest.isEmpty() or (more := _verified(rest, sets, similarity)).isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -444,7 +456,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     prints = cut(texts.mapInArrow(run, "doc_id long, text_hash long, node long, size long, bits binary, fp long"))
     own = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least_id")))
-    found = components(links(texts, prints, shingle, similarity))
+    found = roots_of(texts, prints, shingle, similarity)
     placed = own.select("node", "least_id").join(found, "node", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     linked = placed.filter("root is not null")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))

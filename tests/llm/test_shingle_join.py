@@ -80,3 +80,46 @@ def test_simhash_links_first(spark, monkeypatch):
     assert Counter((r.doc_id,) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == kept(rows)
     assert seen == [shingle_join.DISTANCE]
     assert verified[0].count() >= 12  # of 24 links that connect the copies
+
+
+def test_components_are_found_once(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for _ in range(5):
+        base = rng.sample(words, 200)
+        for _ in range(4):
+            copy = list(base)
+            copy[rng.randrange(200)] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, real = [], shingle_join.components
+    monkeypatch.setattr(shingle_join, "components", lambda links: found.append(links) or real(links))
+    assert Counter((r.doc_id,) for r in shingle_join.drop_near_copies(docs).select("doc_id").collect()) == kept(rows)
+    assert len(found) == 1  # no group is large, so nothing is linked after
+
+
+def test_leaders_are_connected(spark):
+    rng = random.Random(12)
+    pairs = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(45)]
+    got = {r.node: r.root for r in shingle_join._leaders(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got.keys() == {x for p in pairs for x in p}
+    near = {a: {a} | {v for u, v in pairs if u == a} | {u for u, v in pairs if v == a} for a in got}
+    assert all(root == min(near[node]) for node, root in got.items())
+
+
+def test_links_of_large_groups_join_components(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(60), rng.randint(1, 3)):
+            copy[at] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, real = [], shingle_join.components
+    monkeypatch.setattr(shingle_join, "NEAR", 1)
+    monkeypatch.setattr(shingle_join, "components", lambda links: found.append(links) or real(links))
+    assert Counter((r.doc_id,) for r in shingle_join.drop_near_copies(docs).select("doc_id").collect()) == kept(rows)
+    assert len(found) == 2
